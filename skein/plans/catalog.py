@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
+from . import analytics, coordination, fact_store, knowledge, markdown, ranking, sequence, texts
+
 CATALOG: dict = {}
+for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown):
+    CATALOG |= module.QUERIES
