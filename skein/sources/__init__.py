@@ -1,0 +1 @@
+"""Readers of transcripts, markdown folders, registries and trees, and the writers beside them."""
