@@ -177,7 +177,7 @@ def score(df: DataFrame, net: Network, text_col: str = "text", score_col: str =
 
     def run(batches):
         for b in batches:
-            own = net.score(*utf8(b.column(at)))
+            own = np.round(net.score(*utf8(b.column(at))), 6)  # how texts are batched shows in the last digits only
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{score_col}` double"
