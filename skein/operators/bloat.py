@@ -1,0 +1,72 @@
+"""Pruning of transcript entries, and records out of markdown bodies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skein.functions import text
+
+
+def is_binary(value: Column) -> Column:
+    """TXT10: over three tenths of the first 4096 characters are control characters."""
+    head = F.substring(value, 1, 4096)
+    return (F.length(head) > 0) & (F.length(F.regexp_replace(head, r"[^\p{Cc}\x{FFFD}]|[\t\n\r]", "")) > F.length(head) * 0.3)
+
+
+def strip_value(value: Column, most: int = 2000) -> Column:
+    """TXT11: base64, markup and binary give placeholders; the rest keeps its head and tail."""
+    size = F.length(value).cast("string")
+    base64 = value.rlike(r"^[A-Za-z0-9+/\s]{400,}={0,2}$") & ~value.rlike(r"^\S{0,60}(\s+\S{1,60}){20,}")
+    mark = lambda kind: F.concat(F.lit(f"[{kind} "), size, F.lit(" chars]"))
+    cut = F.concat(F.substring(value, 1, most // 2), F.lit("\n[… "), (F.length(value) - most).cast("string"), F.lit(" chars …]\n"), F.right(value, F.lit(most // 2)))
+    return F.when(base64, mark("base64")).when(text.is_html(value), mark("html")).when(is_binary(value), mark("binary")).when(F.length(value) > most, cut).otherwise(value)
+
+
+def strip_entries(entries: DataFrame, most: int = 2000) -> DataFrame:
+    """TXT12: blocks (type, text, is_error) of each entry are pruned; errors and summaries stay whole."""
+    keep = lambda b: F.coalesce(b["is_error"], F.lit(False)) | F.col("is_summary")
+    pruned = F.transform("blocks", lambda b: F.struct(b["type"].alias("type"), F.when(keep(b), b["text"]).otherwise(strip_value(b["text"], most)).alias("text"), b["is_error"].alias("is_error")))
+    return entries.withColumn("blocks", pruned)
+
+
+def objective(body: Column) -> Column:
+    """TXT15: the first sentence of the first paragraph that is prose."""
+    paragraphs = F.filter(F.split(body, r"\n\s*\n"), lambda p: (F.length(F.trim(p)) >= 20) & ~F.trim(p).rlike(r"^(#|[-*] |\d+\.|```|\|)"))
+    first = F.regexp_replace(F.trim(F.try_element_at(paragraphs, F.lit(1))), r"\s+", " ")
+    sentence = F.regexp_extract(first, r"^(.+?[.!?])(?:\s|$)", 1)
+    return F.when(sentence != "", sentence).otherwise(first)
+
+
+def items(body: Column, most: int = 8) -> Column:
+    """TXT14: bullets and numbered lines outside code fences, cleaned."""
+    bare = F.regexp_replace(body, r"(?s)```.*?(```|\z)", "")
+    found = F.regexp_extract_all(bare, F.lit(r"(?m)^[ \t]*(?:[-*]|\d+\.)[ \t]+(.+)$"), 1)
+    return F.slice(F.filter(F.transform(found, text.clean_markdown), lambda x: F.length(x) >= 3), 1, most)
+
+
+def bold_items(body: Column, most: int = 8) -> Column:
+    """TXT16."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\*\*([^*\n]{3,80})\*\*"), 1)), 1, most)
+
+
+def kind(body: Column) -> Column:
+    """PRJ26: incident, architecture or procedure, by votes of words; ties in that order."""
+    votes = {
+        "incident": ("root cause", "symptom", "outage", "failed", "fix"),
+        "architecture": ("component", "design", "decision", "layer", "trade-off"),
+        "procedure": ("step", "run", "verify", "check", "then"),
+    }
+    low = F.lower(body)
+    counts = {k: sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for k, ws in votes.items()}
+    best = F.greatest(*counts.values())
+    out = F.lit("procedure")
+    for k in reversed(list(counts)):
+        out = F.when(counts[k] == best, k).otherwise(out)
+    return F.when(best == 0, "unknown").otherwise(out)
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """TXT17: stem, kind, objective, items and bold items of each markdown body."""
+    b = F.col("body")
+    return docs.select("stem", kind(b).alias("kind"), objective(b).alias("objective"), items(b).alias("items"), bold_items(b).alias("terms"))

@@ -76,3 +76,44 @@ def unlinked(entity_rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def votes(links: DataFrame, entity: str, fact: str, domain: str) -> DataFrame:
     """AGG25, JN3: distinct facts a domain."""
     return links.groupBy(entity, domain).agg(F.count_distinct(fact).alias("votes"))
+
+
+#: Subject, verb, object; the predicate is the verb's name.
+RELATIONS = {
+    "runs_on": r"(?i)\b([\w-]+(?:-api|executor|proxy))\b\s+(?:runs?|deployed|scheduled)\s+(?:on|to)\s+([\w-]+)",
+    "uses_storage": r"(?i)\b([\w-]+)\s+(?:uses?|on|backed by)\s+(block-\w+)",
+    "in_namespace": r"(?i)\b([\w-]+(?:-api|executor|proxy))\b\s+(?:in|namespace)\s+(\w+)\s+namespace",
+}
+
+
+def relations(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str] = RELATIONS) -> DataFrame:
+    """KG3: id, subject, predicate, object."""
+    out = None
+    for name, p in patterns.items():
+        pairs = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(p), 1).alias("s"), F.regexp_extract_all(text_col, F.lit(p), 2).alias("o"))
+        own = docs.select(F.col(id_col).alias("id"), F.explode(F.transform(pairs, lambda x: F.struct(F.lower(x["s"]).alias("s"), F.lower(x["o"]).alias("o")))).alias("p"))
+        own = own.select("id", F.col("p.s").alias("subject"), F.lit(name).alias("predicate"), F.col("p.o").alias("object"))
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def find(entity_rows: DataFrame, triples: DataFrame, term: str, as_of=None) -> DataFrame:
+    """KG10: entities whose name holds the term, with their edges from both ends; as_of: only edges valid then."""
+    hits = entity_rows.where(F.lower("name").contains(term.lower())).select(F.col("entity_id").alias("entity"))
+    edges = timeline(triples)
+    if as_of is not None:
+        t = F.lit(as_of).cast("timestamp")
+        edges = edges.where((F.col("valid_from").isNull() | (F.col("valid_from") <= t)) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
+    return hits.join(edges, "entity")
+
+
+def invalidate(triples: DataFrame, subject, predicate, obj, ended) -> DataFrame:
+    """KG8: closes the open edge."""
+    hit = (F.col("subject") == subject) & (F.col("predicate") == predicate) & (F.col("object") == obj) & F.col("valid_to").isNull()
+    return triples.withColumn("valid_to", F.when(hit, F.lit(ended).cast("timestamp")).otherwise(F.col("valid_to")))
+
+
+def index_new(docs: DataFrame, indexed: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """KG12, STR2: links and co-occurrence weights of texts that weren't indexed yet."""
+    links = entities(docs.join(indexed.select(id_col), id_col, "left_anti"), id_col, text_col, patterns)
+    return links.select("id", "entity_id"), cooccurrence(links, "id", "entity_id", most)
