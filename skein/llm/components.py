@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Edges that a file may hold at least.
+EDGES_A_FILE = 200_000
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges = materialize(edges, "edges")
     state = _state(edges)
     while state["n"]:
-        edges = materialize(_small(_large(edges)), "edges")
+        # few edges in many small files would cost more to open than to read
+        edges = materialize(_small(_large(edges)).coalesce(max(4, state["n"] // EDGES_A_FILE)), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

@@ -4,7 +4,8 @@
 2. Narrowing, without loss. If two sets link, they share so many of their smallest hashes that
    each has at least `need` of its own `probe` smallest ones in common with some other text
    (`probe_sizes`). Maps send these hashes, cut to 40 bits and sorted, as a few binary blocks a
-   batch and hash range; a range's task only tells which occur twice. Most texts end here.
+   batch and hash range; a range's task only tells which occur twice. Most texts end here. What is
+   left of one text a class goes through the same again with all hashes, of which t must recur.
 3. The representatives left, of which any two that link share one of their first
    |x| - ceil(t|x|) + 1 hashes, fall into clusters: components over those shared hashes.
 4. A cluster is a tile; a large one is cut by size band (ratio 1/t) and salt, and each pair of
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .components import connected_components
 from .shingles import shingle_sets
 
 #: Sets in one cut of a large cluster; 64-bit words of a bitmap.
-CUT, WORDS = 512, 32
+CUT, WORDS = 4096, 32
 _CUT_BITS = 40
 
 
@@ -69,16 +71,23 @@ def shingle_keys(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
-def shared_counts(docs: DataFrame, percent: int, n: int, ranges: int) -> DataFrame:
-    """doc_id, shared: how many of a text's probe hashes occur in another row too."""
-    schema = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary())])
+def shared_counts(rows: DataFrame, sets_of, percent: int, ranges: int, probe_all: bool = False) -> DataFrame:
+    """doc_id, shared: how many of a row's probe hashes occur in another row too; ids with none are left out.
+
+    rows: doc_id and what sets_of (a function of an Arrow batch) makes its sets from. probe_all: all hashes are probed.
+    Rows travel as blocks: one a batch and range on the way out, one a range and batch on the way back.
+    """
+    block = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary())])
+    answer = pa.schema([("batch", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    counted = pa.schema([("doc_id", pa.int64()), ("shared", pa.int64())])
 
     def blocks(batches):
-        for b in batches:
+        task = TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             parts, whose = [], []
-            for k, own in enumerate(shingle_sets(*utf8(b.column(1)), n)):
-                probe = int(probe_sizes(np.array([len(own)]), percent)[0][0]) if len(own) else 0
+            for k, own in enumerate(sets_of(b)):
+                probe = len(own) if probe_all or not len(own) else int(probe_sizes(np.array([len(own)]), percent)[0][0])
                 parts.append(own[:probe])
                 whose.append(np.full(probe, k, np.int64))
             if not parts:
@@ -90,47 +99,58 @@ def shared_counts(docs: DataFrame, percent: int, n: int, ranges: int) -> DataFra
             which = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             low = (hashes >> np.uint64(64 - _CUT_BITS - 12)) & np.uint64((1 << _CUT_BITS) - 1)
             bounds = np.searchsorted(which, np.arange(ranges + 1))
-            rows = []
+            out = []
             for r in range(ranges):
                 a, z = bounds[r], bounds[r + 1]
                 if a < z:
                     local, docs_here = np.unique(whose[a:z], return_inverse=True)
-                    rows.append((r, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), docs_here.astype("<u2").tobytes(), ids[local].tobytes()))
-            yield batch(dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {x: [] for x in schema.names}, schema)
+                    out.append((r, task << 32 | number, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), docs_here.astype("<u4").tobytes(), ids[local].tobytes()))
+            yield batch(dict(zip(block.names, zip(*out, strict=True), strict=True)) if out else {x: [] for x in block.names}, block)
 
-    counted = pa.schema([("doc_id", pa.int64()), ("shared", pa.int64())])
-
-    def shared(batches):
-        found: list[np.ndarray] = []
+    def groups(batches):
+        """The rows of each value of the first column."""
         now, kept = None, []
-
-        def close():
-            hashes = np.concatenate([x[0] for x in kept])
-            ids = np.concatenate([x[1] for x in kept])
-            order = np.argsort(hashes)
-            hashes = hashes[order]
-            same = np.zeros(len(hashes), bool)
-            same[1:] = hashes[1:] == hashes[:-1]
-            same[:-1] |= same[1:]
-            found.append(ids[order[same]])
-
         for b in batches:
-            for r, hashes, which, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if r != now and kept:
-                    close()
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != now and kept:
+                    yield now, kept
                     kept = []
-                now = r
-                wide = np.zeros((len(which) // 2, 8), np.uint8)
-                wide[:, : _CUT_BITS // 8] = np.frombuffer(hashes, np.uint8).reshape(-1, _CUT_BITS // 8)
-                kept.append((wide.view("<u8").ravel(), np.frombuffer(ids, "<i8")[np.frombuffer(which, "<u2")]))
+                now = row[0]
+                kept.append(row[1:])
         if kept:
-            close()
-        if found:
-            ids, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield batch({"doc_id": ids, "shared": counts}, counted)
+            yield now, kept
+
+    def shared(batches):
+        for _, kept in groups(batches):
+            hashes, sizes = [], []
+            for _, low, which, _ in kept:
+                wide = np.zeros((len(which) // 4, 8), np.uint8)
+                wide[:, : _CUT_BITS // 8] = np.frombuffer(low, np.uint8).reshape(-1, _CUT_BITS // 8)
+                hashes.append(wide.view("<u8").ravel())
+                sizes.append(len(wide))
+            joined = np.concatenate(hashes)
+            order = np.argsort(joined)
+            joined = joined[order]
+            same = np.zeros(len(joined), bool)
+            same[1:] = joined[1:] == joined[:-1]
+            same[:-1] |= same[1:]
+            found = np.zeros(len(joined), bool)
+            found[order] = same
+            for (number, _, which, ids), one in zip(kept, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+                counts = np.bincount(np.frombuffer(which, "<u4")[one], minlength=len(ids) // 8)
+                some = np.flatnonzero(counts)
+                if len(some):
+                    yield batch({"batch": [number], "ids": [np.frombuffer(ids, "<i8")[some].tobytes()], "counts": [counts[some].astype("<u4").tobytes()]}, answer)
+
+    def gather(batches):
+        for _, kept in groups(batches):
+            ids, back = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x, _ in kept]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([np.frombuffer(x, "<u4") for _, x in kept]), len(ids))
+            yield batch({"doc_id": ids, "shared": total.astype(np.int64)}, counted)
 
-    dealt = docs.mapInArrow(blocks, "range int, hashes binary, which binary, ids binary").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    dealt = rows.mapInArrow(blocks, "range int, batch long, hashes binary, which binary, ids binary").repartition(ranges, "range").sortWithinPartitions("range")
+    back = dealt.mapInArrow(shared, "batch long, ids binary, counts binary").repartition(ranges, "batch").sortWithinPartitions("batch")
+    return back.mapInArrow(gather, "doc_id long, shared long").groupBy("doc_id").agg(F.max("shared").alias("shared"))
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -209,7 +229,7 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     keys = materialize(shingle_keys(docs, n), "keys")
     one = materialize(keys.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "set_key"), F.coalesce("set_key", F.lit(b""))).alias("s")).select("doc_id", "s.*"), "keys")
     classes = one.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = shared_counts(docs, percent, n, ranges)
+    shared = shared_counts(docs, lambda b: shingle_sets(*utf8(b.column(1)), n), percent, ranges)
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     left = materialize(classes.join(shared, F.col("rep") == F.col("doc_id")).where(F.col("shared") >= need).select("doc_id", "set_key"), "left")
 
@@ -223,6 +243,9 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     found = docs.join(left.select("doc_id"), "doc_id", "left_semi").mapInArrow(whole, "doc_id long, set_key binary, n long, hashes binary")
     # rows that repeat an id: the one that counts, once
     sets = materialize(found.join(left.select(F.col("doc_id").alias("d"), F.col("set_key").alias("k")), (F.col("doc_id") == F.col("d")) & (F.col("set_key") == F.col("k"))).drop("d", "k").dropDuplicates(["doc_id"]), "sets")
+    # once more among those left, by all their hashes: percent of them must occur in another set
+    again = shared_counts(sets.select("doc_id", "hashes"), lambda b: [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()], percent, ranges, probe_all=True)
+    sets = materialize(sets.join(again, "doc_id").where(F.col("shared") >= F.ceil(F.col("n") * percent / 100)).drop("shared"), "sets")
 
     first = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
