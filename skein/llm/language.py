@@ -31,7 +31,7 @@ from .common import batch, materialize, slices, utf8
 
 SAMPLE, SAMPLE_BYTES = 400, 8192
 #: Slots that trigrams are hashed to; bytes of text worked on at a time.
-SLOTS, BLOCK = 1 << 15, 1 << 21
+SLOTS, BLOCK = 1 << 15, 1 << 18
 UND = "und"
 #: Fixed: top-level domains of languages.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -53,6 +53,15 @@ def trigram_slots(data: np.ndarray) -> np.ndarray:
     return ((x[:-2] * np.uint32(65599 * 65599 & 0xFFFFFFFF) + x[1:-1] * np.uint32(65599) + x[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
+def has_letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(off) - 1, bool)
+    for first, last in slices(off, BLOCK):
+        bounds = off[first : last + 1] - off[first]
+        so_far = np.concatenate([[0], np.cumsum(_LETTER[data[off[first] : off[last]]], dtype=np.int32)])
+        out[first:last] = so_far[bounds[1:]] > so_far[bounds[:-1]]
+    return out
+
+
 @dataclass(frozen=True)
 class TextModel:
     languages: tuple[str, ...]
@@ -155,8 +164,7 @@ def identify(df: DataFrame, model: TextModel, id_col: str = "doc_id", text_col:
         for b in batches:
             data, off = utf8(b.column(1))
             said = model.evidence(data, off, weight)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[data[off[0] : off[-1]]])])
-            said[:, -1] += np.where(letters[off[1:] - off[0]] > letters[off[:-1] - off[0]], UND_PRIOR, 50.0)  # no letter, no language
+            said[:, -1] += np.where(has_letters(data, off), UND_PRIOR, 50.0)  # no letter, no language
             fields = {x: b.column(b.schema.get_field_index(x)) for x in keep}
             fields["said"] = pa.FixedSizeListArray.from_arrays(pa.array(said.ravel()), size).cast(pa.list_(pa.float64()))
             yield batch(fields, pa.schema([(x, v.type) for x, v in fields.items()]))
