@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ from .common import batch, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 #: Words kept per Python worker; the table starts anew when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Punctuation that is cut off behind a word: a run of it is a word of its own.
+_BEHIND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters of text whose words are looked up together.
+BLOCK = 1 << 21
 #: Python's split() treats these as space, the tokenizer doesn't; and its special tokens all start so.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
@@ -36,10 +41,13 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 class WordEncoder:
     """Ids of texts by a tokenizer whose words never span white space, as little-endian uint32 bytes.
 
-    Each distinct run of non-space characters is encoded once by the tokenizers library.
+    Each distinct run of non-space characters is encoded once by the tokenizers library. Runs of
+    letters, in lower case and without punctuation behind, go to it as one long text: the last token of
+    a word is known by its mark in the vocabulary.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,23 +56,57 @@ class WordEncoder:
         self.tokenizer, self.words, self.most = Tokenizer.from_file(path), {}, most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"]["end_of_word_suffix"]
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, runs: set[str]) -> None:
+        """Adds the ids of all runs to the table."""
+        known = self.words
+        missing = runs.difference(known)
+        if len(known) + 2 * len(missing) > self.most:
+            known.clear()
+            missing = runs
+        split = {}
+        for run in missing:
+            word = run.rstrip(_BEHIND)
+            # letters of Latin-1 have one form, and one lower-case letter each
+            split[run] = (word.lower(), run[len(word) :]) if word.isalpha() and max(word) <= "\u00ff" else (run, "")
+        plain = {w for run, (w, _) in split.items() if w.isalpha() and max(w) <= "\u00ff"}
+        new = list(plain.difference(known))
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            flat, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            known.update(zip(new, [flat[x:y] for x, y in pairwise([0, *ends])], strict=True))
+        rest = list(({w for w, _ in split.values()} | {t for _, t in split.values()}).difference(known))
+        for k in range(0, len(rest), 4096):
+            known.update(zip(rest[k : k + 4096], self._encode(rest[k : k + 4096]), strict=True))
+        for run, (word, tail) in split.items():
+            if run != word:
+                known[run] = known[word] + known[tail]
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        block: list[tuple[str, list[str] | None]] = []
+
+        def done():
+            self._learn({w for _, words in block if words for w in words})
+            get = self.words.__getitem__
+            for text, words in block:
+                yield self._encode([text])[0] if words is None else b"".join(map(get, words))
+
+        size = 0
         for text in texts:
-            if any(x in text for x in _ODD):
-                yield self._encode([text])[0]
-                continue
-            words, known = text.split(), self.words
-            if missing := list(set(words).difference(known)):
-                if len(known) + len(missing) > self.most:
-                    known.clear()
-                    missing = list(set(words))
-                for k in range(0, len(missing), 4096):
-                    known.update(zip(missing[k : k + 4096], self._encode(missing[k : k + 4096]), strict=True))
-            yield b"".join(map(known.__getitem__, words))
+            block.append((text, None if any(x in text for x in _ODD) else text.split()))
+            size += len(text)
+            if size > BLOCK:
+                yield from done()
+                block, size = [], 0
+        yield from done()
 
 
 def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
