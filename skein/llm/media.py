@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch, materialize, new_folder
 from .files import Ranges, Roller
 
-WIDTH, SHARD = 64, 64 << 20
+WIDTH, SHARD, LEVEL = 64, 64 << 20, 6
 #: Signature, IHDR chunk with its length and CRC: all that a header read takes.
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -46,7 +46,7 @@ def to_png(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -88,7 +88,7 @@ def feature_of(payload: bytes) -> str:
 
 def store(df: DataFrame, folder: str, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, digest and, on the rows that wrote a member, shard, offset and length."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def write(batches):
         files, known = Roller(folder, TaskContext.get().partitionId(), ".tar", shard), set()
@@ -96,19 +96,19 @@ def store(df: DataFrame, folder: str, shard: int = SHARD, id_col: str = "doc_id"
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 payload = payload_of(text)
-                name = hashlib.sha256(payload).hexdigest()
+                name = hashlib.sha256(payload).digest()
                 n = len((text or "").encode())
                 if name in known:
                     rows.append((doc, n, name, None, None, None))
                     continue
                 known.add(name)
                 image = to_png(payload)
-                path, at = files.append(tar_header(name + ".png", len(image)) + image + bytes(-len(image) % 512))
+                path, at = files.append(tar_header(name.hex() + ".png", len(image)) + image + bytes(-len(image) % 512))
                 rows.append((doc, n, name, path, at + 512, len(image)))
             yield batch({f.name: [r[k] for r in rows] for k, f in enumerate(schema)}, schema)
         files.close(bytes(1024))
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def places(rows: DataFrame) -> DataFrame:
 
 def read_metadata(at: DataFrame) -> DataFrame:
     """digest, width, height, bits: by range reads of the headers only."""
-    schema = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
+    schema = pa.schema([("digest", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
 
     def read(batches):
         files = Ranges()
@@ -126,12 +126,12 @@ def read_metadata(at: DataFrame) -> DataFrame:
             rows = [(d, *png_header(files.read(s, o, HEADER))) for d, s, o in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
             yield batch({f.name: [r[k] for r in rows] for k, f in enumerate(schema)}, schema)
 
-    return at.select("digest", "shard", "offset").mapInArrow(read, "digest string, width int, height int, bits int")
+    return at.select("digest", "shard", "offset").mapInArrow(read, "digest binary, width int, height int, bits int")
 
 
 def read_features(at: DataFrame) -> DataFrame:
     """What is known of each member: metadata by its header, then features of the whole payload read back."""
-    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
+    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("shard", pa.string()), ("offset", pa.int64())])
 
     def read(batches):
         files = Ranges()
@@ -141,10 +141,10 @@ def read_features(at: DataFrame) -> DataFrame:
                 header = png_header(files.read(shard, offset, HEADER))
                 image = files.read(shard, offset, length)
                 payload = from_png(image)
-                rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload), *header))
+                rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload), *header, shard, offset))
             yield batch({f.name: [r[k] for r in rows] for k, f in enumerate(schema)}, schema)
 
-    return at.select("digest", "shard", "offset", "length").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int")
+    return at.select("digest", "shard", "offset", "length").mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int, shard string, offset long")
 
 
 def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,6 +153,5 @@ def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_i
     rows = materialize(store(df, folder or new_folder(spark, "media"), id_col=id_col, text_col=text_col), "media-rows")
     at = materialize(places(rows), "places")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = read_features(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset"))
-    known = materialize(known.join(at.select(F.col("digest").alias("d"), "shard", "offset"), F.col("digest") == F.col("d")).drop("d"), "features")
+    known = materialize(read_features(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")), "features")
     return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset")
