@@ -131,7 +131,7 @@ def read_metadata(at: DataFrame) -> DataFrame:
 
 def read_features(at: DataFrame) -> DataFrame:
     """What is known of each member: metadata by its header, then features of the whole payload read back."""
-    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("shard", pa.string()), ("offset", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("shard", pa.string()), ("offset", pa.int64())])
 
     def read(batches):
         files = Ranges()
@@ -141,10 +141,10 @@ def read_features(at: DataFrame) -> DataFrame:
                 header = png_header(files.read(shard, offset, HEADER))
                 image = files.read(shard, offset, length)
                 payload = from_png(image)
-                rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload), *header, shard, offset))
+                rows.append((name, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), feature_of(payload), *header, shard, offset))
             yield batch({f.name: [r[k] for r in rows] for k, f in enumerate(schema)}, schema)
 
-    return at.select("digest", "shard", "offset", "length").mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int, shard string, offset long")
+    return at.select("digest", "shard", "offset", "length").mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, width int, height int, bits int, shard string, offset long")
 
 
 def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,5 +153,6 @@ def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_i
     rows = materialize(store(df, folder or new_folder(spark, "media"), id_col=id_col, text_col=text_col), "media-rows")
     at = materialize(places(rows), "places")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = materialize(read_features(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")), "features")
-    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset")
+    known = read_features(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset"))
+    shown = lambda x: F.lower(F.hex(x)).alias(x)
+    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", shown("payload_sha256"), "tail_crc32", "media_bytes", shown("media_sha256"), "feature", "width", "height", "bits", "shard", "offset")
