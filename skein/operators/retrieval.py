@@ -90,14 +90,23 @@ def keyword_share(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     return found.groupBy("qid", "id").agg(F.sum("times").alias("hits")).join(totals, "qid").select("qid", "id", (F.col("hits") / F.col("of")).alias("score"))
 
 
+def one_each(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """RET12: id, tokens of one of each equal text, the one with the smallest id."""
+    sized = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("h"), text.estimate_tokens(F.col(text_col)).alias("tokens"))
+    return sized.groupBy("h").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")).drop("h")
+
+
 def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int = vocab.INJECT_ROWS, least_priority: float = vocab.INJECT_LEAST_PRIORITY) -> DataFrame:
     """RET12, SRT1: fill a token budget in order of score per token; what doesn't fit is skipped, not an end.
 
-    ranked: group, id, score, tokens (a bounded candidate list a group, such as a top-k). Rows that can't
-    fit at all are dropped before the fold, which is exact.
+    ranked: group, id, score, tokens: all candidates, of equal texts one. Rows that can't fit at all are dropped,
+    and of rows of one size all but the `most` best: when it is a row's turn, a better one of its size was taken
+    or didn't fit, and then the row doesn't either. A group's list thus has at most budget * most rows, and the fold is exact.
     """
     row = "struct<id:bigint,tokens:bigint>"
     ok = ranked.where((F.col("score") > 0) & (F.col("tokens") <= budget)).withColumn("priority", F.col("score") / F.col("tokens")).where(F.col("priority") >= least_priority)
+    same_size = Window.partitionBy(group, "tokens").orderBy(F.col("priority").desc(), "id")
+    ok = ok.withColumn("_n", F.row_number().over(same_size)).where(F.col("_n") <= most)
     listed = ok.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id"), F.col("tokens")))).alias("rows"))
     start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{row}>").alias("kept"))
 

@@ -1,10 +1,13 @@
 """Operators on literal rows, with the reference's behaviour families."""
 
+import collections
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from skein.operators import analytics, facts, graph, markdown, retrieval, sequences
+from skein.plans import ranking
 
 
 def test_merge_keeps_order_of_ids(spark):
@@ -37,6 +40,36 @@ def test_budget_skips_and_goes_on(spark):
     assert [(r["place"], r["id"]) for r in retrieval.select_within(rows, 100, least_priority=0.0).orderBy("place").collect()] == [(1, 1), (2, 3)]
 
 
+def brute_fold(rows, budget, most=8):
+    """rows: (id, score, tokens) of one question."""
+    left, kept = budget, []
+    for i, score, tokens in sorted(rows, key=lambda r: (-r[1] / r[2], r[0])):
+        if tokens <= left and score > 0 and len(kept) < most:
+            left, kept = left - tokens, [*kept, i]
+    return kept
+
+
+def test_budget_equals_the_fold_over_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(q, i, float(rng.randrange(0, 50)), rng.randrange(1, 40)) for q in range(6) for i in range(400)]
+    df = spark.createDataFrame(rows, "qid long, id long, score double, tokens long")
+    for budget in (3, 60, 1000):
+        got = collections.defaultdict(list)
+        for r in retrieval.select_within(df, budget, least_priority=0.0).orderBy("qid", "place").collect():
+            got[r["qid"]].append(r["id"])
+        assert dict(got) == {q: brute_fold([r[1:] for r in rows if r[0] == q], budget) for q in range(6)}
+
+
+def test_bm25_budget_reads_all_matches_once(spark):
+    texts = [(k, "etcd " * 30 + f"word{k} " * 600) for k in range(150)] + [(200, "etcd short"), (201, "etcd short"), (202, "etcd other"), (203, "nothing")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "etcd")], "item_id long, text string")
+    score = {r["id"]: round(r["score"], 6) for r in retrieval.bm25(documents, benchmark, "doc_id", "item_id").collect()}
+    want = brute_fold([(k, score[k], max(1, len(t) // 4)) for k, t in texts if k in score and k != 201], 8000)
+    assert {200, 202} <= set(want)
+    assert [r["id"] for r in ranking.bm25_budget(documents, benchmark).orderBy("place").collect()] == want
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "qid long, id long, rank long")
     gold = spark.createDataFrame([(1, 6), (1, 9), (2, 1)], "qid long, id long")
