@@ -66,10 +66,17 @@ def timeline_union(lineitem):
 @query(f"""
 WITH t AS ({_TRIPLES}) SELECT subject, object, valid_from, valid_to FROM t WHERE subject = 7 ORDER BY valid_from NULLS LAST, object, valid_to NULLS LAST LIMIT 100""")
 def entity_timeline(lineitem):
-    """KG11, SRT6: one entity's first hundred edges in time, undated ones last."""
+    """SRT6: one supplier's first hundred edges in time, undated ones last; `full_timeline` gives the whole."""
     return _triples(lineitem).where("subject = 7").orderBy(F.col("valid_from").asc_nulls_last(), "object", F.col("valid_to").asc_nulls_last()).limit(100).select("subject", "object", "valid_from", "valid_to")
 
 
+@query(f"""
+WITH t AS ({_TRIPLES}) SELECT * FROM (SELECT subject AS entity, 'out' AS dir, predicate, object AS other, valid_from, valid_to FROM t UNION ALL SELECT object, 'in', predicate, subject, valid_from, valid_to FROM t) WHERE entity = 7 ORDER BY valid_from NULLS LAST, dir, other, valid_to NULLS LAST""")
+def full_timeline(lineitem):
+    """KG11, SET1, SRT6: all of one entity's edges from both ends in time, undated ones last."""
+    return graph.timeline(_triples(lineitem)).where("entity = 7").orderBy(F.col("valid_from").asc_nulls_last(), "dir", "other", F.col("valid_to").asc_nulls_last())
+
+
 @query("""
 SELECT o_custkey, o_orderdate, o_orderstatus, n FROM (SELECT o_custkey, date_trunc('month', o_orderdate) AS o_orderdate, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'closed' ELSE 'open' END AS o_orderstatus, count(*) AS n FROM orders GROUP BY o_custkey, date_trunc('month', o_orderdate))""")
 def triple_validity(orders):

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from skein.operators import analytics, facts, graph, markdown, retrieval, sequences
-from skein.plans import ranking
+from skein.plans import knowledge, ranking
 
 
 def test_merge_keeps_order_of_ids(spark):
@@ -88,6 +88,14 @@ def test_triples_with_null_dates(spark):
     assert graph.add_triples(old, new, ["s", "p", "o", "f"]).count() == 2
 
 
+def test_full_timeline_has_all_edges_of_both_ends(spark):
+    at = dt.datetime(2024, 1, 5)
+    lines = spark.createDataFrame([(7, k, at + dt.timedelta(days=31 * (k % 5)), "F") for k in range(200, 400)] + [(3, 7, at, "O"), (3, 8, at, "O")], "l_suppkey long, l_partkey long, l_shipdate timestamp, l_linestatus string")
+    got = [(r["dir"], r["other"], r["valid_from"]) for r in knowledge.full_timeline(lines).collect()]
+    assert sorted(x[1] for x in got if x[0] == "out") == list(range(200, 400)) and [x[1] for x in got if x[0] == "in"] == [3]
+    assert [x[2] for x in got] == sorted(x[2] for x in got)
+
+
 def test_error_runs(spark):
     rows = spark.createDataFrame([(1, 1, True, "x"), (1, 2, True, "x"), (1, 3, False, "x"), (1, 4, True, "x"), (1, 5, True, "y"), (1, 6, True, ""), (1, 7, True, "")], "s long, at long, bad boolean, on string")
     got = {r["at"]: r["run"] for r in sequences.error_runs(rows, "s", ["at"], F.col("bad"), F.col("on")).collect()}
