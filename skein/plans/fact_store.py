@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein import vocab
 from skein.functions import scoring, text
 from skein.operators import facts
 
@@ -34,12 +35,28 @@ l AS (SELECT new_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM
 p AS (SELECT new_id, old_id, count(*) AS shared FROM l JOIN r ON l.t = r.t AND l.n <> r.n WHERE length(l.t) >= 7 GROUP BY ALL HAVING count(*) >= 5)
 SELECT new_id, min(old_id) AS conflict_with, count(*) AS conflicts FROM p GROUP BY new_id""")
 def contradiction_pairs(benchmark, documents):
-    """PRJ13, JN11: questions as new facts against all English texts; words of seven letters and more are evidence, two words stand for a negation."""
+    """JN11: questions as new facts against English texts by words of seven letters and more; two words stand for a negation. `contradictions_all` searches the whole table."""
     new = benchmark.select(F.col("item_id").alias("id"), F.lit("en").alias("domain"), "text")
     old = documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
     return facts.contradictions(new, old, negations=("only", "was"), least_size=7)
 
 
+_NEGATIONS = ("only", "was")
+_STOP = tuple(x for x in dict.fromkeys(vocab.CONTRADICTION_STOP) if x not in _NEGATIONS)
+
+
+@query(rf"""
+WITH a AS (SELECT item_id AS new_id, list_filter({_TOKENS}, lambda x: x NOT IN {_STOP}) AS w FROM benchmark), b AS (SELECT doc_id AS old_id, list_filter({_TOKENS}, lambda x: x NOT IN {_STOP}) AS w FROM documents),
+l AS (SELECT new_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM a), r AS (SELECT old_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM b),
+p AS (SELECT new_id, old_id, count(*) AS shared FROM l JOIN r ON l.t = r.t AND l.n <> r.n GROUP BY ALL HAVING count(*) >= 5)
+SELECT new_id, min(old_id) AS conflict_with, count(*) AS conflicts FROM p GROUP BY new_id""")
+def contradictions_all(benchmark, documents):
+    """PRJ13, JN11: questions as new facts of every domain against all texts; all words but stop words are evidence, two words stand for a negation."""
+    new = benchmark.select(F.col("item_id").alias("id"), F.lit("any").alias("domain"), "text")
+    old = documents.select(F.col("doc_id").alias("id"), F.lit("any").alias("domain"), "text")
+    return facts.contradictions(new, old, negations=_NEGATIONS, stop=_STOP)
+
+
 @query("""
 SELECT doc_id, round(priority, 6) AS priority FROM (SELECT doc_id, (1 - CASE WHEN toxic = 1 THEN 0.3 ELSE 0.5 END) * (0.4 + quality * 0.3) AS priority FROM documents JOIN labels USING (doc_id)) ORDER BY round(priority, 6) DESC, doc_id LIMIT 50""")
 def review_queue(documents, labels):

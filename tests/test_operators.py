@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from skein.operators import analytics, facts, graph, markdown, retrieval, sequences
-from skein.plans import knowledge, ranking
+from skein.plans import fact_store, knowledge, ranking
 
 
 def test_merge_keeps_order_of_ids(spark):
@@ -29,6 +29,13 @@ def test_contradiction_needs_one_negation(spark):
     assert [tuple(r) for r in facts.contradictions(new, old).collect()] == [(9, 1, 1)]
 
 
+def test_contradictions_of_short_words_in_all_languages(spark):
+    benchmark = spark.createDataFrame([(9, "the etcd node runs with six cores and disk")], "item_id long, text string")
+    texts = [(1, "etcd node runs only six cores disk", "de"), (2, "etcd node runs six cores disk", "en"), (3, "the with and was on of at etcd node runs", "en"), (4, "was etcd node runs six cores", "en")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert [tuple(r) for r in fact_store.contradictions_all(benchmark, documents).collect()] == [(9, 1, 2)]
+
+
 def test_demotion_is_monotone(spark):
     rows = spark.createDataFrame([(1, "c", 5, True, 0.5, "auto"), (2, "c", 1, True, 0.4, "auto"), (3, "d", 2, False, 0.3, "auto"), (4, "d", 1, False, 0.9, "confirmed")], "id long, cluster string, confirmations long, verified boolean, score double, review_state string")
     got = {r["id"]: (r["state"], r["tier"]) for r in facts.demote(rows).collect()}
