@@ -17,15 +17,25 @@ from skein.llm.queries import tokenizer_file
 QUALITY = 0.3
 
 
+#: A key of each row, made at the start of a stage that judges rows by join; ids may be null or repeat.
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, which is fixed by writing the table."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the chosen (all their rows, if a doc_id repeats)."""
-    return docs.join(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), F.col("doc_id") == F.col("chosen_id"), "left_semi")
+    """Rows of docs whose ROW is among the chosen."""
+    return docs.join(chosen.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a probability of 0.5 or more."""
-    model = language.fit_text_model(docs, "lang")
-    return _keep(docs, language.identify(docs, model, host_col="source").where("accepted"))
+    """Documents whose language is known with a probability of 0.5 or more; each row is judged on its own."""
+    columns, model = docs.columns, language.fit_text_model(docs, "lang")
+    docs = _keyed(docs)
+    return _keep(docs, language.identify(docs, model, id_col=ROW, host_col="source").where("accepted")).select(*columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +45,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    return _keep(docs, ngram_join.ngram_components(docs).where("doc_id = component_id"))
+    """One document of each group of near duplicates, the one with the smallest doc_id (a null one is last); rows that repeat an id are compared each, texts without words are all kept."""
+    columns, docs = docs.columns, _keyed(docs)
+    members = ngram_join.ngram_components(docs, id_col=ROW).select(F.col("doc_id").alias("r"), "component_id")
+    own = members.join(docs.select(ROW, "doc_id"), F.col("r") == F.col(ROW))
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first"))
+    return _keep(docs, first.select(f"first.{ROW}")).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

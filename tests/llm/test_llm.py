@@ -544,3 +544,26 @@ def test_pipeline(spark):
     sets = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert all(c == i for i, (_, c) in sets.items())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == kept
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    clean = corpus_pipeline.identified(spark, docs, SF).where("lang = 'en'").orderBy("doc_id").first().asDict()
+    more = spark.createDataFrame([clean | {"doc_id": None}, clean, clean | {"text": "12 34 56"}], docs.schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.identified(spark, docs.unionByName(more), SF).collect()]
+    assert (None, clean["text"]) in got and got.count((clean["doc_id"], clean["text"])) == 2 and (clean["doc_id"], "12 34 56") not in got
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (5, b), (5, c), (3, c + " end"), (None, "one text with no id at all"), (None, b), (7, "")]
+    left = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(1, a), (5, b), (3, c + " end"), (None, "one text with no id at all"), (7, "")], key=repr)
+
+
+def test_pipeline_of_no_rows(spark):
+    import corpus_pipeline
+
+    empty = documents(spark).limit(0)
+    for stage in (corpus_pipeline.identified, corpus_pipeline.distinct):
+        assert stage(spark, empty, SF).count() == 0
