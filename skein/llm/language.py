@@ -10,8 +10,8 @@ Each row's evidence for a language is added up in logarithms:
   `strength` pseudo rows.
 A row is accepted if the likeliest language is not `und` and has a probability of `least` or more.
 
-The text model is fitted on at most `SAMPLE` labelled texts a language of at most
-`SAMPLE_BYTES` bytes, those with the smallest hash of the id; labels are no evidence.
+The text model is fitted on at most `SAMPLE` texts of every label, those with the smallest hash
+of the id; a text over `SAMPLE_BYTES` bytes gives a window of that size; labels are no evidence.
 
 Defined results: a null or empty text, or one without a letter, is `und`; a null host shares
 the global prior; rows with a null id are judged too; rows that repeat an id are judged each; an
@@ -93,16 +93,16 @@ class TextModel:
 
 
 def fit_text_model(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> TextModel:
-    """Counts trigrams of a bounded sample of labelled texts on the driver."""
-    text = F.col(text_col).cast("string")
-    labelled = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"), text.alias("text")).where(F.octet_length("text").between(3, most_bytes))
+    """Counts trigrams of a bounded sample of texts of every label on the driver; of a longer text a window of most_bytes, placed by the id's hash, counts."""
+    data, h = F.col(text_col).cast("string").cast("binary"), F.xxhash64(id_col)
+    start = F.pmod(h, F.greatest(F.octet_length(data) - most_bytes + 1, F.lit(1))).cast("int") + 1
+    labelled = df.where(F.col(label_col).isNotNull() & (F.octet_length(data) >= 3)).select(F.col(label_col).alias("label"), h.alias("h"), F.substring(data, start, F.lit(most_bytes)).alias("text"))
     counts: dict[str, np.ndarray] = {}
-    names = [r["label"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(200).collect()]
-    for name in sorted(names):
+    for name in sorted(r["label"] for r in labelled.select("label").distinct().collect()):
         rows = labelled.where(F.col("label") == name).orderBy("h", "text").limit(sample).collect()
         own = np.zeros(SLOTS)
         for r in rows:
-            own += np.bincount(trigram_slots(np.frombuffer(r["text"].encode(), np.uint8)), minlength=SLOTS)
+            own += np.bincount(trigram_slots(np.frombuffer(r["text"], np.uint8)), minlength=SLOTS)
         counts[name] = own
     table = np.full((SLOTS, len(counts) + 1), -np.log(SLOTS), np.float32)
     for k, name in enumerate(sorted(counts)):

@@ -100,6 +100,15 @@ def test_language(spark):
     assert {r["language"] for r in language.identify(docs.limit(3), language.fit_text_model(docs.limit(0), "lang")).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    rows = [(k, "the quick brown fox " * 9, f"l{k:03}") for k in range(201)] + [(900 + k, "größe übermäßig straße " * 700, "zz") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    assert len(language.fit_text_model(df.where("doc_id < 201"), "lang").languages) == 201
+    model = language.fit_text_model(df.where("doc_id = 0 or doc_id >= 900"), "lang")
+    assert model.languages == ("l000", "zz")
+    assert language.identify(df.where("doc_id = 900"), model).first()["language"] == "zz"
+
+
 def test_evidence_is_fused(spark):
     model = language.fit_text_model(documents(spark), "lang")
     rows = [(1, "http://a.example.fr/", '<html lang="fr">ok'), (2, "http://b.example.de/x", '<html lang="de">ok'), (3, None, None)]
