@@ -95,47 +95,78 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(headers, block), end
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """A gzip member's content, and where it ends."""
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """A gzip member's content as far as it can be inflated, where that ends, and what is wrong (empty if nothing)."""
     z, out, here = zlib.decompressobj(31), [], at
     while not z.eof:
         if here >= len(data):
-            raise ValueError("truncated member")
+            return b"".join(out), len(data), "truncated member"
         try:
             out.append(z.decompress(data[here : here + step]))
         except zlib.error as e:
-            raise ValueError(f"broken member: {e}") from None
+            if step > 1:  # what the step gave before the damage
+                z, step = zlib.decompressobj(31), 1
+                out = [z.decompress(data[at:here])] if here > at else []
+                continue
+            return b"".join(out), here, f"broken member: {e}"
         here += step
-    return b"".join(out), min(here, len(data)) - len(z.unused_data)
+    return b"".join(out), min(here, len(data)) - len(z.unused_data), ""
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    if data[at : at + 3] != _MEMBER:
-        record, end = _parse(data, at)
-        return [record], end
-    content, end = _inflate(data, at)
-    out, here = [], 0
+def _within(content: bytes) -> tuple[list[Record], list[str]]:
+    """The records of a member's content, and what is wrong between them."""
+    out, wrong, here, lost = [], [], 0, None
     while here < len(content):
-        record, here = _parse(content, here)
+        try:
+            record, end = _parse(content, here)
+        except ValueError as e:
+            lost = (here, str(e)) if lost is None else lost
+            found = content.find(_VERSION, here + 1)
+            here = found if found >= 0 else len(content)
+            continue
+        if lost is not None:
+            wrong.append(f"{lost[1]}, inflated bytes {lost[0]} to {here}")
+            lost = None
         out.append(record)
-    return out, end
+        here = end
+    if lost is not None:
+        wrong.append(f"{lost[1]}, inflated bytes {lost[0]} to {here}")
+    return out, wrong
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records of an archive that can be read, and the gaps between them."""
+    """All records of an archive that can be read, and the gaps between them.
+
+    Of a broken member the records that were inflated count; a gap within a member has the member's place.
+    """
     at, lost, why = 0, None, ""
+    reached, inflated = 0, b""  # of the last broken member
     while at < len(data):
-        try:
-            records, end = _records_at(data, at)
-        except ValueError as e:
-            lost, why = (at, str(e)) if lost is None else (lost, why)
-            found = _NEXT.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if lost is not None:
+        records, wrong, broken = [], [], ""
+        if data[at : at + 3] == _MEMBER:
+            content, end, broken = _inflate(data, at)
+            records, wrong = _within(content)
+            if broken:
+                reached, inflated = end, content
+        else:
+            try:
+                record, end = _parse(data, at)
+                if at < reached and data[at:end] in inflated:  # a broken member stored it as it is: it was read already
+                    at = end
+                    continue
+                records = [record]
+            except ValueError as e:
+                broken = str(e)
+        if lost is not None and (records or not broken):
             yield Gap(lost, at, why)
             lost = None
         yield from records
+        if broken:
+            lost, why = (at, "; ".join([broken, *wrong])) if lost is None else (lost, why)
+            found = _NEXT.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        yield from (Gap(at, end, x) for x in wrong)
         at = end
     if lost is not None:
         yield Gap(lost, len(data), why)

@@ -440,6 +440,24 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and gaps(b"nothing") == [(0, 7)]
 
 
+@pytest.mark.parametrize("level", [0, 1])
+def test_salvage_within_members(level):
+    rng = random.Random(level)
+    records = [warc.build_record(k, f"http://h/{k}", rng.randbytes(300) + b"payload %d " % k * 50, None) for k in range(20)]
+    ids = lambda data: [int(x.headers["warc-record-id"][10:-1]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    gaps = lambda data: [(x.start, x.end) for x in warc.salvage(data) if isinstance(x, warc.Gap)]
+    whole = warc.member(b"".join(records), level)
+    assert ids(whole) == list(range(20)) and gaps(whole) == []
+    bad = warc.member(b"".join(records).replace(b"payload 3 ", b"PAYLOAD 3 ", 1), level)
+    assert ids(bad + whole) == [k for k in range(20) if k != 3] + list(range(20)) and gaps(bad + whole) == [(0, len(bad))]
+    crc = whole[:-8] + bytes(x ^ 0xFF for x in whole[-8:-4]) + whole[-4:]
+    assert ids(crc + whole) == list(range(20)) * 2 and gaps(crc + whole) == [(0, len(crc))]
+    half = whole[: len(whole) // 2]
+    some = ids(half)
+    assert 5 < len(some) < 20 and some == list(range(len(some))) and gaps(half) == [(0, len(half))]
+    assert ids(half + records[19])[: len(some)] == some
+
+
 # -- url filters ------------------------------------------------------------------------
 
 
