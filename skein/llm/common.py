@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; one of our own only where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset and all runs in one process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(sc, "_skein_shared", None)
         if folder is None:
             folder = sc._skein_shared = "file://" + tempfile.mkdtemp(prefix="skein-")
@@ -42,6 +45,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this part of all, and than so many, is dealt out over several tasks.
+HOT, HOT_ROWS = 1024, 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left", sizes: DataFrame | None = None) -> DataFrame:
+    """rows joined with groups (a row a key; size: how many of the total rows have it); no task gets much more than a HOT-th of the rows for one key.
+
+    Keys with more rows than that - HOT of them at most, so their list is broadcast - are salted,
+    and their row of groups is repeated once a salt. Rows with a null key find nothing. sizes: keys and
+    sizes of the groups, where groups would be costly to compute for them.
+    """
+    salts = F.ceil(F.col(size) / max(HOT_ROWS, -(-(total or 0) // HOT))).cast("int")
+    hot = (groups if sizes is None else sizes).where(salts > 1).select(*keys, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int"), F.lit(0)))
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt", "_salts")
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and its n + 1 offsets into them; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

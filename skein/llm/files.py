@@ -9,6 +9,7 @@ from pyarrow import fs
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """A path without a scheme is one of the file system that all machines mount alike."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
@@ -57,3 +58,10 @@ def read_all(uri: str) -> bytes:
     system, path = file_system(uri)
     with system.open_input_file(path) as f:
         return f.read()
+
+
+def write_file(uri: str, data: bytes) -> None:
+    system, path = file_system(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as f:
+        f.write(data)
