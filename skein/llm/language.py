@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, slices, utf8
+from .common import batch, join_groups, materialize, slices, small, utf8
 
 SAMPLE, SAMPLE_BYTES = 400, 8192
 #: Slots that trigrams are hashed to; bytes of text worked on at a time.
@@ -68,42 +68,52 @@ class TextModel:
     table: np.ndarray  # SLOTS x (languages + und), log probabilities
 
     def evidence(self, data: np.ndarray, off: np.ndarray, weight: float) -> np.ndarray:
-        """Log evidence of each text for each language and `und`."""
-        out = np.zeros((len(off) - 1, self.table.shape[1]))
-        for first, last in slices(off, BLOCK):
-            bounds = off[first : last + 1] - off[first]
-            if bounds[-1] < 3:
+        """Log evidence of each text for each language and `und`. Blocks of bytes are worked on, wherever texts begin and end, so a long text takes no more room."""
+        sums = np.zeros((len(off) - 1, self.table.shape[1] + 1))
+        for at in range(int(off[0]), int(off[-1]), BLOCK):
+            stop = min(at + BLOCK, int(off[-1]))
+            part = data[at : min(stop + 2, int(off[-1]))]
+            if len(part) < 3:
                 continue
-            part = data[off[first] : off[last]]
             wordy = _WORDY[part]
             wordy = wordy[:-2] & wordy[1:-1] & wordy[2:]
-            # a last row for texts that end before their third byte
+            # a last row for runs that end with the block
             scores = np.zeros((len(wordy) + 1, self.table.shape[1] + 1), np.float32)
-            at = np.flatnonzero(wordy)
-            scores[at, :-1] = self.table[trigram_slots(part)[at]]
-            scores[at, -1] = 1
-            size = np.diff(bounds) - 2
-            some = np.flatnonzero(size > 0)
-            # sums between each text's first trigram and the end of its last
-            cuts = np.stack([bounds[some], bounds[some] + size[some]], 1).ravel()
-            sums = np.add.reduceat(scores, cuts, axis=0, dtype=np.float64)[::2]
-            n = sums[:, -1:]
-            out[first + some] = sums[:, :-1] / np.maximum(n, 1) * np.minimum(n, weight)
-        return out
+            places = np.flatnonzero(wordy)
+            scores[places, :-1] = self.table[trigram_slots(part)[places]]
+            scores[places, -1] = 1
+            first, last = int(np.searchsorted(off, at, "right")) - 1, int(np.searchsorted(off, stop, "left"))
+            low = np.maximum(off[first:last] - at, 0)
+            high = np.clip(off[first + 1 : last + 1] - 2 - at, 0, len(wordy))
+            some = np.flatnonzero(high > low)
+            # sums between each text's first trigram here and the end of its last
+            cuts = np.stack([low[some], high[some]], 1).ravel()
+            if len(cuts):
+                sums[first + some] += np.add.reduceat(scores, cuts, axis=0, dtype=np.float64)[::2]
+        n = sums[:, -1:]
+        return sums[:, :-1] / np.maximum(n, 1) * np.minimum(n, weight)
 
 
 def fit_text_model(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> TextModel:
-    """Counts trigrams of a bounded sample of texts of every label on the driver; of a longer text a window of most_bytes, placed by the id's hash, counts."""
-    data, h = F.col(text_col).cast("string").cast("binary"), F.xxhash64(id_col)
-    start = F.pmod(h, F.greatest(F.octet_length(data) - most_bytes + 1, F.lit(1))).cast("int") + 1
-    labelled = df.where(F.col(label_col).isNotNull() & (F.octet_length(data) >= 3)).select(F.col(label_col).alias("label"), h.alias("h"), F.substring(data, start, F.lit(most_bytes)).alias("text"))
+    """Counts trigrams of a bounded sample of texts of every label on the driver; of a longer text a window of most_bytes, placed by the id's hash, counts.
+
+    Which rows are taken is decided on (label, hash) alone: a threshold by label, from the number of its distinct
+    hashes, leaves a few times the sample; only the chosen rows' windows reach the driver.
+    """
+    data = F.col(text_col).cast("string").cast("binary")
+    h = F.when(F.col(id_col).isNull(), F.xxhash64(data)).otherwise(F.xxhash64(id_col))
+    start = F.pmod(h, F.greatest(F.octet_length(data) - most_bytes + 1, F.lit(1)).cast("long")).cast("int") + 1
+    labelled = df.where(F.col(label_col).isNotNull() & (F.octet_length(data) >= 3)).select(F.col(label_col).alias("label"), h.alias("h"), F.substring(data, start, F.lit(most_bytes)).alias("window"))
+    size = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    size = df.sparkSession.createDataFrame(size.collect(), size.schema)  # a row a label, as the model has
+    place = F.shiftrightunsigned("h", 12) / float(1 << 52)  # in [0, 1), uniform
+    some = labelled.select("label", "h").join(F.broadcast(size), "label").where(place * F.col("n") <= 3.0 * sample + 60).groupBy("label", "h").agg(place.alias("at"))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("at", "h"))).where(F.col("rank") <= sample).select(F.col("label").alias("l"), F.col("h").alias("k"))
+    chosen = labelled.join(F.broadcast(ranked), (F.col("label") == F.col("l")) & (F.col("h") == F.col("k")))  # ranked: `sample` rows a label
     counts: dict[str, np.ndarray] = {}
-    for name in sorted(r["label"] for r in labelled.select("label").distinct().collect()):
-        rows = labelled.where(F.col("label") == name).orderBy("h", "text").limit(sample).collect()
-        own = np.zeros(SLOTS)
-        for r in rows:
-            own += np.bincount(trigram_slots(np.frombuffer(r["text"], np.uint8)), minlength=SLOTS)
-        counts[name] = own
+    for r in chosen.groupBy("label", "h").agg(F.min("window").alias("window")).collect():
+        own = counts.setdefault(r["label"], np.zeros(SLOTS))
+        own += np.bincount(trigram_slots(np.frombuffer(r["window"], np.uint8)), minlength=SLOTS)
     table = np.full((SLOTS, len(counts) + 1), -np.log(SLOTS), np.float32)
     for k, name in enumerate(sorted(counts)):
         table[:, k] = np.log((counts[name] + 0.05) / (counts[name].sum() + 0.05 * SLOTS))
@@ -127,7 +137,7 @@ def _sums(column: str, n: int) -> list[Column]:
 
 
 def host_priors(rows: DataFrame, n: int, strength: float) -> DataFrame:
-    """host, prior: soft counts by host, smoothed by its parent domain's, those by all rows'.
+    """h (the host), prior, n (its rows): soft counts by host, smoothed by its parent domain's, those by all rows'.
 
     rows: host, share (array of n). The parent of a host is what follows its first dot.
     """
@@ -138,7 +148,7 @@ def host_priors(rows: DataFrame, n: int, strength: float) -> DataFrame:
     smooth = lambda own, size, above: (F.coalesce(own, F.lit(0.0)) + strength * above) / (F.coalesce(size, F.lit(0)) + strength)
     world = [(F.col(f"g{k}") + 1.0 / n) / (F.col("all") + 1.0) for k in range(n)]
     above = [smooth(F.col(f"p{k}"), F.col("pn"), world[k]) for k in range(n)]
-    return known.select(F.col("host").alias("h"), F.array(*[smooth(F.col(f"s{k}"), F.col("n"), above[k]) for k in range(n)]).alias("prior"))
+    return known.select(F.col("host").alias("h"), F.array(*[smooth(F.col(f"s{k}"), F.col("n"), above[k]) for k in range(n)]).alias("prior"), "n")
 
 
 def identify(df: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, url_col: str | None = None, declared_col: str | None = None, weight: float = 60.0, declared_trust: float = 0.9, suffix_trust: float = 0.8, strength: float = 20.0, least: float = 0.5) -> DataFrame:
@@ -161,7 +171,7 @@ def identify(df: DataFrame, model: TextModel, id_col: str = "doc_id", text_col:
     keep = ["id", "host", "declared", "suffix"]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             data, off = utf8(b.column(1))
             said = model.evidence(data, off, weight)
             said[:, -1] += np.where(has_letters(data, off), UND_PRIOR, 50.0)  # no letter, no language
@@ -173,8 +183,8 @@ def identify(df: DataFrame, model: TextModel, id_col: str = "doc_id", text_col:
     declared, suffix = (_known(F.col(x), languages, t) if languages else [F.lit(0.0)] for x, t in (("declared", declared_trust), ("suffix", suffix_trust)))
     rows = rows.withColumn("evidence", F.array(*[F.col("said")[k] + declared[k] + suffix[k] for k in range(size)]))
     rows = materialize(rows.withColumn("share", _softmax("evidence")).drop("said"), "evidence")
-    priors = host_priors(rows.where("host is not null and host != ''"), size, strength)
-    fused = rows.join(priors, F.col("host") == F.col("h"), "left").withColumn("post", F.when(F.col("prior").isNull(), F.col("evidence")).otherwise(F.zip_with("evidence", "prior", lambda e, p: e + F.log(p))))
+    priors = host_priors(rows.where("host is not null and host != ''"), size, strength).withColumnRenamed("h", "host")
+    fused = join_groups(rows, priors, ["host"], "n", rows.count()).withColumn("post", F.when(F.col("prior").isNull(), F.col("evidence")).otherwise(F.zip_with("evidence", "prior", lambda e, p: e + F.log(p))))
     best = F.array_max("p")
     names = F.array(*[F.lit(x) for x in (*languages, UND)])
     out = fused.withColumn("p", _softmax("post")).withColumn("confidence", best).withColumn("language", F.element_at(names, F.array_position("p", best).cast("int")))
