@@ -4,7 +4,8 @@ A text's bytes are cut into overlapping chunks that cover all of it. In a chunk,
 vectors go through learned filters (width 8, step 2), each filter's largest response is kept and
 a hidden layer follows; mean and maximum of the hidden values over the chunks combine
 into one probability. The network is trained with Adam on at most `ROWS` labelled texts (those
-with the smallest hash of the id), `VIEWS` chunks of each drawn anew every epoch; scoring reads every byte.
+with the smallest hash of the id), `VIEWS` chunks of each drawn anew every epoch. Of a text with more than
+`DRAWN` chunks, that many reach the trainer, drawn over the whole text; scoring reads every byte.
 
 Defined results: a null or empty text is one chunk of padding and gets a score too; rows with a
 null or repeated id are scored each; without labels every score is 0.5; an empty table gives no
@@ -21,10 +22,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, utf8
+from .common import small, utf8
 
-#: Bound of the training sample, in rows; bytes kept of a longer text of it (a window by the id's hash).
-ROWS, TRAIN_BYTES, VIEWS, STEPS = 3000, 16384, 4, 420
+#: Bounds of the training sample: rows, and chunks of a row.
+ROWS, DRAWN, VIEWS, STEPS = 3000, 64, 4, 420
 CHUNK, STEP, PAD = 256, 224, 0
 VECTOR, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 
@@ -124,14 +125,13 @@ def _gradient(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [d_vectors, d_filters, d_pooled.sum(0), active.T @ d_z, d_z.sum(0), both.T @ d, np.array([d.sum()], np.float32)]
 
 
-def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 7) -> Network:
-    """Adam with a falling rate on chunks drawn anew every epoch; the same rows give the same network."""
+def train(cut: list[np.ndarray], labels: list[int], steps: int = STEPS, seed: int = 7) -> Network:
+    """Adam with a falling rate on chunks (rows of CHUNK bytes) drawn anew every epoch; the same rows give the same network."""
     rng = np.random.default_rng(seed)
     net = _fresh(rng)
-    if not texts:
+    if not cut:
         net.out[:] = 0
         return net
-    cut = [chunks(np.frombuffer(t, np.uint8)) for t in texts]
     y = np.array(labels, np.float32)
     names = list(vars(net))
     m, v = ([np.zeros_like(getattr(net, k)) for k in names] for _ in range(2))
@@ -162,12 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc
     """Trains on a bounded sample of the labelled rows that aren't held out."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("order"))
     chosen = marked.orderBy("order", "label_id", "label").limit(rows)
-    # whole words aren't needed here: a window whose place follows from the id's hash
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    window = F.substring(text, F.lit(1) + F.pmod("order", F.greatest(F.lit(1), F.length(text) - TRAIN_BYTES // 2).cast("long")).cast("int"), F.lit(TRAIN_BYTES // 2))
-    found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select("order", "label_id", "label", window.alias("window"))  # chosen: `rows` rows at most
-    got = found.orderBy("order", "label_id", "window").limit(rows).collect()
-    return train([r["window"].encode() for r in got], [r["label"] for r in got])
+    found = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data")).join(F.broadcast(chosen), F.col(id_col) == F.col("label_id"))  # chosen: `rows` rows at most
+    # the places of the chunks as `chunks` cuts them: all, or DRAWN of them by a hash, one from each of DRAWN equal runs
+    count = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(0), F.octet_length("data") - CHUNK) / STEP) + 1).cast("long")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(DRAWN - 1)), lambda k: F.floor((k + F.pmod(F.xxhash64("order", k), F.lit(1000)) / 1000) * F.col("count") / DRAWN))
+    places = F.when(F.col("count") <= DRAWN, F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).otherwise(drawn)
+    cut = F.transform("places", lambda k: F.substring("data", (k * STEP + 1).cast("int"), F.lit(CHUNK)))
+    found = found.withColumn("count", count).withColumn("places", places).select("order", "label_id", "label", cut.alias("cut"))
+    got = found.orderBy("order", "label_id", "cut").limit(rows).collect()
+    return train([np.stack([chunks(np.frombuffer(c, np.uint8))[0] for c in r["cut"]]) for r in got], [r["label"] for r in got])
 
 
 def score(df: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -176,7 +179,7 @@ def score(df: DataFrame, net: Network, text_col: str = "text", score_col: str =
     at = [f.name for f in fields].index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             own = np.round(net.score(*utf8(b.column(at))), 6)  # how texts are batched shows in the last digits only
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, score_col])
 
