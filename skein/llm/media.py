@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, new_folder
+from .common import batch, join_groups, materialize, new_folder, small
 from .files import Ranges, Roller
 
 WIDTH, SHARD, LEVEL = 64, 64 << 20, 6
@@ -92,7 +92,7 @@ def store(df: DataFrame, folder: str, shard: int = SHARD, id_col: str = "doc_id"
 
     def write(batches):
         files, known = Roller(folder, TaskContext.get().partitionId(), ".tar", shard), set()
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 payload = payload_of(text)
@@ -112,8 +112,9 @@ def store(df: DataFrame, folder: str, shard: int = SHARD, id_col: str = "doc_id"
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: the one place that stands for a digest."""
-    return rows.where("shard is not null").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    """digest, shard, offset, length, copies: the one place that stands for a digest, and how many rows have it."""
+    place = F.min(F.when(F.col("shard").isNotNull(), F.struct("shard", "offset", "length")))
+    return rows.groupBy("digest").agg(place.alias("p"), F.count("*").alias("copies")).select("digest", "p.*", "copies")
 
 
 def read_metadata(at: DataFrame) -> DataFrame:
@@ -131,20 +132,20 @@ def read_metadata(at: DataFrame) -> DataFrame:
 
 def read_features(at: DataFrame) -> DataFrame:
     """What is known of each member: metadata by its header, then features of the whole payload read back."""
-    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("shard", pa.string()), ("offset", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("shard", pa.string()), ("offset", pa.int64()), ("copies", pa.int64())])
 
     def read(batches):
         files = Ranges()
-        for b in batches:
+        for b in small(batches):
             rows = []
-            for name, shard, offset, length in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for name, shard, offset, length, copies in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 header = png_header(files.read(shard, offset, HEADER))
                 image = files.read(shard, offset, length)
                 payload = from_png(image)
-                rows.append((name, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), feature_of(payload), *header, shard, offset))
+                rows.append((name, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), feature_of(payload), *header, shard, offset, copies))
             yield batch({f.name: [r[k] for r in rows] for k, f in enumerate(schema)}, schema)
 
-    return at.select("digest", "shard", "offset", "length").mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, width int, height int, bits int, shard string, offset long")
+    return at.select("digest", "shard", "offset", "length", "copies").mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, width int, height int, bits int, shard string, offset long, copies long")
 
 
 def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,4 +156,4 @@ def media_columns(df: DataFrame, folder: str | None = None, id_col: str = "doc_i
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = read_features(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset"))
     shown = lambda x: F.lower(F.hex(x)).alias(x)
-    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", shown("payload_sha256"), "tail_crc32", "media_bytes", shown("media_sha256"), "feature", "width", "height", "bits", "shard", "offset")
+    return join_groups(rows.select("doc_id", "n_bytes", "digest"), known, ["digest"], "copies", rows.count(), "inner", sizes=at).select("doc_id", "n_bytes", "payload_bytes", shown("payload_sha256"), "tail_crc32", "media_bytes", shown("media_sha256"), "feature", "width", "height", "bits", "shard", "offset")
