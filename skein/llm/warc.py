@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, new_folder
+from .common import batch, join_groups, materialize, new_folder, small
 from .files import Roller, read_all
 
 #: Bytes after which a new archive begins; one archive is read as a whole.
@@ -183,8 +183,8 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).where("page_id is not null")
     seen = materialize(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("n")), "page-digests")
     own = seen.groupBy("page_id").agg(F.min("hex").alias("hex"), F.min_by("n", "hex").alias("n"), F.count("*").alias("rows"))
-    last = own.where(F.col("n") >= smallest).groupBy("hex").agg(F.max("page_id").alias("last"))
-    placed = own.join(last, "hex", "left").select(F.col("page_id").alias("p"), F.col("hex").alias("x"), F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
+    last = own.where(F.col("n") >= smallest).groupBy("hex").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
+    placed = join_groups(own, last, ["hex"], "copies", seen.count()).select(F.col("page_id").alias("p"), F.col("hex").alias("x"), F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
     repeated = not seen.groupBy("page_id").count().where("count > 1").isEmpty()
     found = rows.join(placed, F.col("page_id") == F.col("p"))
     if repeated:
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int =
 
     def write(batches):
         files, out = Roller(folder, TaskContext.get().partitionId(), ".warc.gz", roll), {}
-        for b in batches:
+        for b in small(batches):
             for page, url, text, refers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = member(build_record(page, url, text.encode(), refers))
                 path, _ = files.append(data)
@@ -233,8 +233,17 @@ def read_archives(archives: DataFrame, path_col: str = "path", with_payload: boo
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The reader's rows, quarantined gaps among them, are written to a table before any is returned. Archives that were just
+    written must give back every record: if not, an error names the gaps' table.
+    """
     spark = pages.sparkSession
     files = materialize(write_archives(pages, folder or new_folder(spark, "warc")), "archives")
-    dealt = files.repartition(max(1, files.count()), "path")
-    return read_archives(dealt).where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    wrote = files.agg(F.count("*").alias("files"), F.sum("records").alias("records")).first()
+    log = materialize(read_archives(files.repartition(max(1, wrote["files"]), "path")), "warc-log")
+    gaps = log.where("record_type = 'gap'")
+    lost = (wrote["records"] or 0) - (log.count() - gaps.count())
+    if lost:
+        raise RuntimeError(f"{lost} records were lost; gaps are logged in {gaps.inputFiles()}")
+    return log.where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
