@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, small
 
 #: Fixed: white space as the tokenizer's patterns see it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -273,7 +273,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches):
         model = ByteBpe(tokenizer)
         decimal = [str(i) for i in range(len(model.length))]
-        for b in batches:
+        for b in small(batches):
             rows = []
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             for doc, ids in zip(b.column(0), model.encode_batch(texts), strict=True):

@@ -63,6 +63,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt", "_salts")
 
 
+def small(batches, rows: int = 2048):
+    """The rows of Arrow batches, some at a time: what is made of them in Python is bounded by that."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and its n + 1 offsets into them; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_groups, materialize
 
 
 #: Edges that a file may hold at least.
 EDGES_A_FILE = 200_000
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    # a hub's edges are dealt out
+    return join_groups(both.where("v > u"), low, ["u"], "c", 2 * n, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     state = _state(edges)
     while state["n"]:
         # few edges in many small files would cost more to open than to read
-        edges = materialize(_small(_large(edges)).coalesce(max(4, state["n"] // EDGES_A_FILE)), "edges")
+        edges = materialize(_small(_large(edges, state["n"])).coalesce(max(4, state["n"] // EDGES_A_FILE)), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, utf8
+from .common import batch, join_groups, materialize, small, utf8
 from .components import connected_components
 from .shingles import shingle_sets
 
 #: Sets in one cut of a large cluster; 64-bit words of a bitmap.
-CUT, WORDS = 4096, 32
+CUT, WORDS = 1024, 32
+#: Hashes of a narrowing in a task, and in a range, about; tasks at most, ranges a task at least.
+TASK, TASKS, RANGES = 1_000_000, 20_000, 8
 _CUT_BITS = 40
 
 
@@ -61,7 +63,7 @@ def shingle_keys(docs: DataFrame, n: int = 5) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             sizes, keys = [], []
             for own in shingle_sets(*utf8(b.column(1)), n):
                 sizes.append(len(own))
@@ -71,19 +73,22 @@ def shingle_keys(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
-def shared_counts(rows: DataFrame, sets_of, percent: int, ranges: int, probe_all: bool = False) -> DataFrame:
+def shared_counts(rows: DataFrame, sets_of, percent: int, hashes: int, probe_all: bool = False) -> DataFrame:
     """doc_id, shared: how many of a row's probe hashes occur in another row too; ids with none are left out.
 
     rows: doc_id and what sets_of (a function of an Arrow batch) makes its sets from. probe_all: all hashes are probed.
-    Rows travel as blocks: one a batch and range on the way out, one a range and batch on the way back.
+    Rows travel as blocks: one a batch and range on the way out, one a range and batch on the way back. A task holds one
+    range at a time; tasks and ranges grow with the number of hashes (about `hashes`), so a range's size doesn't.
     """
+    parts = min(TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // TASK)))
+    ranges = max(RANGES * parts, -(-hashes // TASK))
     block = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary())])
     answer = pa.schema([("batch", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
     counted = pa.schema([("doc_id", pa.int64()), ("shared", pa.int64())])
 
     def blocks(batches):
         task = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
+        for number, b in enumerate(small(batches, 5000)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             parts, whose = [], []
             for k, own in enumerate(sets_of(b)):
@@ -100,11 +105,10 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, ranges: int, probe_all
             low = (hashes >> np.uint64(64 - _CUT_BITS - 12)) & np.uint64((1 << _CUT_BITS) - 1)
             bounds = np.searchsorted(which, np.arange(ranges + 1))
             out = []
-            for r in range(ranges):
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
                 a, z = bounds[r], bounds[r + 1]
-                if a < z:
-                    local, docs_here = np.unique(whose[a:z], return_inverse=True)
-                    out.append((r, task << 32 | number, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), docs_here.astype("<u4").tobytes(), ids[local].tobytes()))
+                local, docs_here = np.unique(whose[a:z], return_inverse=True)
+                out.append((r, task << 32 | number, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), docs_here.astype("<u4").tobytes(), ids[local].tobytes()))
             yield batch(dict(zip(block.names, zip(*out, strict=True), strict=True)) if out else {x: [] for x in block.names}, block)
 
     def groups(batches):
@@ -148,8 +152,8 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, ranges: int, probe_all
             total = np.bincount(back, np.concatenate([np.frombuffer(x, "<u4") for _, x in kept]), len(ids))
             yield batch({"doc_id": ids, "shared": total.astype(np.int64)}, counted)
 
-    dealt = rows.mapInArrow(blocks, "range int, batch long, hashes binary, which binary, ids binary").repartition(ranges, "range").sortWithinPartitions("range")
-    back = dealt.mapInArrow(shared, "batch long, ids binary, counts binary").repartition(ranges, "batch").sortWithinPartitions("batch")
+    dealt = rows.mapInArrow(blocks, "range int, batch long, hashes binary, which binary, ids binary").repartition(parts, "range").sortWithinPartitions("range")
+    back = dealt.mapInArrow(shared, "batch long, ids binary, counts binary").repartition(parts, "batch").sortWithinPartitions("batch")
     return back.mapInArrow(gather, "doc_id long, shared long").groupBy("doc_id").agg(F.max("shared").alias("shared"))
 
 
@@ -205,7 +209,7 @@ def _tiles(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     sizes = banded.groupBy("component", "band").count()
     whole = sizes.groupBy("component").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / CUT).cast("int").alias("cuts")))).alias("cuts"))
     # a cluster has one entry a band: bounded by the logarithm of the longest text
-    at = banded.join(whole, "component")
+    at = join_groups(banded, whole, ["component"], "total", sets.count(), "inner")
     cuts = lambda band: F.coalesce(F.try_element_at("cuts", band), F.lit(0))
     salt = F.pmod(F.xxhash64("doc_id"), cuts(F.col("band")).cast("long")).cast("int")
     at = at.withColumn("salt", F.when(F.col("total") > CUT, salt).otherwise(0))
@@ -225,18 +229,20 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     """doc_id, n_shingles, component_id: a row per distinct id that is not null."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = materialize(shingle_keys(docs, n), "keys")
     one = materialize(keys.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "set_key"), F.coalesce("set_key", F.lit(b""))).alias("s")).select("doc_id", "s.*"), "keys")
-    classes = one.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = shared_counts(docs, lambda b: shingle_sets(*utf8(b.column(1)), n), percent, ranges)
+    classes = one.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("members"))
+    total = keys.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("rows")).first()
+    # a set is probed by less than half of its hashes
+    shared = shared_counts(docs, lambda b: shingle_sets(*utf8(b.column(1)), n), percent, (total["n"] or 0) // 2)
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     left = materialize(classes.join(shared, F.col("rep") == F.col("doc_id")).where(F.col("shared") >= need).select("doc_id", "set_key"), "left")
 
     schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary())])
 
     def whole(batches):
-        for b in batches:
+        for b in small(batches):
             own = list(shingle_sets(*utf8(b.column(1)), n))
             yield batch({"doc_id": b.column(0), "set_key": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own], "n": [len(x) for x in own], "hashes": [x.tobytes() for x in own]}, schema)
 
@@ -244,7 +250,7 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     # rows that repeat an id: the one that counts, once
     sets = materialize(found.join(left.select(F.col("doc_id").alias("d"), F.col("set_key").alias("k")), (F.col("doc_id") == F.col("d")) & (F.col("set_key") == F.col("k"))).drop("d", "k").dropDuplicates(["doc_id"]), "sets")
     # once more among those left, by all their hashes: percent of them must occur in another set
-    again = shared_counts(sets.select("doc_id", "hashes"), lambda b: [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()], percent, ranges, probe_all=True)
+    again = shared_counts(sets.select("doc_id", "hashes"), lambda b: [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()], percent, sets.agg(F.sum("n")).first()[0] or 0, probe_all=True)
     sets = materialize(sets.join(again, "doc_id").where(F.col("shared") >= F.ceil(F.col("n") * percent / 100)).drop("shared"), "sets")
 
     first = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
@@ -260,8 +266,8 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
                 yield batch({"h": np.concatenate(hs), "doc_id": np.concatenate(ids)}, first)
 
     prefix = materialize(sets.select("doc_id", "n", "hashes").mapInArrow(prefixes, "h long, doc_id long"), "prefix")
-    low = prefix.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
-    near = prefix.join(low, "h").where("doc_id != first").select("doc_id", "first").distinct()
+    low = prefix.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    near = join_groups(prefix, low, ["h"], "c", prefix.count(), "inner").where("doc_id != first").select("doc_id", "first").distinct()
     clusters = connected_components(near, "doc_id", "first")
     tiles = _tiles(sets, clusters, percent)
 
@@ -287,7 +293,8 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
         if out := close():
             yield batch({"src": [x for x, _ in out], "dst": [y for _, y in out]}, edges)
 
-    links = tiles.repartition(ranges, "tile").sortWithinPartitions("tile").select("tile", "side", "doc_id", "hashes").mapInArrow(link, "src long, dst long")
+    links = tiles.repartition(max(tasks, -(-sets.count() // CUT)), "tile").sortWithinPartitions("tile").select("tile", "side", "doc_id", "hashes").mapInArrow(link, "src long, dst long")
     joined = connected_components(links)
-    labels = classes.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("c"))
-    return one.join(labels, F.col("set_key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    labels = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set_key", "members", F.coalesce("component", "rep").alias("c"))
+    out = join_groups(one, materialize(labels, "labels"), ["set_key"], "members", total["rows"])
+    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

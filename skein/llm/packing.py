@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, materialize
+from .common import batch, materialize, small
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 #: Words kept per Python worker; the table starts anew when full.
@@ -33,7 +33,7 @@ CACHE_WORDS = 1_200_000
 #: Punctuation that is cut off behind a word: a run of it is a word of its own.
 _BEHIND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of text whose words are looked up together.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Python's split() treats these as space, the tokenizer doesn't; and its special tokens all start so.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
@@ -116,14 +116,14 @@ def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator:
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(budget + 1, np.int64)
         encode, end = WordEncoder(tokenizer), np.array([separator], "<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(["" if t is None else t for t in b.column(1).to_pylist()]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * budget)):
                     own = ids[at : at + 4 * budget]
                     n = len(own) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(own), task, int(seen[n]), own))
+                    rows.append((doc, k, at // 4, n, zlib.crc32(own), task, int(seen[n]), own if with_ids else None))
                     seen[n] += 1
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank", "ids"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

@@ -22,7 +22,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = int(_RNG.integers(1 << 61, 1 << 62)) * 2 + 1
 _Q = int(_RNG.integers(1 << 61, 1 << 62)) * 2 + 1
 #: Bytes of text worked on at a time (a longer text is worked on alone).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
