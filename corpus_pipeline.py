@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, quality, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one gets; all but the last
-return the columns of docs. A stage works on all rows that its predecessor kept.
+return the columns of docs, whatever other columns there are. A stage works on all rows that its
+predecessor kept and judges each row on its own, so rows with a null or repeated doc_id stay or go one by one.
+Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -17,44 +19,62 @@ from skein.llm.queries import tokenizer_file
 QUALITY = 0.3
 
 
-#: A key of each row, made at the start of a stage that judges rows by join; ids may be null or repeat.
-ROW = "_row"
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with ROW, which is fixed by writing the table."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row - ids may be null or repeat - fixed by writing the table, and the key's name."""
+    row = _fresh(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose ROW is among the chosen."""
-    return docs.join(chosen.select(ROW), ROW, "left_semi").drop(ROW)
+def _keep(docs: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose key is among the chosen (a column of keys), without the key."""
+    kept = docs.join(chosen.toDF(row), row, "left_semi")
+    return kept.drop(row)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a probability of 0.5 or more; each row is judged on its own."""
+    """Documents whose language is known with a probability of 0.5 or more.
+
+    A null or empty text, or one without a letter, goes. A null lang or source is no evidence, and a null lang
+    isn't learnt from; without any lang all documents go. An empty table gives no rows.
+    """
     columns, model = docs.columns, language.fit_text_model(docs, "lang")
-    docs = _keyed(docs)
-    return _keep(docs, language.identify(docs, model, id_col=ROW, host_col="source").where("accepted")).select(*columns)
+    docs, row = _keyed(docs)
+    told = language.identify(docs, model, id_col=row, host_col="source").where("accepted")
+    return _keep(docs, row, told.select(row)).select(*columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier gives QUALITY or more; each row gets its own score.
+
+    A null or empty text has a score too. Labels of a null doc_id or a null quality aren't learnt from; without
+    labels all stay. An empty table gives no rows.
+    """
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, score_col="quality_score").where(F.col("quality_score") >= QUALITY).drop("quality_score")
+    own = _fresh(docs, "score")
+    return quality.score(docs, net, score_col=own).where(F.col(own) >= QUALITY).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id (a null one is last); rows that repeat an id are compared each, texts without words are all kept."""
-    columns, docs = docs.columns, _keyed(docs)
-    members = ngram_join.ngram_components(docs, id_col=ROW).select(F.col("doc_id").alias("r"), "component_id")
-    own = members.join(docs.select(ROW, "doc_id"), F.col("r") == F.col(ROW))
-    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first"))
-    return _keep(docs, first.select(f"first.{ROW}")).select(*columns)
+    """One document of each group of near duplicates, the one with the smallest doc_id (a null one is last).
+
+    Rows that repeat an id are compared each; null and empty texts, and texts without words, all stay. An empty table gives no rows.
+    """
+    columns, (docs, row) = docs.columns, _keyed(docs)
+    members = ngram_join.ngram_components(docs, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    own = members.join(docs.select(row, "doc_id"), row)
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key"))).alias("first"))
+    return _keep(docs, row, first.select("first.key")).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token sequences."""
+    """The documents' token sequences, a row a piece. A null text is an empty one (one token); an empty table gives no rows."""
     return packing.pack(packing.encode_pieces(docs, tokenizer_file("word_bpe_49k.json")))
 
 

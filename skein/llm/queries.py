@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, covertree, language, media, ngram_join, packing, quality, sharding, url_filter, warc
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_file(name: str) -> str:
@@ -74,6 +75,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_quality_classifier, op7_media_columns, op8_warc, op9_url_filters, op10_sharding, language_id_pages, pipeline)}
-
-#: SQL can't express the others (tokenizers, trained models, base32, packing): tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}

@@ -82,6 +82,12 @@ def test_packing(spark, rows):
         assert at <= 4096
 
 
+def test_packing_takes_as_few_sequences_as_it_can(spark):
+    got = packing.pack(packing.encode_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
+    total = got.agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("s")).first()
+    assert total["s"] <= -(-total["n"] // 4096) + 1
+
+
 # -- language and quality ----------------------------------------------------
 
 
@@ -117,6 +123,78 @@ def test_evidence_is_fused(spark):
     assert [got[k]["declared"] for k in (1, 2, 3)] == ["fr", "de", None] and [got[k]["suffix"] for k in (1, 2)] == ["fr", "de"]
 
 
+def test_posterior_equals_brute_force(spark):
+    """All evidence of every row, host priors and the fused posterior, computed row by row."""
+    docs = documents(spark)
+    model = language.fit_text_model(docs, "lang")
+    texts = [r["text"][:300] for r in docs.orderBy("doc_id").limit(40).collect()]
+    urls = ["http://a.example.de/x", "http://b.example.de/", "HTTP://C.other.fr/", "no scheme", None, "http://single/"]
+    rows = [(k, urls[k % 6], [None, "EN", "fr", "xx"][k % 4], t) for k, t in enumerate([*texts, "", None, "12 34"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, said string, body string")
+    got = {r["page_id"]: r for r in language.identify(pages, model, id_col="page_id", text_col="body", url_col="url", declared_col="said").collect()}
+    names = [*model.languages, "und"]
+    size, evidence, hosts = len(names), {}, {}
+    for k, url, said, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        e = np.zeros(size)
+        if len(data) >= 3:
+            ok = [all(language._WORDY[data[i : i + 3]]) for i in range(len(data) - 2)]
+            at = language.trigram_slots(data)[np.array(ok)]
+            if len(at):
+                e = model.table[at].astype(float).sum(0) / len(at) * min(len(at), 60.0)
+        e[-1] += language.UND_PRIOR if language._LETTER[data].any() else 50.0
+        host = url.split("://")[1].split("/")[0].lower() if url and "://" in url else ""
+        hosts[k] = host
+        for value, trust in ((said and said.lower(), 0.9), (language.SUFFIXES.get(host.rsplit(".", 1)[-1]), 0.8)):
+            if value in model.languages:
+                e += [np.log(trust if x == value else (1 - trust) / (size - 2)) for x in model.languages] + [np.log(1 / (size - 1))]
+        evidence[k] = e
+    share = {k: np.exp(e - e.max()) / np.exp(e - e.max()).sum() for k, e in evidence.items()}
+    named = [k for k in share if hosts[k]]
+    world = (sum(share[k] for k in named) + 1.0 / size) / (len(named) + 1.0)
+    for k, e in evidence.items():
+        if hosts[k]:
+            own = [j for j in named if hosts[j] == hosts[k]]
+            parent = hosts[k].partition(".")[2]
+            near = [j for j in named if parent and hosts[j].partition(".")[2] == parent]
+            above = (sum((share[j] for j in near), np.zeros(size)) + 20 * world) / (len(near) + 20)
+            e = e + np.log((sum(share[j] for j in own) + 20 * above) / (len(own) + 20))
+        post = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert got[k]["language"] == names[int(post.argmax())] and abs(got[k]["confidence"] - post.max()) < 1e-4, k
+
+
+def test_long_texts_take_no_more_room(monkeypatch):
+    import pyarrow as pa
+
+    table = np.random.default_rng(0).normal(size=(language.SLOTS, 4)).astype(np.float32)
+    model = language.TextModel(("a", "b", "c"), table)
+    data, off = utf8(pa.array(["", "a", "ab", "abc", "the quick", "x" * 10, "", "hello world foo " * 40, "é" * 7] * 5))
+    whole = model.evidence(data, off, 60.0)
+    for block in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert np.allclose(model.evidence(data, off, 60.0), whole)
+
+
+def test_fit_takes_one_of_repeated_ids(spark):
+    rows = [(1, "aaa bbb", "x")] * 5000 + [(k, f"ccc {k} ddd", "x") for k in range(10, 600)] + [(None, "ee ff gg", "y")]
+    few = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), "lang", sample=50)
+    again = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "lang", sample=50)
+    assert few.languages == ("x", "y") and (few.table == again.table).all()
+
+
+def test_pages_of_languages(spark):
+    """language_id_pages: markup is no text, its declaration is evidence."""
+    from skein.llm import queries
+
+    got = queries.language_id_pages(spark, SF)
+    rows = got.collect()
+    assert {r["language"] for r in rows} <= {"de", "en", "es", "fr", "und"} and len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in rows:
+        found = re.search(language._MARKUP, html[r["page_id"]])
+        assert r["declared"] == (found[1].lower() if found else None)
+
+
 def test_host_priors(spark):
     rows = spark.createDataFrame([("a.x", [1.0, 0.0])] * 30 + [("b.x", [0.0, 1.0])] + [("c.y", [0.0, 1.0])] * 30, "host string, share array<double>")
     got = {r["h"]: r["prior"] for r in language.host_priors(rows, 2, 5.0).collect()}
@@ -164,6 +242,43 @@ def test_quality_gradient():
         assert abs((up - down) / 2e-2 - g[at]) < 0.1 * abs(g[at]) + 1e-3, name
 
 
+def test_forward_pass_equals_a_plain_convolution():
+    rng = np.random.default_rng(4)
+    net = quality._fresh(rng)
+    texts = [b"", b"a plain text", rng.integers(0, 256, 900).astype(np.uint8).tobytes()]
+    off = np.cumsum([0, *map(len, texts)])
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), off)
+    for text, p in zip(texts, got, strict=True):
+        values, at = [], 0
+        while True:
+            chunk = text[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = np.full(quality.FILTERS, -np.inf)
+            for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                window = np.concatenate([net.vectors[b] for b in chunk[place : place + quality.WIDTH]])
+                best = np.maximum(best, window @ net.filters)
+            values.append(np.tanh(np.maximum(best + net.bias, 0) @ net.hidden + net.hidden_bias))
+            if at + quality.CHUNK >= len(text):
+                break
+            at += quality.STEP
+        both = np.concatenate([np.mean(values, 0), np.max(values, 0)])
+        assert abs(p - 1 / (1 + np.exp(-(both @ net.out + net.out_bias[0])))) < 1e-5
+
+
+def test_chunks_are_drawn_from_the_whole_text(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda cut, labels: seen.update(cut=cut, labels=labels))
+    long = "".join(f"{k:07d} " for k in range(12_000))  # 96 000 bytes
+    docs = spark.createDataFrame([(3, long), (4, "short"), (5, None)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(3, 1), (4, 0), (5, 1)], "doc_id long, quality int"))
+    by_size = sorted(seen["cut"], key=len)
+    chunk_of = quality.chunks(np.frombuffer(long.encode(), np.uint8))
+    whole = {c.tobytes(): k for k, c in enumerate(chunk_of)}
+    places = [whole[c.tobytes()] for c in by_size[-1]]
+    assert len(places) == quality.DRAWN and places == sorted(places) and places[0] < 20 and places[-1] > len(chunk_of) - 20
+    assert [len(c) for c in by_size] == [1, 1, quality.DRAWN]
+    assert bytes(by_size[0][0]).rstrip(b"\0") in (b"short", b"")
+
+
 def test_chunks_cover_all_bytes():
     for n in (0, 1, 255, 256, 257, 480, 481, 5000):
         data = np.arange(n, dtype=np.int64).astype(np.uint8)
@@ -312,6 +427,29 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(200)] + [(900, None), (901, "none")], "id long, key string")
+    groups = rows.where("key is not null and key != 'none'").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    want = rows.join(groups, "key", "left").select("id", "key", "first").orderBy("id").collect()
+    got = common.join_groups(rows, groups, ["key"], "n", 200).select("id", "key", "first").orderBy("id").collect()
+    assert got == want
+    assert common.join_groups(rows, groups, ["key"], "n", 200, "inner").count() == 200
+    assert common.join_groups(rows.limit(0), groups.limit(0), ["key"], "n", 0).count() == 0
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from skein.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf), conf=conf))
+
+
 # -- vectors ---------------------------------------------------------------------
 
 
@@ -341,6 +479,49 @@ def test_dual_traversal_equals_all_pairs():
         assert (left == own.sum(1)).all()
 
 
+def test_levels_of_a_tree():
+    x = vectors(np.random.default_rng(5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = covertree.Tree.load(covertree.Tree(np.arange(len(x)), np.ones(len(x)), x).dump())
+    for level, radius in enumerate(covertree.RADII):
+        nodes = tree.points[level]
+        far = np.linalg.norm(x[nodes][:, None] - x[nodes][None], axis=2)
+        assert far[~np.eye(len(nodes), dtype=bool)].min() > radius - 1e-9  # centres of a level lie apart
+        assert set(nodes) <= set(tree.points[level + 1])  # and are among the next one's
+        assert np.linalg.norm(x[:, None] - x[nodes][None], axis=2).min(1).max() <= radius + 1e-9
+    assert sorted(tree.order.tolist()) == list(range(len(x)))
+
+
+def test_pairs_of_groups_are_pruned():
+    """Forty clusters far apart: groups of them are neighbours of few; without structure nothing can be pruned."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(64)[:40]
+    x = np.repeat(centres, 100, 0) + rng.normal(size=(4000, 64)) * 0.01
+    loose = rng.normal(size=(4000, 64))
+    for points, most in ((x, 60), (loose, 400)):
+        points = points / np.linalg.norm(points, axis=1)[:, None]
+        upper = covertree.Upper(points[rng.permutation(4000)[:500]])
+        at, far = upper.nearest(points)
+        radius, size = np.zeros(len(upper.centres)), np.bincount(at, minlength=len(upper.centres))
+        np.maximum.at(radius, at, far)
+        upper.gather(radius, size, 150, 20)
+        pairs = upper.pairs(0.9)
+        kept = {tuple(p) for p in pairs.tolist()}
+        assert len(kept) <= most
+        linked = np.argwhere(points @ points.T >= 0.9)
+        assert all((min(a, b), max(a, b)) in kept for a, b in upper.group[at[linked]].tolist())
+        if most == 60:
+            assert len(upper.blocks) == 20 and len(kept) < 210 / 3
+
+
+def test_classes_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr("skein.llm.common.HOT_ROWS", 8)
+    rows = [(k, [1.0, 2.0]) for k in range(300)] + [(1000 + k, [1.0, float(-k)]) for k in range(40)] + [(7, [1.0]), (2000, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {r["vec_id"]: r["n_links"] for r in covertree.near_duplicates(df).collect()}
+    assert len(got) == 341 and {got[k] for k in range(300) if k != 7} <= {298, 299} and got[2000] in (0, 1)
+
+
 @pytest.mark.parametrize("block", [6144, 90])
 def test_near_duplicates(spark, block):
     x = vectors(np.random.default_rng(1))
@@ -417,6 +598,13 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages(spark).limit(0)).count() == 0
 
 
+def test_lost_records_are_told(spark, monkeypatch):
+    real = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda files: real(files).withColumn("record_type", F.when(F.col("page_id") == 5, "gap").otherwise(F.col("record_type"))))
+    with pytest.raises(RuntimeError, match="1 records were lost.*warc-log"):
+        warc.archive_pages(pages(spark))
+
+
 def test_salvage():
     records = [warc.build_record(k, f"http://h/{k}", b"payload %d " % k * 50, None) for k in range(20)]
     members = [warc.member(r) for r in records]
@@ -494,6 +682,30 @@ def test_distrust_flows_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_links_of_all_kinds(spark):
+    rows = [(1, "http://a.org/", '<a href="//B.com/x"> <A HREF = http://c.net/?q> <a href="/d/e"> <a href="mailto:x@y"> <a href="//a.org/own">'), (2, "http://b.com/", None), (3, None, '<a href="http://z/">')]
+    got = url_filter.host_links(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(map(tuple, got.collect())) == [("a.org", "b.com"), ("a.org", "c.net")]
+
+
+def test_ranks_settle_and_nothing_is_lost(spark):
+    """A chain of 14 hosts against whose links distrust must come all the way; ranks of hosts without a way on go back to the seeds."""
+    chain = [(f"h{k}", f"h{k + 1}") for k in range(14)]
+    links = spark.createDataFrame(chain, "src string, dst string")
+    seeds = spark.createDataFrame([("trust", "h13", 1.0), ("distrust", "h14", 1.0)], "kind string, host string, weight double")
+    got = {(r["kind"], r["host"]): r["rank"] for r in url_filter.spread(links, seeds).collect()}
+    assert got["distrust", "h0"] > 0.01
+    for kind, size in (("trust", 15), ("distrust", 15)):
+        assert abs(sum(r for (k, _), r in got.items() if k == kind) - 1) < 1e-9
+    n, rank = 15, np.eye(15)[14]
+    for _ in range(200):  # distrust goes from h14 to h0, and from there back to its seed
+        new = np.zeros(n)
+        new[:-1] = 0.85 * rank[1:]
+        new[14] += 1 - new.sum()
+        rank = new
+    assert max(abs(got["distrust", f"h{k}"] - rank[k]) for k in range(n)) < 1e-3
+
+
 def test_pagerank_equals_the_matrix(spark):
     rng = random.Random(1)
     pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(40)}
@@ -536,6 +748,39 @@ def test_smallest_capacity():
         assert max(sharding.cut(sizes, shards)) < shards
 
 
+@pytest.mark.parametrize("bits", [16, 4])
+def test_shards_are_the_smallest(spark, bits):
+    """The largest shard is what brute force finds over all groups, however coarse the granules are."""
+    df = documents(spark).unionByName(documents(spark).where("doc_id < 40"))
+    sizes = df.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 8).alias("n")).orderBy("h").collect()
+    got = sharding.shard_documents(df, bits=bits, more=3).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert max(r["n"] for r in got) == sharding.smallest_capacity([r["n"] for r in sizes], 24) and len(got) <= 24
+
+
+def test_exact_cuts():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        sizes, hashes, shards = [rng.choice([1, 2, 3, 9, 30]) for _ in range(n)], sorted(rng.sample(range(256), n)), rng.randint(1, 8)
+
+        def items(bits, inside=None):
+            by = collections.defaultdict(list)
+            for h, x in zip(hashes, sizes, strict=True):  # noqa: B023
+                if inside is None or any(h >> (8 - i.bits) == i.key for i in inside):
+                    by[h >> (8 - bits)].append((h, x))
+            return [sharding.Item(v[0][0], sum(x for _, x in v), len(v) == 1, bits, k) for k, v in by.items()]
+
+        def finer(coarse):
+            return [y for own in {x.bits for x in coarse} for y in items(min(8, own + 2), [x for x in coarse if x.bits == own])]
+
+        capacity, starts = sharding.exact_cuts(items(2), shards, finer)
+        assert capacity == sharding.smallest_capacity(sizes, shards)
+        totals = collections.Counter()
+        for h, x in zip(hashes, sizes, strict=True):
+            totals[sum(h >= s for s in starts)] += x
+        assert max(totals.values()) == capacity and max(totals) < shards
+
+
 @pytest.mark.parametrize("salt", [2048, 2])
 def test_sharding(spark, salt, monkeypatch):
     monkeypatch.setattr(sharding, "SALT_ROWS", salt)
@@ -594,3 +839,44 @@ def test_pipeline_of_no_rows(spark):
     empty = documents(spark).limit(0)
     for stage in (corpus_pipeline.identified, corpus_pipeline.distinct):
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_keeps_columns_that_clash(spark):
+    import corpus_pipeline
+
+    names = ("row", "Row_", "chosen_id", "score", "quality_score", "component_id", "key", "language", "id", "host", "first")
+    docs = documents(spark)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and 0 < after.count() <= docs.count()
+        assert tuple(after.first()[n] for n in names) == tuple(range(len(names)))
+    assert corpus_pipeline.packed(spark, docs.limit(3), SF).count() >= 3
+
+
+def test_pipeline_stages_equal_their_operators(spark):
+    """What a stage keeps is what its operator, row by row, accepts."""
+    import corpus_pipeline
+
+    docs = documents(spark)
+    told = language.identify(docs, language.fit_text_model(docs, "lang"), host_col="source").where("accepted")
+    assert {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, SF).collect()} == {r["doc_id"] for r in told.collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = quality.classify(docs, labels).where("predicted = 1")
+    assert {r["doc_id"] for r in corpus_pipeline.good(spark, docs, SF).collect()} == {r["doc_id"] for r in scored.collect()}
+
+
+def test_oracles_agree(spark):
+    import duckdb
+
+    from skein.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        got = queries.QUERIES[name](spark, SF).select(*columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
