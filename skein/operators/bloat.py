@@ -15,12 +15,12 @@ def is_binary(value: Column) -> Column:
 
 
 def strip_value(value: Column, most: int = 2000) -> Column:
-    """TXT11: base64, markup and binary give placeholders; the rest keeps its head and tail."""
-    size = F.length(value).cast("string")
-    base64 = value.rlike(r"^[A-Za-z0-9+/\s]{400,}={0,2}$") & ~value.rlike(r"^\S{0,60}(\s+\S{1,60}){20,}")
-    mark = lambda kind: F.concat(F.lit(f"[{kind} "), size, F.lit(" chars]"))
-    cut = F.concat(F.substring(value, 1, most // 2), F.lit("\n[… "), (F.length(value) - most).cast("string"), F.lit(" chars …]\n"), F.right(value, F.lit(most // 2)))
-    return F.when(base64, mark("base64")).when(text.is_html(value), mark("html")).when(is_binary(value), mark("binary")).when(F.length(value) > most, cut).otherwise(value)
+    """TXT11: images, documents of markup and binary give placeholders; a longer rest keeps its head and tail."""
+    size, half = F.length(value).cast("string"), most // 2
+    mark = lambda kind: F.concat(F.lit(f"[{kind} stripped: "), size, F.lit(" bytes]"))
+    cut = F.concat(F.substring(value, 1, half), F.lit("\n...\n[stripped "), (F.length(value) - 2 * half).cast("string"), F.lit(" bytes]\n...\n"), F.right(value, F.lit(half)))
+    image = F.substring(value, 1, 200).rlike(r"(?i)data:image/[a-z]+;base64,")
+    return F.when(image, mark("image")).when(text.is_html(value), mark("HTML response")).when(is_binary(value), mark("binary content")).when(F.length(value) > most, cut).otherwise(value)
 
 
 def strip_entries(entries: DataFrame, most: int = 2000) -> DataFrame:
@@ -50,23 +50,58 @@ def bold_items(body: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\*\*([^*\n]{3,80})\*\*"), 1)), 1, most)
 
 
-def kind(body: Column) -> Column:
-    """PRJ26: incident, architecture or procedure, by votes of words; ties in that order."""
-    votes = {
-        "incident": ("root cause", "symptom", "outage", "failed", "fix"),
-        "architecture": ("component", "design", "decision", "layer", "trade-off"),
-        "procedure": ("step", "run", "verify", "check", "then"),
-    }
-    low = F.lower(body)
-    counts = {k: sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for k, ws in votes.items()}
-    best = F.greatest(*counts.values())
-    out = F.lit("procedure")
-    for k in reversed(list(counts)):
-        out = F.when(counts[k] == best, k).otherwise(out)
-    return F.when(best == 0, "unknown").otherwise(out)
-
-
-def records(docs: DataFrame) -> DataFrame:
-    """TXT17: stem, kind, objective, items and bold items of each markdown body."""
+#: What tells an incident and an architecture, classes of failures, and domains by tag.
+INCIDENT_WORDS = ("incident", "debugging", "postmortem", "outage", "failure", "broke", "crash", "cascade", "recovery", "fix", "broken")
+ARCHITECTURE_WORDS = ("architecture", "design", "deployment", "platform", "stack", "pipeline", "build", "deploy", "setup", "integration")
+FAILURE_CLASSES = {
+    "networking": ("dns", "mtu", "route", "tunnel", "overlay", "proxy", "cni", "ingress", "loadbalancer", "endpoint"),
+    "storage": ("pvc", "s3", "volume", "disk", "mount", "persistent", "csi"),
+    "compute": ("oom", "cpu", "memory", "gpu", "containerd", "sandbox", "cgroup"),
+    "control_plane": ("etcd", "apiserver", "kubelet", "scheduler", "quorum", "kube-proxy"),
+    "observability": ("prometheus", "grafana", "loki", "otel", "alert", "metric", "scrape"),
+    "security": ("oauth", "cert", "tls", "rbac", "token"),
+}
+TAG_DOMAINS = {
+    "networking": ("networking", "dns", "cni"),
+    "storage": ("storage",),
+    "observability": ("observability", "monitoring", "prometheus", "grafana"),
+    "security": ("security", "authentication", "oauth"),
+    "agent": ("ai", "agent", "llm", "claude", "gemini"),
+}
+
+
+def record_type(title: Column, tags: Column, body: Column) -> Column:
+    """PRJ26: incident or architecture, by how many words of each stand among the tags, in the title or in the body's first 2000 characters; a tie is an incident."""
+    own = F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("title"), F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower).alias("tags"), F.lower(F.substring(body, 1, 2000)).alias("body"))
+
+    def votes(x: Column) -> Column:
+        count = lambda words: sum(((F.array_contains(x["tags"], w) | x["title"].contains(w) | x["body"].contains(w)).cast("int") for w in words), F.lit(0))
+        return F.when(count(INCIDENT_WORDS) >= count(ARCHITECTURE_WORDS), "incident").otherwise("architecture")
+
+    return text.let(own, votes)
+
+
+def failure_class(body: Column) -> Column:
+    """PRJ26: the class with most words in the body, ties in order; `unknown` without any."""
+    return text.best_domain(body, FAILURE_CLASSES, default="unknown")
+
+
+def tag_domain(tags: Column) -> Column:
+    """PRJ26: the first domain with a tag; `infrastructure` without any."""
+    own = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
+    return text.let(own, lambda t: F.coalesce(*[F.when(F.arrays_overlap(t, F.array(*[F.lit(w) for w in words])), F.lit(name)) for name, words in TAG_DOMAINS.items()], F.lit("infrastructure")))
+
+
+def complexity(body: Column) -> Column:
+    """PRJ26: by headings: a cascade from four acts or eight sections, multi-step from two or four, else simple."""
+    acts = F.size(F.regexp_extract_all(body, F.lit(r"(?m)^#{1,3}\s+Act\s+\d"), 0))
+    sections = F.size(F.regexp_extract_all(body, F.lit(r"(?m)^#{1,3}\s+"), 0))
+    return text.let(F.struct(acts.alias("a"), sections.alias("s")), lambda n: F.when((n["a"] >= 4) | (n["s"] >= 8), "cascade").when((n["a"] >= 2) | (n["s"] >= 4), "multi-step").otherwise("simple"))
+
+
+def records(docs: DataFrame, title: str | None = None, tags: str | None = None) -> DataFrame:
+    """TXT17: stem, kind, failure class, domain, complexity, objective, items and bold items of each markdown body."""
     b = F.col("body")
-    return docs.select("stem", kind(b).alias("kind"), objective(b).alias("objective"), items(b).alias("items"), bold_items(b).alias("terms"))
+    head = F.col(title) if title else F.lit(None).cast("string")
+    labels = F.col(tags) if tags else F.lit(None).cast("array<string>")
+    return docs.select("stem", record_type(head, labels, b).alias("kind"), failure_class(b).alias("failure_class"), tag_domain(labels).alias("domain"), complexity(b).alias("complexity"), objective(b).alias("objective"), items(b).alias("items"), bold_items(b).alias("terms"))

@@ -139,7 +139,7 @@ def approx_distinct(events):
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
 def month_partitions(orders):
-    """DTM4, SNK3: rows a month partition."""
+    """DTM4: rows a month partition."""
     return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

@@ -59,24 +59,27 @@ SELECT page_id, length(html) >= 500 AND (starts_with(head, '<!doctype html') OR
 FROM (SELECT page_id, html, lower(substr(ltrim(html), 1, 2000)) AS head,
   trim(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \t\n\f\r]+', ' ', 'g')) AS bare FROM pages)""")
 def html_strip(pages):
-    """TXT9, TXT11."""
+    """TXT9, and markup taken off."""
     bare = text.strip_html(F.col("html"))
     return pages.select("page_id", text.is_html(F.col("html")).alias("is_html"), F.md5(bare.cast("binary")).alias("text_md5"), F.length(bare).cast("long").alias("text_chars"))
 
 
 def _redact_sql(col: str) -> str:
+    """The masks in order. RE2 has no lookahead: a value that is masked already is taken out of the way for the assignments."""
     for p in vocab.SECRET_PATTERNS:
         col = f"regexp_replace({col}, '{p}', '[REDACTED]', 'g')"
-    return "regexp_replace(" + col + ", '" + vocab.SECRET_ASSIGNMENT.replace("'", "''") + r"', '\1=[REDACTED]', 'g')"
+    col = f"regexp_replace({col}, '([:=]\\s*[''\"]?)\\[REDACTED\\]', '\\1;REDACTED;', 'g')"
+    assignment = vocab.SECRET_ASSIGNMENT.replace(r"(?!\[REDACTED\])", "").replace("'", "''")
+    return "replace(regexp_replace(" + col + ", '" + assignment + r"', '\1=[REDACTED]', 'g'), ';REDACTED;', '[REDACTED]')"
 
 
 @query(f"""
 SELECT doc_id, text <> masked AS changed, md5(CASE WHEN length(masked) > 600 THEN substr(masked, 1, 600) || '…[+' || (length(masked) - 600) || ' chars]' ELSE masked END) AS redacted_md5
 FROM (SELECT doc_id, text, {_redact_sql("text")} AS masked FROM documents)""")
 def secret_scan(documents):
-    """TXT18."""
-    masked = text.redact(F.col("text"), most=1 << 30)
-    return documents.select("doc_id", (F.col("text") != masked).alias("changed"), F.md5(text.redact(F.col("text")).cast("binary")).alias("redacted_md5"))
+    """TXT18: the whole text is masked, then cut; each text is masked once."""
+    masked = documents.select("doc_id", "text", text.redact(F.col("text"), most=1 << 30).alias("masked"))
+    return masked.select("doc_id", (F.col("text") != F.col("masked")).alias("changed"), F.md5(text.shorten(F.col("masked"), vocab.REDACT_MOST).cast("binary")).alias("redacted_md5"))
 
 
 @query(r"""
@@ -109,12 +112,18 @@ def classify_turns(conversations):
 _FAILED = " OR ".join("contains(lower(text), '" + w.replace("'", "''") + "')" for w in vocab.FAILURE_WORDS)
 
 
+_TRIGGERS = [f"WHEN regexp_matches(head, '{p}') THEN CASE WHEN trim(regexp_extract(head, '{p}', 1)) <> '' THEN trim(regexp_extract(head, '{p}', 1)) ELSE 'Unknown trigger' END" for p in vocab.TRIGGERS]
+
+
 @query(rf"""
-SELECT conv_id, turn, CAST(n AS BIGINT) AS steps, n >= 3 AND ({_FAILED}) AS is_procedure
-FROM (SELECT conv_id, turn, text, len(regexp_extract_all(text, '(?m)^[ \t]*\d+\.[ \t]+([^\n]+)$', 1)) AS n FROM conversations)""")
+SELECT conv_id, turn, CAST(len(s) AS BIGINT) AS steps, ok AS is_procedure, CASE WHEN ok THEN md5(s[len(s)]) END AS resolution_md5, CASE WHEN ok THEN done END AS complete,
+  CASE WHEN ok THEN CASE {" ".join(_TRIGGERS)} ELSE 'Unknown trigger' END END AS trigger, CASE WHEN ok AND done THEN greatest(0.55, 0.70) WHEN ok THEN greatest(0.55, 0.50) ELSE 0.55 END AS score
+FROM (SELECT *, substr(text, 1, 500) AS head, len(s) >= 3 AND ({_FAILED}) AS ok, regexp_matches(text, '(?i)(?:{"|".join(vocab.RESOLUTIONS)})') AS done
+  FROM (SELECT conv_id, turn, text, regexp_extract_all(text, '(?m){vocab.STEP}', 1) AS s FROM conversations))""")
 def procedures(conversations):
-    """PRJ4-5."""
-    return conversations.select("conv_id", "turn", F.size(text.steps(F.col("text"))).cast("long").alias("steps"), text.is_procedure(F.col("text")).alias("is_procedure"))
+    """PRJ4-5: steps, trigger, resolution and whether it came to an end; the score that an instruction (0.55) gets by it."""
+    rows = conversations.select("conv_id", "turn", text.steps(F.col("text")).alias("s"), text.procedure(F.col("text")).alias("p"))
+    return rows.select("conv_id", "turn", F.size("s").cast("long").alias("steps"), F.col("p").isNotNull().alias("is_procedure"), F.md5(F.col("p.resolution").cast("binary")).alias("resolution_md5"), F.col("p.complete").alias("complete"), F.col("p.trigger").alias("trigger"), text.procedure_score(F.col("p"), F.lit(0.55)).alias("score"))
 
 
 _HEDGES = " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in vocab.HEDGES)
@@ -129,11 +138,20 @@ def confidence_scores(documents):
 
 _SEEDS = ", ".join(f"CASE WHEN regexp_matches(head, '{p}') THEN {s} ELSE 0.0 END" for p, s in vocab.SEED_PATTERNS)
 _NOISE = "(?i)(" + "|".join(vocab.NOISE_HEADS).replace("'", "''") + ")"
-_EARLY = "(?is)^.{0,39}" + vocab.NARRATION.replace("'", "''")
+_NO_ISSUER = vocab.NARRATION.replace(r"(?!\s+encrypt\b)", "").replace("'", "''")
+_TERMS = "|".join(vocab.VERDICT_TERMS)
+
+
+def noise_sql(col: str) -> str:
+    """PRJ10 in DuckDB. RE2 has no lookahead: the certificate issuer's name is changed first, letter for letter."""
+    issuer = rf"regexp_replace(substr({col}, 1, 80), '(?i)\blet([''’]s\s+encrypt\b)', 'lxt\1', 'g')"
+    early = rf"regexp_matches(substr({issuer}, 1, 60), '(?is)^.{{0,39}}{_NO_ISSUER}')"
+    verdict = rf"regexp_matches(substr({col}, 1, 200), '(?is){vocab.VERDICT_QUOTED}') OR (regexp_matches({col}, '(?i){vocab.VERDICT_OPENER}') AND regexp_matches({col}, '(?i)(?:{_TERMS})'))"
+    return f"(regexp_matches(substr({col}, 1, 200), '{_NOISE}') OR {early} OR {verdict})"
 
 
 @query(rf"""
-SELECT doc_id, regexp_matches(substr(text, 1, 200), '{_NOISE}') OR regexp_matches(substr(text, 1, 60), '{_EARLY}') AS noise, CAST(greatest(0.4, {_SEEDS}) AS DOUBLE) AS seed
+SELECT doc_id, {noise_sql("text")} AS noise, CAST(greatest(0.4, {_SEEDS}) AS DOUBLE) AS seed
 FROM (SELECT doc_id, text, lower(substr(text, 1, 500)) AS head FROM documents)""")
 def noise_and_seeds(documents):
     """PRJ10-11."""
@@ -147,8 +165,9 @@ _BEST = "CASE WHEN " + _TOP + " = 0 THEN 'general' " + " ".join(f"WHEN h_{d} = {
 
 @query(f"SELECT doc_id, array_to_string({_TAGS}, ',') AS tags, {_BEST} AS best FROM (SELECT doc_id, {_HITS_SQL} FROM (SELECT doc_id, lower(text) AS low FROM documents))")
 def domain_tags(documents):
-    """PRJ7-8: all domains with a keyword, and the best one."""
-    return documents.select("doc_id", F.array_join(text.tag_domains(F.col("text"), PROBE), ",").alias("tags"), text.best_domain(F.col("text"), PROBE).alias("best"))
+    """PRJ7-8: all domains with a keyword, and the best one; a text's hits are counted once."""
+    hits = documents.select("doc_id", text.domain_hits(F.col("text"), PROBE).alias("h"))
+    return hits.select("doc_id", F.array_join(text.found_domains(F.col("h")), ",").alias("tags"), text.top_domain(F.col("h")).alias("best"))
 
 
 @query(f"""

@@ -80,3 +80,14 @@ def test_age_text(spark, s, want):
 
 def test_bands(spark):
     assert [one(spark, scoring.band(F.col("w")), w=w) for w in (0, 40_000, 149_999, 250_000)] == ["GREEN", "YELLOW", "ORANGE", "BLACK"]
+
+
+def test_let_computes_once(spark):
+    """A chunk's words are split once: a text of many words doesn't take longer than its size."""
+    import time
+
+    small, large = ((spark.createDataFrame([(" ".join(["word"] * n),)], "t string").select(F.size(text.chunks(F.col("t")))), n) for n in (20_000, 320_000))
+    small[0].collect()
+    began = time.time()
+    assert large[0].first()[0] == -(-large[1] // 170)
+    assert time.time() - began < 20
