@@ -7,6 +7,8 @@ rows that are already aggregated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,27 +22,38 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select("id", F.size("w").cast("long").alias("length"), F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = text.words) -> DataFrame:
     """qid, term, times: a term that a query repeats counts as often (DEF12)."""
-    return queries.select(F.col(id_col).alias("qid"), F.explode(text.words(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    return queries.select(F.col(id_col).alias("qid"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+
 
+#: Stands for the text itself among its terms; no tokeniser gives it.
+_WHOLE = ""
 
-def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: n, mean length."""
-    return docs.select(F.size(text.words(F.col(text_col))).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
 
+def matches(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text", tokens: Callable[[Column], Column] = text.words) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What keyword rankings share: postings of query terms (id, term, tf, length), query terms (qid, term, times), and corpus size (n, mean).
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
-    """RET9, AGG3, MTH2: qid, id, score of every text that shares a term with a query."""
-    wanted = query_terms(queries, query_id, text_col)
-    vocabulary = wanted.select("term").distinct()
-    # only query terms are worth a shuffle: the scan's tokens are semi-joined before they are counted
-    tokens = docs.select(F.col(doc_id).alias("id"), text.words(F.col(text_col)).alias("w")).select("id", F.size("w").cast("long").alias("length"), F.explode("w").alias("term"))
-    posts = tokens.join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    Texts are tokenised once: a row of term _WHOLE stands for each text, so the corpus' size comes from
+    the same aggregation as the postings. That is dealt out by id, so whatever groups by id afterwards shuffles nothing.
+    """
+    wanted = query_terms(queries, query_id, text_col, tokens)
+    vocabulary = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(_WHOLE,)], "term string"))
+    split = docs.select(F.col(doc_id).alias("id"), tokens(F.col(text_col)).alias("w"))
+    each = split.select("id", F.size("w").cast("long").alias("length"), F.explode(F.array_append("w", F.lit(_WHOLE))).alias("term"))
+    # a row a word of the stated queries
+    counted = each.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    size = counted.where(F.col("term") == _WHOLE).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return counted.where(F.col("term") != _WHOLE), wanted, size
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text", tokens: Callable[[Column], Column] = text.words, shared: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """RET9, AGG3, MTH2: qid, id, score of every text that shares a term with a query. shared: of `matches`, if it is there already."""
+    posts, wanted, size = shared or matches(docs, queries, doc_id, query_id, text_col, tokens)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(docs, text_col)  # one row
-    weighted = posts.join(df, "term").join(F.broadcast(size)).select("id", "term", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("w"))
-    return weighted.join(wanted, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    # size: one row; df, wanted: rows of the stated queries' words
+    weighted = posts.join(F.broadcast(df), "term").join(F.broadcast(size)).select("id", "term", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("w"))
+    return weighted.join(F.broadcast(wanted), "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
 
 def tfidf(docs: DataFrame, doc_id: str, text_col: str, terms: list[str]) -> DataFrame:
@@ -82,12 +95,13 @@ def blend(keyword: Column, cosine: Column) -> Column:
     return F.when(cosine.isNull(), keyword).when(cosine < 0.3, keyword * 0.1).otherwise(keyword * 0.4 + cosine * 0.6)
 
 
-def keyword_share(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
-    """RET5, JN10: the share of a query's words (repeats kept) that are words of the text."""
-    wanted = query_terms(queries, query_id, text_col)
+def keyword_share(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text", shared: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """RET5, JN10: the share of a query's words (repeats kept) that are words of the text. shared: of `matches`, if it is there already."""
+    posts, wanted, _ = shared or matches(docs, queries, doc_id, query_id, text_col)
     totals = wanted.groupBy("qid").agg(F.sum("times").alias("of"))
-    found = docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(text.words(F.col(text_col)))).alias("term")).join(wanted, "term")
-    return found.groupBy("qid", "id").agg(F.sum("times").alias("hits")).join(totals, "qid").select("qid", "id", (F.col("hits") / F.col("of")).alias("score"))
+    # wanted, totals: rows of the stated queries
+    found = posts.join(F.broadcast(wanted), "term").groupBy("qid", "id").agg(F.sum("times").alias("hits"))
+    return found.join(F.broadcast(totals), "qid").select("qid", "id", (F.col("hits") / F.col("of")).alias("score"))
 
 
 def one_each(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -96,7 +110,7 @@ def one_each(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return sized.groupBy("h").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")).drop("h")
 
 
-def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int = vocab.INJECT_ROWS, least_priority: float = vocab.INJECT_LEAST_PRIORITY) -> DataFrame:
+def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int = vocab.INJECT_ROWS, least_priority: float = vocab.INJECT_LEAST_PRIORITY, least_score: float | None = 0.0) -> DataFrame:
     """RET12, SRT1: fill a token budget in order of score per token; what doesn't fit is skipped, not an end.
 
     ranked: group, id, score, tokens: all candidates, of equal texts one. Rows that can't fit at all are dropped,
@@ -104,7 +118,7 @@ def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int
     or didn't fit, and then the row doesn't either. A group's list thus has at most budget * most rows, and the fold is exact.
     """
     row = "struct<id:bigint,tokens:bigint>"
-    ok = ranked.where((F.col("score") > 0) & (F.col("tokens") <= budget)).withColumn("priority", F.col("score") / F.col("tokens")).where(F.col("priority") >= least_priority)
+    ok = ranked.where((F.lit(True) if least_score is None else F.col("score") > least_score) & (F.col("tokens") <= budget)).withColumn("priority", F.col("score") / F.col("tokens")).where(F.col("priority") >= least_priority)
     same_size = Window.partitionBy(group, "tokens").orderBy(F.col("priority").desc(), "id")
     ok = ok.withColumn("_n", F.row_number().over(same_size)).where(F.col("_n") <= most)
     listed = ok.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id"), F.col("tokens")))).alias("rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text
-from skein.operators import retrieval
+from skein.operators import evaluation, retrieval
 
 from .registry import registrar
 
@@ -22,8 +22,8 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT qid, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean)))) AS score FROM p JOIN df USING (term) JOIN q USING (term), size GROUP BY qid, id)"""
 
 
-def _ranked_bm25(documents, benchmark, k):
-    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+def _ranked_bm25(documents, benchmark, k, shared=None):
+    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id", shared=shared).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, k)
 
 
@@ -33,9 +33,14 @@ def bm25_topk(documents, benchmark):
     return _ranked_bm25(documents, benchmark, 10)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_BM25}, one AS (SELECT min(doc_id) AS id, any_value(greatest(1, length(text) // 4)) AS tokens FROM documents GROUP BY text),
+c AS (SELECT qid, id, CAST(tokens AS BIGINT) AS tokens, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) / tokens DESC, id) AS BIGINT) AS n FROM bm JOIN one USING (id) WHERE round(score, 6) > 0 AND tokens <= 8000),
+fold(qid, n, room, kept, id, tokens, took) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST(8000 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false FROM c UNION ALL
+  SELECT c.qid, c.n, fold.room - CASE WHEN c.tokens <= fold.room AND fold.kept < 8 THEN c.tokens ELSE 0 END, fold.kept + CASE WHEN c.tokens <= fold.room AND fold.kept < 8 THEN 1 ELSE 0 END, c.id, c.tokens, c.tokens <= fold.room AND fold.kept < 8 FROM fold JOIN c ON c.qid = fold.qid AND c.n = fold.n + 1)
+SELECT qid, kept AS place, id, tokens FROM fold WHERE took""")
 def bm25_budget(documents, benchmark):
-    """RET1, RET12: of all texts that match a question, one of each equal text, what fits 8000 tokens by score per token (rows only: the fold has no SQL)."""
+    """RET12: of all texts that match a question, one of each equal text, what fits 8000 tokens by score per token; the oracle folds step by step."""
     scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id").withColumn("score", F.round("score", 6))
     return retrieval.select_within(scored.join(retrieval.one_each(documents, "doc_id"), "id").select("qid", "id", "score", "tokens"), 8000, least_priority=0.0)
 
@@ -59,8 +64,8 @@ ks AS (SELECT qid, id, sum(times) / any_value(of) AS score FROM (SELECT doc_id A
 kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM ks)"""
 
 
-def _ranked_share(documents, benchmark, k):
-    return retrieval.top_k(retrieval.keyword_share(documents, benchmark, "doc_id", "item_id").withColumn("score", F.round("score", 6)), k)
+def _ranked_share(documents, benchmark, k, shared=None):
+    return retrieval.top_k(retrieval.keyword_share(documents, benchmark, "doc_id", "item_id", shared=shared).withColumn("score", F.round("score", 6)), k)
 
 
 @query(f"WITH {_SHARE} SELECT qid, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM kr WHERE rank <= 10")
@@ -80,7 +85,8 @@ kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DE
 SELECT qid, id, round(score, 8) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(documents, benchmark):
     """MTH10: BM25 and keyword share, twenty each."""
-    fused = retrieval.fuse(_ranked_bm25(documents, benchmark, 20), _ranked_share(documents, benchmark, 20), ["qid", "id"])
+    shared = retrieval.matches(documents, benchmark, "doc_id", "item_id")
+    fused = retrieval.fuse(_ranked_bm25(documents, benchmark, 20, shared), _ranked_share(documents, benchmark, 20, shared), ["qid", "id"])
     return retrieval.top_k(fused.withColumn("score", F.round("score", 8)), 10)
 
 
@@ -137,7 +143,21 @@ def ranking_metrics(embeddings):
 
 @query("SELECT b.item_id AS qid, count(*) FILTER (contains(d.text, b.text)) AS holders FROM documents d, benchmark b GROUP BY b.item_id")
 def evidence_labels(documents, benchmark):
-    """RET8, RET21: how many texts hold a question's whole text, the label of an evaluation set."""
-    items = benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("wanted"))
-    held = documents.join(items, F.col("text").contains(F.col("wanted"))).groupBy("qid").agg(F.count("*").alias("n"))
-    return items.select("qid").join(held, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("holders"))
+    """How many texts hold a question's whole text, the label of an evaluation set."""
+    return evaluation.holders(documents, benchmark, "item_id")
+
+
+_TERM_SQL = "list_filter(regexp_split_to_array(lower(text), '[ \t\n\f\r]+'), lambda x: length(x) >= 6)"
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS qid, list_slice(list_distinct({_TERM_SQL}), 1, 999) AS terms FROM benchmark), t AS (SELECT qid, unnest(terms) AS term FROM q),
+h AS (SELECT qid, doc_id, count(*) AS n FROM documents, t WHERE contains(lower(text), term) GROUP BY ALL HAVING count(*) >= 2)
+SELECT qid, count(doc_id) AS relevant, min(doc_id) AS first, sum(n) AS hits FROM q LEFT JOIN h USING (qid) GROUP BY qid""")
+def relevance_labels(documents, benchmark):
+    """RET8, SNK12: texts that hold two of a question's words of six letters and more, anywhere in them."""
+    terms = F.array_distinct(F.filter(text.plain_words(F.col("text")), lambda w: F.length(w) >= 6))
+    cases = benchmark.select(F.col("item_id").alias("qid"), terms.alias("terms"))
+    found = evaluation.relevant(documents.select(F.col("doc_id").alias("id"), "text"), cases)
+    own = found.groupBy("qid").agg(F.count("*").alias("relevant"), F.min("id").alias("first"), F.sum("hits").alias("hits"))
+    return cases.select("qid").join(own, "qid", "left").select("qid", F.coalesce("relevant", F.lit(0)).alias("relevant"), "first", "hits")
