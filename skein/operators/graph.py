@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import vocab
+
 
 def entities(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], aliases: Mapping[str, str] = {}, stop: tuple[str, ...] = ()) -> DataFrame:
     """KG1-2: id, type, name, entity_id, place: lower-cased names by typed patterns (group 1), each once a text.
@@ -30,6 +33,71 @@ def cooccurrence(links: DataFrame, group: str, member: str, most: int = 8) -> Da
     return a.join(b, group).where("subject < object").groupBy("subject", "object").agg(F.count("*").alias("weight"))
 
 
+def mentions(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], aliases: Mapping[str, str] = {}, stop: tuple[str, ...] = ()) -> DataFrame:
+    """KG1: as `entities`, with the offset of each entity's first mention: id, type, name, entity_id, place, first_at.
+
+    A name is the first group that isn't empty, else the whole match. Offsets come from cutting the text at the matches of
+    a pattern: what stands before the n-th match is the pieces and the matches before it.
+    """
+
+    def matches(p: str) -> Column:
+        """gap (characters before a match since the last one), size and name of all matches of a pattern."""
+        n = re.compile(p).groups
+        groups = [F.regexp_extract_all(F.col(text_col), F.lit(p), g).alias(f"g{g}") for g in range(n + 1)]
+        gaps = F.transform(F.split(F.col(text_col), p, -1), lambda x: F.length(x)).alias("gap")
+        name = lambda x: F.coalesce(*[F.nullif(x[f"g{g}"], F.lit("")) for g in range(1, n + 1)], F.lit("")) if n else x["g0"]
+        found = F.filter(F.arrays_zip(*groups, gaps), lambda x: x["g0"].isNotNull())
+        return F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), F.length(x["g0"]).alias("size"), F.lower(F.trim(name(x))).alias("name")))
+
+    rows = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), matches(p).alias("m")) for k, (kind, p) in enumerate(patterns.items())]
+    # all that follows goes by text, so one exchange does
+    each = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*rows)).alias("f")).select("id", "f.k", "f.type", F.posexplode("f.m").alias("n", "x")).repartition("id")
+    so_far = Window.partitionBy("id", "k").orderBy("n")
+    end = F.sum(F.col("x.gap") + F.col("x.size")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = each.select("id", "k", "type", F.col("x.name").alias("name"), (end - F.col("x.size")).alias("first_at"))
+    out = out.where((F.col("name") != "") & ~F.col("name").isin(*stop)) if stop else out.where("name != ''")
+    if aliases:
+        table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+        out = out.withColumn("name", F.coalesce(F.try_element_at(table, F.col("name")), F.col("name")))
+    once = out.groupBy("id", "k", "type", "name").agg(F.min("first_at").alias("first_at"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "first_at", "name")).cast("long")
+    return once.select("id", "type", "name", F.concat_ws(":", "type", "name").alias("entity_id"), place.alias("place"), "first_at")
+
+
+def pair_up(found: DataFrame, most: int = vocab.PAIR_MOST, window: int = vocab.PAIR_WINDOW, unpaired: tuple[str, ...] = vocab.UNPAIRED_TYPES) -> tuple[DataFrame, DataFrame]:
+    """KG6-7, JN14: edges (subject < object, predicate, weight = facts that give it, first = the smallest such id), and slots dropped by the bound: id, dropped.
+
+    found: of `mentions`. Of each fact the first `most` entities by pattern and offset pair up (the rule of the graph, at most 28 pairs a fact),
+    if their first mentions are at most `window` characters apart.
+    """
+    open_rows = found.where(~F.col("type").isin(*unpaired))
+    ranked = open_rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("place")))
+    dropped = ranked.where(F.col("_n") > most).groupBy("id").agg(F.count("*").alias("dropped"))
+    first = ranked.where(F.col("_n") <= most).groupBy("id").agg(F.collect_list(F.struct("entity_id", "type", "first_at")).alias("e"))  # `most` a fact
+    pairs = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: (a["entity_id"] < b["entity_id"]) & (F.abs(a["first_at"] - b["first_at"]) <= window)), lambda b: F.struct(a["entity_id"].alias("subject"), F.when(a["type"] == b["type"], "co_occurs_with").otherwise("mentioned_with").alias("predicate"), b["entity_id"].alias("object")))))
+    each = first.select("id", F.explode(pairs).alias("p")).select("id", "p.*")
+    return each.groupBy("subject", "predicate", "object").agg(F.count("*").alias("weight"), F.min("id").alias("first")), dropped
+
+
+def first_domains(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """KG4: each entity with its type, name and the domain of the first fact (by id) that has it. facts: id, domain."""
+    rows = found.join(facts.select("id", "domain"), "id")
+    return rows.groupBy("entity_id").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min_by("domain", "id").alias("domain"), F.count("*").alias("facts"))
+
+
+def load_patterns(builtin: Mapping[str, str], custom: Mapping[str, str], preset: str = "default") -> tuple[dict[str, str], list[str]]:
+    """KG14: built-in patterns unless the preset is `none`, with a configuration's over them, and the names of those that aren't valid."""
+    merged = ({} if preset == "none" else dict(builtin)) | dict(custom)
+    good, bad = {}, []
+    for name, p in merged.items():
+        try:
+            re.compile(p)
+            good[name] = p
+        except re.error:
+            bad.append(name)
+    return good, bad
+
+
 def majority(rows: DataFrame, key: str, value: str, weak: str | None = None) -> DataFrame:
     """KG9, JN4, WIN4: each key's most frequent value, ties by value; `weak` only where there is no other."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
@@ -50,24 +118,76 @@ def timeline(triples: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def related(links: DataFrame, doc: str, entity: str, max_share: float = 0.2, least_shared: int = 2, most: int = 4) -> DataFrame:
-    """KG13, JN13: for each document the `most` others that share rare entities, by summed idf over log2(2 + their size).
+#: Entities of a document up to which it is found by pairs of entities.
+WIDE = 64
 
-    Entities in one document, or in more than max_share of them (2 at least), say nothing: so no list of documents a pair is made from grows with the corpus' most frequent entity.
+
+def related(links: DataFrame, doc: str, entity: str, max_share: float = 0.2, least_shared: int = 2, most: int = 4, weak: str | None = None) -> DataFrame:
+    """KG13, JN13: for each document the `most` others that share `least_shared` (2 at least) rare entities, by summed idf over log2(2 + their size).
+
+    Entities in one document, or in more than max_share of them (2 at least), say nothing. weak: a boolean column; entities
+    that are can support a link, but one that isn't must be shared too.
+    Two documents that share two entities meet by a pair of entities, so what shares only one - most of what shares anything - is
+    never listed. A document with more than WIDE rare entities would have too many pairs: it meets others by single ones.
     """
-    once = links.select(F.col(doc).alias("d"), F.col(entity).alias("e")).distinct()
+    if least_shared < 2:
+        raise ValueError("least_shared: 2 at least")
+    strength = (~F.col(weak)).cast("int") if weak else F.lit(1)
+    once = links.select(F.col(doc).alias("d"), F.col(entity).alias("e"), strength.alias("strong")).groupBy("d", "e").agg(F.max("strong").alias("strong"))
     n = once.agg(F.count_distinct("d").alias("n"))  # one row
     df = once.groupBy("e").agg(F.count("*").alias("df"))
     rare = df.join(F.broadcast(n)).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * max_share)))).select("e", F.log(F.col("n") / F.col("df")).alias("idf"))
     size = once.groupBy("d").agg(F.count("*").alias("size"))
     own = once.join(rare, "e")
-    pairs = own.select("e", "idf", F.col("d").alias("source")).join(own.select("e", F.col("d").alias("target")), "e").where("source != target")
-    scored = pairs.groupBy("source", "target").agg(F.count("*").alias("shared"), F.sum("idf").alias("weight")).where(F.col("shared") >= least_shared)
-    scored = scored.join(size, F.col("target") == F.col("d")).select("source", "target", "shared", F.round(F.col("weight") / F.log2(F.col("size") + 2), 6).alias("score"))
+    # a document's rare entities: as many as the document has
+    listed = own.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("e", "idf", "strong"))).alias("es")).join(size, "d")
+    narrow, wide = listed.where(F.size("es").between(2, WIDE)), listed.where(F.size("es") > WIDE)
+    couples = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: a["e"] < b["e"]), lambda b: F.struct(a["e"].alias("a"), b["e"].alias("b")))))
+    keyed = narrow.select("d", F.explode(couples).alias("p"))
+    by_pair = keyed.alias("x").join(keyed.alias("y"), F.col("x.p") == F.col("y.p")).where("x.d != y.d").select(F.col("x.d").alias("source"), F.col("y.d").alias("target"))
+    single, singles = wide.select("d", F.explode("es.e").alias("e")), listed.select("d", F.explode("es.e").alias("e"))
+    one = single.alias("x").join(singles.alias("y"), F.col("x.e") == F.col("y.e")).where("x.d != y.d").select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+    by_one = one.select(F.col("a").alias("source"), F.col("b").alias("target")).unionByName(one.select(F.col("b").alias("source"), F.col("a").alias("target")))
+    met = by_pair.unionByName(by_one).distinct()
+    left, right = listed.select(F.col("d").alias("source"), F.col("es").alias("mine")), listed.select(F.col("d").alias("target"), F.transform("es", lambda x: x["e"]).alias("theirs"), "size")
+    rows = met.join(left, "source").join(right, "target")
+    rows = rows.select("source", "target", "size", F.filter("mine", lambda x: F.array_contains("theirs", x["e"])).alias("s"))
+    sums = lambda field: F.aggregate(F.transform("s", lambda x: x[field].cast("double")), F.lit(0.0), lambda a, b: a + b)
+    scored = rows.where((F.size("s") >= least_shared) & (sums("strong") >= 1)).select("source", "target", F.size("s").cast("long").alias("shared"), F.round(sums("idf") / F.log2(F.col("size") + 2), 6).alias("score"))
     w = Window.partitionBy("source").orderBy(F.col("score").desc(), "target")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 
 
+#: A footer of related notes, between its marks.
+FOOTER_BEGIN, FOOTER_END = "<!-- related begin -->", "<!-- related end -->"
+
+
+def link_targets(notes: DataFrame) -> DataFrame:
+    """TXT28: id, target of notes (id, path): the bare stem where only one note has it, else the path without its ending."""
+    rows = notes.select("id", F.regexp_replace("path", r"\.md$", "").alias("bare"))
+    rows = rows.withColumn("stem", F.substring_index("bare", "/", -1))
+    counts = rows.groupBy("stem").agg(F.count("*").alias("n"))
+    return rows.join(counts, "stem").select("id", F.when(F.col("n") > 1, F.col("bare")).otherwise(F.col("stem")).alias("target"))
+
+
+def footers(notes: DataFrame, ranked: DataFrame, targets: DataFrame) -> DataFrame:
+    """SNK8: notes (id, text) with their footer of related notes set, replaced or removed; `changed` tells where.
+
+    ranked: of `related`; targets: of `link_targets`.
+    """
+    named = ranked.join(targets.select(F.col("id").alias("target"), F.col("target").alias("name")), "target")
+    listed = named.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: F.concat(F.lit("[["), x["name"], F.lit("]]"))), " · ").alias("links"))  # at most `most` a note
+    block = F.concat(F.lit(FOOTER_BEGIN + "\n**Related:** "), F.col("links"), F.lit("\n" + FOOTER_END + "\n"))
+    old = "(?s)" + re.escape(FOOTER_BEGIN) + ".*?" + re.escape(FOOTER_END) + r"\n?"
+    has = F.col("text").contains(FOOTER_BEGIN)
+    # no group references: a footer may hold a dollar
+    replaced = F.concat(F.regexp_extract("text", "(?s)^(.*?)" + old, 1), block, F.regexp_extract("text", "(?s)^.*?" + old + "(.*)$", 1))
+    added = F.concat(F.regexp_replace("text", r"\n+\z", ""), F.lit("\n\n"), block)
+    new = F.when(F.col("links").isNotNull(), F.when(has, replaced).otherwise(added)).when(has, F.regexp_replace("text", old, "")).otherwise(F.col("text"))
+    rows = notes.join(listed, F.col("id") == F.col("source"), "left")
+    return rows.select("id", new.alias("new"), "text").select("id", F.col("new").alias("text"), (F.col("new") != F.col("text")).alias("changed"))
+
+
 def unlinked(entity_rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """JN5."""
     return entity_rows.join(links.select(key).distinct(), key, "left_anti")
@@ -113,7 +233,13 @@ def invalidate(triples: DataFrame, subject, predicate, obj, ended) -> DataFrame:
     return triples.withColumn("valid_to", F.when(hit, F.lit(ended).cast("timestamp")).otherwise(F.col("valid_to")))
 
 
-def index_new(docs: DataFrame, indexed: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], most: int = 8) -> tuple[DataFrame, DataFrame]:
-    """KG12, STR2: links and co-occurrence weights of texts that weren't indexed yet."""
-    links = entities(docs.join(indexed.select(id_col), id_col, "left_anti"), id_col, text_col, patterns)
-    return links.select("id", "entity_id"), cooccurrence(links, "id", "entity_id", most)
+def index_new(docs: DataFrame, indexed: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], most: int = vocab.PAIR_MOST, aliases: Mapping[str, str] = {}, stop: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """KG12, STR2: links, co-occurrence edges and dropped slots of texts that weren't indexed yet."""
+    found = mentions(docs.join(indexed.select(id_col), id_col, "left_anti"), id_col, text_col, patterns, aliases, stop)
+    return found.select("id", "entity_id"), *pair_up(found, most)
+
+
+def add_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """KG6, STR2: weights of new edges added to the old ones'; the first fact stays the smallest."""
+    both = old.select("subject", "predicate", "object", "weight", "first").unionByName(new)
+    return both.groupBy("subject", "predicate", "object").agg(F.sum("weight").alias("weight"), F.min("first").alias("first"))

@@ -29,18 +29,6 @@ def corroborate_merge(documents):
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_ \t\n\f\r]', ' ', 'g'), '[ \t\n\f\r]+'), lambda x: x <> ''))"
 
 
-@query(rf"""
-WITH a AS (SELECT item_id AS new_id, {_TOKENS} AS w FROM benchmark), b AS (SELECT doc_id AS old_id, {_TOKENS} AS w FROM documents WHERE lang = 'en'),
-l AS (SELECT new_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM a), r AS (SELECT old_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM b),
-p AS (SELECT new_id, old_id, count(*) AS shared FROM l JOIN r ON l.t = r.t AND l.n <> r.n WHERE length(l.t) >= 7 GROUP BY ALL HAVING count(*) >= 5)
-SELECT new_id, min(old_id) AS conflict_with, count(*) AS conflicts FROM p GROUP BY new_id""")
-def contradiction_pairs(benchmark, documents):
-    """JN11: questions as new facts against English texts by words of seven letters and more; two words stand for a negation. `contradictions_all` searches the whole table."""
-    new = benchmark.select(F.col("item_id").alias("id"), F.lit("en").alias("domain"), "text")
-    old = documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
-    return facts.contradictions(new, old, negations=("only", "was"), least_size=7)
-
-
 _NEGATIONS = ("only", "was")
 _STOP = tuple(x for x in dict.fromkeys(vocab.CONTRADICTION_STOP) if x not in _NEGATIONS)
 
@@ -165,7 +153,7 @@ def insert_states(documents):
 
 @query("SELECT lang, doc_id, CAST(rank AS BIGINT) AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 20")
 def top_per_domain(documents):
-    """WIN2, SNK6, SRT4, SRT10: the twenty longest facts of each domain."""
+    """WIN2, SRT10: the twenty longest facts of each domain."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id")
@@ -183,6 +171,6 @@ def char_budget(documents):
 
 @query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[a-z0-9_.]+@[a-z0-9.]+'))) AS BIGINT) AS addresses, substr(sha256(lower(text)), 1, 16) AS k FROM documents WHERE contains(text, '@')")
 def mined_addresses(documents):
-    """SRC18-19, HSH2: addresses in texts."""
+    """HSH2: addresses in texts."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9_.]+@[a-z0-9.]+"), 0))
     return documents.where(F.col("text").contains("@")).select("doc_id", F.size(found).cast("long").alias("addresses"), text.fact_key(F.col("text"), lower=True).alias("k"))

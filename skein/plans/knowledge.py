@@ -63,13 +63,6 @@ def timeline_union(lineitem):
     return graph.timeline(_triples(lineitem)).groupBy("entity", "dir").agg(F.count("*").alias("edges"), F.count("valid_to").alias("closed"), F.min("valid_from").alias("since"))
 
 
-@query(f"""
-WITH t AS ({_TRIPLES}) SELECT subject, object, valid_from, valid_to FROM t WHERE subject = 7 ORDER BY valid_from NULLS LAST, object, valid_to NULLS LAST LIMIT 100""")
-def entity_timeline(lineitem):
-    """SRT6: one supplier's first hundred edges in time, undated ones last; `full_timeline` gives the whole."""
-    return _triples(lineitem).where("subject = 7").orderBy(F.col("valid_from").asc_nulls_last(), "object", F.col("valid_to").asc_nulls_last()).limit(100).select("subject", "object", "valid_from", "valid_to")
-
-
 @query(f"""
 WITH t AS ({_TRIPLES}) SELECT * FROM (SELECT subject AS entity, 'out' AS dir, predicate, object AS other, valid_from, valid_to FROM t UNION ALL SELECT object, 'in', predicate, subject, valid_from, valid_to FROM t) WHERE entity = 7 ORDER BY valid_from NULLS LAST, dir, other, valid_to NULLS LAST""")
 def full_timeline(lineitem):

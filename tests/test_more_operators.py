@@ -86,13 +86,13 @@ def test_pointers(spark):
 
 
 def test_pruning(spark):
-    rows = [(False, [("tool_result", "x" * 5000, False), ("tool_result", "y" * 5000, True), ("text", "<html>" + "a" * 600, None), ("text", "ok", None)])]
+    rows = [(False, [("tool_result", "data:image/png;base64," + "x" * 5000, False), ("tool_result", "y" * 5000, True), ("text", "<html>" + "a" * 600, None), ("text", "ok", None)])]
     entries = spark.createDataFrame(rows, "is_summary boolean, blocks array<struct<type:string,text:string,is_error:boolean>>")
     got = [b["text"] for b in bloat.strip_entries(entries).first()["blocks"]]
-    assert got[0] == "[base64 5000 chars]" and len(got[1]) == 5000 and got[2] == "[html 606 chars]" and got[3] == "ok"
+    assert got[0] == "[image stripped: 5022 bytes]" and len(got[1]) == 5000 and got[2] == "[HTML response stripped: 606 bytes]" and got[3] == "ok"
     long = " ".join(f"word{k}" for k in range(900))
     cut = bloat.strip_entries(spark.createDataFrame([(False, [("text", long, None)])], entries.schema)).first()["blocks"][0]["text"]
-    assert cut.startswith(long[:1000]) and cut.endswith(long[-1000:]) and "chars …]" in cut
+    assert cut.startswith(long[:1000]) and cut.endswith(long[-1000:]) and f"[stripped {len(long) - 2000} bytes]" in cut
 
 
 def test_records(spark):
@@ -104,10 +104,85 @@ def test_records(spark):
 def test_graph(spark):
     docs = spark.createDataFrame([(1, "the web-api runs on node-1 and web-api uses block-fast"), (2, "nothing")], "id long, text string")
     assert sorted((r["subject"], r["predicate"], r["object"]) for r in graph.relations(docs, "id", "text").collect()) == [("web-api", "runs_on", "node-1"), ("web-api", "uses_storage", "block-fast")]
-    links, edges = graph.index_new(docs, docs.where("id = 2").select("id"), "id", "text", {"svc": r"\b(web-api)\b", "node": r"\b(node-\d+)\b"})
-    assert links.count() == 2 and [tuple(r) for r in edges.collect()] == [("node:node-1", "svc:web-api", 1)]
+    links, edges, dropped = graph.index_new(docs, docs.where("id = 2").select("id"), "id", "text", {"svc": r"\b(web-api)\b", "node": r"\b(node-\d+)\b"})
+    assert links.count() == 2 and [tuple(r) for r in edges.collect()] == [("node:node-1", "mentioned_with", "svc:web-api", 1, 1)] and dropped.count() == 0
     triples = spark.createDataFrame([("svc:web-api", "runs_on", "node:node-1", NOW, None)], "subject string, predicate string, object string, valid_from timestamp, valid_to timestamp")
     names = links.select("entity_id", F.substring_index("entity_id", ":", -1).alias("name"))
     assert [r["dir"] for r in graph.find(names, triples, "NODE").collect()] == ["in"]
     closed = graph.invalidate(triples, "svc:web-api", "runs_on", "node:node-1", dt.datetime(2024, 2, 1))
     assert graph.find(names, closed, "node", dt.datetime(2024, 3, 1)).count() == 0
+
+
+def test_pairs_keep_to_the_window_and_the_bound(spark):
+    """Brute force over the mentions: the first eight by pattern and offset, at most 300 characters apart."""
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(4)
+    words = [f"svc{k}" for k in range(12)] + [f"n-{k:02}" for k in range(12)]
+    texts = [(k, " ".join(rng.choice([*words, "x" * rng.randint(1, 90)]) for _ in range(rng.randint(0, 40)))) for k in range(60)]
+    patterns = {"svc": r"svc\d+", "node": r"(n-\d\d)", "skill": r"svc(3)\b"}
+    edges, dropped = graph.pair_up(graph.mentions(spark.createDataFrame(texts, "id long, text string"), "id", "text", patterns))
+    want, left = {}, {}
+    for i, t in texts:
+        seen = {}
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t):
+                name = m[1] if m.groups() else m[0]
+                seen.setdefault(f"{kind}:{name}", (kind, m.start()))
+        own = [(e, kind, at) for e, (kind, at) in seen.items() if kind != "skill"]
+        if len(own) > 8:
+            left[i] = len(own) - 8
+        for (a, ka, pa), (b, kb, pb) in itertools.combinations(own[:8], 2):
+            if abs(pa - pb) <= 300:
+                key = (min(a, b), "co_occurs_with" if ka == kb else "mentioned_with", max(a, b))
+                want[key] = want.get(key, 0) + 1
+    assert {tuple(r)[:3]: r["weight"] for r in edges.collect()} == want
+    assert {r["id"]: r["dropped"] for r in dropped.collect()} == left
+
+
+def test_related_by_pairs_equals_brute_force(spark, monkeypatch):
+    import collections
+    import math
+    import random
+
+    rng = random.Random(8)
+    docs = {d: {rng.randrange(60) for _ in range(rng.choice([0, 1, 3, 6, 25]))} for d in range(90)}
+    links = spark.createDataFrame([(d, e, e % 4 == 0) for d, es in docs.items() for e in es], "d long, e long, weak boolean")
+    held = {d: es for d, es in docs.items() if es}
+    df = collections.Counter(e for es in held.values() for e in es)
+    idf = {e: math.log(len(held) / n) for e, n in df.items() if 1 < n <= max(2, int(len(held) * 0.2))}
+    want = {}
+    for a, es in held.items():
+        found = []
+        for b, other in held.items():
+            shared = {e for e in es & other if e in idf}
+            if a != b and len(shared) >= 2 and any(e % 4 for e in shared):
+                found.append((-round(sum(idf[e] for e in shared) / math.log2(2 + len(other)), 6), b, len(shared)))
+        for rank, (_, b, n) in enumerate(sorted(found)[:4], 1):
+            want[a, b] = (rank, n)
+    for wide in (64, 4):
+        monkeypatch.setattr(graph, "WIDE", wide)
+        got = {(r["source"], r["target"]): (r["rank"], r["shared"]) for r in graph.related(links, "d", "e", weak="weak").collect()}
+        assert got == want
+
+
+def test_texts_that_hold_items(spark):
+    """Items within words, of few words, empty and null, against `in`."""
+    from skein.operators import evaluation
+
+    items = ["one two three four five six", "two", "a b", "", None, "xx yy zz ww vv uu tt", "three four five six seven eight nine"]
+    texts = ["zero one two three four five six seven eight nine", "pone two three four five sixty", "one  two three four five six", None, "", "xx yy zz ww vv uu t", "a b a b", "one two three four five six one two three four five six"]
+    rows = spark.createDataFrame(list(enumerate(items)), "item long, text string")
+    got = {r["qid"]: r["holders"] for r in evaluation.holders(spark.createDataFrame([(t,) for t in texts], "text string"), rows, "item").collect()}
+    assert got == {k: sum(t is not None and x is not None and x in t for t in texts) for k, x in enumerate(items)}
+
+
+def test_prefixes_and_reviews_of_nothing(spark):
+    from skein.operators import curation, ingest
+
+    empty = spark.createDataFrame([], "uuid string, reviewed boolean")
+    assert ingest.mark_reviewed(empty, "abcd", NOW).count() == 0
+    assert ingest.mine(spark.createDataFrame([], "session string, seq long, kind string, text string"), F.lit(0.5)).count() == 0
+    assert curation.ancestry(spark.createDataFrame([], "pid long, parent long"), spark.createDataFrame([(5,)], "pid long")).collect()[0]["pid"] == 5
