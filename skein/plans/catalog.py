@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, coordination, fact_store, knowledge, markdown, ranking, sequence, texts
+from . import analytics, cases, coordination, fact_store, ingest, injection, knowledge, markdown, ranking, sequence, texts
 
 CATALOG: dict = {}
-for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown):
+for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown, ingest, injection, cases):
     CATALOG |= module.QUERIES
