@@ -18,9 +18,17 @@ def live(facts: DataFrame) -> DataFrame:
 
 
 def merge_duplicates(facts: DataFrame, key: str, id_col: str, arrays: list[str], last: str | None = None, count: str | None = None) -> DataFrame:
-    """AGG19, MUT1: a row a key; the smallest id stays, counts add up, arrays are united in order of id."""
-    united = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(a).alias("a")))), lambda x: x["a"]))).alias(a) for a in arrays]
-    return facts.groupBy(key).agg(F.min(id_col).alias(id_col), (F.sum(count) if count else F.count("*")).alias("confirmations"), *united, *([F.max(last).alias(last)] if last else []))
+    """AGG19, MUT1: a row a key; the smallest id stays, counts add up, arrays are united in order of id.
+
+    Values are counted once a key before any list is made, so a list has the distinct values, however many copies a key has.
+    """
+    out = facts.groupBy(key).agg(F.min(id_col).alias(id_col), (F.sum(count) if count else F.count("*")).alias("confirmations"), *([F.max(last).alias(last)] if last else []))
+    for a in arrays:
+        each = facts.select(F.col(key).alias("_k"), F.col(id_col).alias("_i"), F.posexplode(a).alias("_p", "_v")).groupBy("_k", "_v").agg(F.min(F.struct("_i", "_p")).alias("_f"))
+        united = each.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_v"))), lambda x: x["_v"]).alias(a))
+        out = out.join(united, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+        out = out.withColumn(a, F.coalesce(a, F.array().cast(facts.schema[a].dataType)))
+    return out
 
 
 def upsert(old: DataFrame, delta: DataFrame, key: str, prefer_new: list[str], keep_old: list[str], add: list[str] = ()) -> DataFrame:

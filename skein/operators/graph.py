@@ -140,20 +140,21 @@ def related(links: DataFrame, doc: str, entity: str, max_share: float = 0.2, lea
     size = once.groupBy("d").agg(F.count("*").alias("size"))
     own = once.join(rare, "e")
     # a document's rare entities: as many as the document has
-    listed = own.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("e", "idf", "strong"))).alias("es")).join(size, "d")
-    narrow, wide = listed.where(F.size("es").between(2, WIDE)), listed.where(F.size("es") > WIDE)
-    couples = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: a["e"] < b["e"]), lambda b: F.struct(a["e"].alias("a"), b["e"].alias("b")))))
-    keyed = narrow.select("d", F.explode(couples).alias("p"))
-    by_pair = keyed.alias("x").join(keyed.alias("y"), F.col("x.p") == F.col("y.p")).where("x.d != y.d").select(F.col("x.d").alias("source"), F.col("y.d").alias("target"))
-    single, singles = wide.select("d", F.explode("es.e").alias("e")), listed.select("d", F.explode("es.e").alias("e"))
-    one = single.alias("x").join(singles.alias("y"), F.col("x.e") == F.col("y.e")).where("x.d != y.d").select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
-    by_one = one.select(F.col("a").alias("source"), F.col("b").alias("target")).unionByName(one.select(F.col("b").alias("source"), F.col("a").alias("target")))
-    met = by_pair.unionByName(by_one).distinct()
-    left, right = listed.select(F.col("d").alias("source"), F.col("es").alias("mine")), listed.select(F.col("d").alias("target"), F.transform("es", lambda x: x["e"]).alias("theirs"), "size")
-    rows = met.join(left, "source").join(right, "target")
-    rows = rows.select("source", "target", "size", F.filter("mine", lambda x: F.array_contains("theirs", x["e"])).alias("s"))
-    sums = lambda field: F.aggregate(F.transform("s", lambda x: x[field].cast("double")), F.lit(0.0), lambda a, b: a + b)
-    scored = rows.where((F.size("s") >= least_shared) & (sums("strong") >= 1)).select("source", "target", F.size("s").cast("long").alias("shared"), F.round(sums("idf") / F.log2(F.col("size") + 2), 6).alias("score"))
+    listed = own.groupBy("d").agg(F.collect_list(F.struct("e", "idf", "strong")).alias("es"))
+    couples = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: a["e"] < b["e"]), lambda b: F.struct(F.struct(a["e"].alias("a"), b["e"].alias("b")).alias("p"), (a["idf"] + b["idf"]).alias("idf"), (a["strong"] + b["strong"]).alias("strong")))))
+    keyed = listed.where(F.size("es").between(2, WIDE)).select("d", F.explode(couples).alias("c")).select("d", "c.*")
+    met = keyed.select("p", "idf", "strong", F.col("d").alias("source")).join(keyed.select("p", F.col("d").alias("target")), "p").where("source != target")
+    # of s shared entities each is in s - 1 of the s(s - 1)/2 pairs
+    shared = F.round((F.sqrt(F.lit(1) + 8 * F.count("*")) + 1) / 2)
+    sums = met.groupBy("source", "target").agg(shared.cast("long").alias("shared"), (F.sum("idf") / (shared - 1)).alias("weight"), F.sum("strong").alias("strong"))
+    if (size.agg(F.max("size")).first()[0] or 0) > WIDE:
+        single, singles = listed.where(F.size("es") > WIDE).select("d", F.explode("es").alias("x")).select("d", "x.*"), listed.select("d", F.size("es").alias("n"), F.explode("es.e").alias("e"))
+        one = single.select("e", "idf", "strong", F.col("d").alias("a")).join(singles.select("e", "n", F.col("d").alias("b")), "e").where("a != b")
+        counted = one.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("idf").alias("weight"), F.sum("strong").alias("strong"), F.max("n").alias("n"))
+        back = counted.where(F.col("n") <= WIDE).select(F.col("b").alias("source"), F.col("a").alias("target"), "shared", "weight", "strong")
+        sums = sums.unionByName(counted.select(F.col("a").alias("source"), F.col("b").alias("target"), "shared", "weight", "strong")).unionByName(back)
+    good = sums.where((F.col("shared") >= least_shared) & (F.col("strong") >= 1)).join(size.select(F.col("d").alias("target"), "size"), "target")
+    scored = good.select("source", "target", "shared", F.round(F.col("weight") / F.log2(F.col("size") + 2), 6).alias("score"))
     w = Window.partitionBy("source").orderBy(F.col("score").desc(), "target")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 

@@ -139,9 +139,13 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, query: str =
     ranked: query, id, rank; relevant: query, id. ndcg_retrieved keeps the reference's ideal, from the retrieved hits only (DEF21).
     """
     total = relevant.groupBy(query).agg(F.count("*").alias("gold"))
-    hits = ranked.where(F.col("rank") <= k).join(relevant, [query, "id"])
+    return metrics_of_hits(ranked.where(F.col("rank") <= k).join(relevant, [query, "id"]), total, k, query)
+
+
+def metrics_of_hits(hits: DataFrame, total: DataFrame, k: int, query: str = "qid") -> DataFrame:
+    """As ranking_metrics, where the hits (query, rank) and the number of relevant rows (query, gold) are known already."""
     gain = F.sum(1 / F.log2(F.col("rank") + 1))
-    own = hits.groupBy(query).agg(F.min("rank").alias("first"), F.count("*").alias("found"), gain.alias("dcg"))
+    own = hits.where(F.col("rank") <= k).groupBy(query).agg(F.min("rank").alias("first"), F.count("*").alias("found"), gain.alias("dcg"))
     ideal = lambda n: F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, x: s + 1 / F.log2(x + 1))
     found = F.coalesce("found", F.lit(0))
     return total.join(own, query, "left").select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +69,30 @@ def sessions(rows: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
 def replay_leases(claims: DataFrame, ttl_seconds: int) -> DataFrame:
     """CRD1-2 offline: claims (resource, holder, at, id) in order; a claim wins if the resource is free, expired or its holder's own.
 
-    The state machine is a fold over each resource's ordered claims (JVM-side). Returns every claim
-    with whether it was won, and the holder after it.
+    Returns every claim with whether it was won, and the holder after it. A task reads its resources' claims in order and
+    keeps only the lease that stands, so a resource's history may be of any length.
     """
-    row = F.struct(F.unix_seconds(F.col("at").cast("timestamp")).alias("at"), F.col("id"), F.col("holder"))
-    listed = claims.groupBy("resource").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    done = "array<struct<id:bigint,won:boolean,holder:bigint,renewed:boolean>>"
-    start = F.struct(F.lit(None).cast("long").alias("holder"), F.lit(0).cast("long").alias("since"), F.array().cast(done).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        own = acc["holder"].eqNullSafe(x["holder"])
-        won = acc["holder"].isNull() | own | (x["at"] - acc["since"] > ttl_seconds)
-        holder = F.when(won, x["holder"]).otherwise(acc["holder"]).cast("long")
-        entry = F.struct(x["id"].cast("long").alias("id"), won.alias("won"), holder.alias("holder"), own.alias("renewed"))
-        return F.struct(holder.alias("holder"), F.when(won, x["at"]).otherwise(acc["since"]).cast("long").alias("since"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    folded = listed.select("resource", F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("resource", F.explode("out").alias("e")).select("resource", "e.id", "e.won", "e.holder", "e.renewed")
+    rows = claims.select("resource", F.unix_seconds(F.col("at").cast("timestamp")).alias("at"), F.col("id").cast("long").alias("id"), F.col("holder").cast("long").alias("holder"))
+    ordered = rows.repartition("resource").sortWithinPartitions("resource", "at", "id", "holder")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resource, holder, since, begun = None, None, 0, False
+        for b in batches:
+            out = []
+            for res, at, claim, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or res != resource:
+                    resource, holder, since, begun = res, None, 0, True
+                renewed = holder == own
+                won = holder is None or renewed or at - since > ttl_seconds
+                if won:
+                    holder, since = own, at
+                out.append((res, claim, won, holder, renewed))
+            names = ("resource", "id", "won", "holder", "renewed")
+            kinds = (b.schema.field(0).type, pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=list(names))
+
+    kind = dict(rows.dtypes)["resource"]
+    return ordered.mapInArrow(replay, f"resource {kind}, id long, won boolean, holder long, renewed boolean")
 
 
 def deltas(events: DataFrame, cursors: DataFrame, key: str, ts: str, id_col: str, most: int = 6) -> DataFrame:
