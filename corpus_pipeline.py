@@ -27,15 +27,18 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of each row - ids may be null or repeat - fixed by writing the table, and the key's name."""
+    """docs with a key of each row, and the key's name: doc_id where it is a number, never null and never repeated; else a new column, fixed by writing the table."""
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        counted = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+        if counted.where("n > 1 or doc_id is null").isEmpty():
+            return docs, "doc_id"
     row = _fresh(docs, "row")
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _keep(docs: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose key is among the chosen (a column of keys), without the key."""
-    kept = docs.join(chosen.toDF(row), row, "left_semi")
-    return kept.drop(row)
+def _keep(docs: DataFrame, row: str, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of docs whose key is among the chosen (a column of keys); of them the columns."""
+    return docs.join(chosen.toDF(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns, model = docs.columns, language.fit_text_model(docs, "lang")
     docs, row = _keyed(docs)
     told = language.identify(docs, model, id_col=row, host_col="source").where("accepted")
-    return _keep(docs, row, told.select(row)).select(*columns)
+    return _keep(docs, row, told.select(row), columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
     own = _fresh(docs, "score")
-    return quality.score(docs, net, score_col=own).where(F.col(own) >= QUALITY).select(*docs.columns)
+    return quality.score(docs, net, score_col=own).where(F.col(own) >= QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +70,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are compared each; null and empty texts, and texts without words, all stay. An empty table gives no rows.
     """
     columns, (docs, row) = docs.columns, _keyed(docs)
-    members = ngram_join.ngram_components(docs, id_col=row).select(F.col("doc_id").alias(row), "component_id")
-    own = members.join(docs.select(row, "doc_id"), row)
-    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key"))).alias("first"))
-    return _keep(docs, row, first.select("first.key")).select(*columns)
+    members = ngram_join.ngram_components(docs, id_col=row).select(F.col("doc_id").alias("key"), "component_id")
+    if row == "doc_id":
+        return _keep(docs, row, members.where("key = component_id").select("key"), columns)
+    own = members.join(docs.select(F.col(row).alias("key"), F.col("doc_id").alias("id")), "key")
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
+    return _keep(docs, row, first.select("first.key"), columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
