@@ -21,6 +21,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,22 +29,23 @@ from pyspark.sql import functions as F
 from .common import batch, materialize, small
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
-#: Words kept per Python worker; the table starts anew when full.
+#: Words kept per task; the table starts anew when full.
 CACHE_WORDS = 1_200_000
 #: Punctuation that is cut off behind a word: a run of it is a word of its own.
 _BEHIND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Characters of text whose words are looked up together.
-BLOCK = 1 << 20
-#: Python's split() treats these as space, the tokenizer doesn't; and its special tokens all start so.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Texts whose words are looked up together.
+TEXTS = 1024
+#: Arrow's split treats these as space, the tokenizer doesn't; and its special tokens all start so.
+_ODD = "[\\x1c-\\x1f]|<\\|"
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer whose words never span white space, as little-endian uint32 bytes.
 
-    Each distinct run of non-space characters is encoded once by the tokenizers library. Runs of
-    letters, in lower case and without punctuation behind, go to it as one long text: the last token of
-    a word is known by its mark in the vocabulary.
+    Arrow splits the texts and numbers their distinct runs of non-space characters; each is encoded once by the
+    tokenizers library, and a text's ids are gathered by these numbers. Runs of letters, in lower case
+    and without punctuation behind, go to the library as one long text: the last token of a word is known by its mark
+    in the vocabulary.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -66,47 +68,61 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: set[str]) -> None:
-        """Adds the ids of all runs to the table."""
+        """Makes the ids of all runs known."""
         known = self.words
         missing = runs.difference(known)
         if len(known) + 2 * len(missing) > self.most:
             known.clear()
             missing = runs
-        split = {}
+        plain, rest, split = set(), set(), []
         for run in missing:
             word = run.rstrip(_BEHIND)
             # letters of Latin-1 have one form, and one lower-case letter each
-            split[run] = (word.lower(), run[len(word) :]) if word.isalpha() and max(word) <= "\u00ff" else (run, "")
-        plain = {w for run, (w, _) in split.items() if w.isalpha() and max(w) <= "\u00ff"}
+            if word.isalpha() and (word.isascii() or max(word) <= "\u00ff"):
+                low = word.lower()
+                if low != run:
+                    tail = run[len(word) :]
+                    split.append((run, low, tail))
+                    if tail:
+                        rest.add(tail)
+                plain.add(low)
+            else:
+                rest.add(run)
         new = list(plain.difference(known))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             flat, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
             known.update(zip(new, [flat[x:y] for x, y in pairwise([0, *ends])], strict=True))
-        rest = list(({w for w, _ in split.values()} | {t for _, t in split.values()}).difference(known))
-        for k in range(0, len(rest), 4096):
-            known.update(zip(rest[k : k + 4096], self._encode(rest[k : k + 4096]), strict=True))
-        for run, (word, tail) in split.items():
-            if run != word:
-                known[run] = known[word] + known[tail]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        block: list[tuple[str, list[str] | None]] = []
-
-        def done():
-            self._learn({w for _, words in block if words for w in words})
-            get = self.words.__getitem__
-            for text, words in block:
-                yield self._encode([text])[0] if words is None else b"".join(map(get, words))
-
-        size = 0
-        for text in texts:
-            block.append((text, None if any(x in text for x in _ODD) else text.split()))
-            size += len(text)
-            if size > BLOCK:
-                yield from done()
-                block, size = [], 0
-        yield from done()
+        odd = list(rest.difference(known))
+        for k in range(0, len(odd), 4096):
+            known.update(zip(odd[k : k + 4096], self._encode(odd[k : k + 4096]), strict=True))
+        for run, low, tail in split:
+            known[run] = known[low] + known[tail] if tail else known[low]
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        for k in range(0, len(texts), TEXTS):
+            yield from self._some(pc.fill_null(texts.slice(k, TEXTS).cast(pa.large_string()), ""))
+
+    def _some(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        runs, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(set(runs) - {""})
+        self.words[""] = b""  # what stands before and behind the outer spaces
+        parts = list(map(self.words.__getitem__, runs))
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat((starts[at] - ends + n).astype(np.int32), n)
+        place += np.arange(total, dtype=np.int32)
+        flat = ids.take(place)
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for k, strange in enumerate(odd.to_pylist()):
+            yield self._encode([texts[k].as_py()])[0] if strange else flat[bounds[k] : bounds[k + 1]].tobytes()
 
 
 def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -118,7 +134,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator:
         encode, end = WordEncoder(tokenizer), np.array([separator], "<u4").tobytes()
         for b in small(batches):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(["" if t is None else t for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * budget)):
                     own = ids[at : at + 4 * budget]
