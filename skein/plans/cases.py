@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein import vocab
 from skein.functions import scoring, text
 from skein.operators import bloat, curation, degradation, evaluation, facts, graph, health, ingest, injection, markdown, pointers, pool, routing
-from skein.sources import folders, transcripts, writers
+from skein.sources import folders, remote, transcripts, writers
 
 QUERIES: dict = {}
 NOW = dt.datetime(2024, 1, 2)
@@ -360,6 +360,50 @@ def case_boost_cap(spark):
     return rows.select("id", *[F.round(injection.cap_boost(F.col("s"), F.col("r"), cap), 9).alias(name) for name, cap in (("free", None), ("capped", 1.2), ("floored", 0.5))])
 
 
+# -- remote sources -------------------------------------------------------------------------
+
+
+@case("key scope success cost_usd at", ("a", "s2", True, 0.5, "2"), ("b", None, False, 0.0, None))
+def case_outcomes(spark):
+    """SRC26: outcomes by key, the last of each; those without a key are left out."""
+    first = {"recent": [{"key": " a ", "scope": "s1", "success": False, "at": "1"}, {"key": "", "success": True}, {"key": "b"}], "count": 3}
+    second = {"recent": [{"key": "a", "scope": "s2", "success": True, "cost_usd": 0.5, "at": "2"}]}
+    return remote.outcomes(spark.createDataFrame([(json.dumps(x),) for x in (first, second)] + [("{broken",)], "answer string"))
+
+
+@case("session seq type subject", ("7", 1, "discovery", "task"), ("7", 2, "decision", "report"))
+def case_fetched_flows(spark):
+    """SRC27: finished flows and their logs, as lines that the flow parser reads."""
+    listed = {"data": {"flows": [{"id": "7", "status": "finished", "title": "t", "createdAt": "c"}, {"id": "8", "status": "running"}]}}
+    logs = {"data": {"agentLogs": [{"id": "1", "task": "task", "result": "r"}], "terminalLogs": [], "messageLogs": [{"id": "2", "type": "report", "message": "m"}]}}
+    flows = remote.finished_flows(spark.createDataFrame([(json.dumps(listed),)], "answer string"))
+    return transcripts.flow_logs(remote.flow_lines(flows, spark.createDataFrame([("7", json.dumps(logs))], "id string, answer string")))
+
+
+@case("session seq subject body", ("r", 0, "why?", "because it is so, they say"))
+def case_recorded(spark):
+    """SRC25: answers of an endpoint as turns; a failed one gives none."""
+    answer = {"choices": [{"message": {"content": "because it is so, they say"}}]}
+    rows = [("r", 0, "2024", "why?", json.dumps(answer), 5), ("r", 1, "2024", "how?", '{"error": 1}', 5)]
+    return transcripts.simple_turns(remote.recorded(spark.createDataFrame(rows, "stem string, line_no int, ts string, query string, answer string, latency_ms long"), "m", "chat"))
+
+
+@case("event tool session project", ("pre", "Bash", "s1", "no-git"), ("post", "unknown", "unknown", "e6d8e0b7de2b"))
+def case_observations(spark):
+    """SRC32: tool calls as a hook sees them."""
+    rows = [("t", "pre", '{"tool_name": "Bash", "session_id": "s1"}', None), ("t", "post", "{broken", "git@host:a.git")]
+    return remote.observations(spark.createDataFrame(rows, "ts string, event string, payload string, remote string"))
+
+
+@case("domain body source", ("a", "cached", "cache"), ("b", "probed", "probe"), ("c", "file", "fallback"), ("d", None, None))
+def case_landscapes(spark):
+    """SRC30, STR5: a fresh cache row, else a probe, else the fallback."""
+    names = spark.createDataFrame([(x,) for x in "abcd"], "domain string")
+    cache = spark.createDataFrame([("a", NOW, "cached"), ("a", NOW - dt.timedelta(seconds=9), "older"), ("b", NOW - dt.timedelta(days=1), "stale")], "domain string, ts timestamp, body string")
+    body = lambda *rows: spark.createDataFrame(rows, "domain string, body string")
+    return remote.landscapes(names, cache, body(("a", "x"), ("b", "probed")), body(("b", "y"), ("c", "file")), F.lit(NOW), 300)
+
+
 # -- folders and writers --------------------------------------------------------------------
 
 

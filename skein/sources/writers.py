@@ -63,3 +63,27 @@ def memory_lines(facts: DataFrame, per_domain: int, most_lines: int = 180) -> Da
 
     best = facts.withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), "id"))).where(F.col("n") <= per_domain)
     return best.orderBy("domain", "n").limit(most_lines).select("domain", "n", F.concat(F.lit("- "), F.col("text")).alias("line"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below `spark.checkpoint.dir`; a temporary one only where that is unset and all runs in one process."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = getattr(sc, "_skein_scratch", None)
+        if root is None:
+            root = sc._skein_scratch = "file://" + tempfile.mkdtemp(prefix="skein-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def archive(entries: DataFrame, path: str, most: int = 2000) -> None:
+    """SNK5: sessions' entries (session, seq, is_summary, blocks) with their bloat stripped, as JSON lines by session, in order."""
+    from skein.operators.bloat import strip_entries
+
+    pruned = strip_entries(entries, most).repartition("session").sortWithinPartitions("session", "seq")
+    pruned.write.partitionBy("session").json(path)

@@ -65,6 +65,7 @@ def cursors(events: DataFrame, session: str = "user_id", most: int = 6) -> DataF
     return events.groupBy(session).applyInPandasWithState(fold, f"{session} long, event_id long, overflow boolean", "waiting array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_log(events: DataFrame, path: str, checkpoint: str, redact=None):
-    """STR8, MUT20: an append-only log; `redact` masks rows before they are stored. Returns the running query."""
-    return (redact(events) if redact else events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").start(path)
+def append_log(events: DataFrame, path: str, checkpoint: str, redact=None, once: bool = True):
+    """STR8, MUT20: an append-only log; `redact` masks rows before they are stored. Returns the running query, which ends with what is there (`once`) or goes on."""
+    writer = (redact(events) if redact else events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet")
+    return (writer.trigger(availableNow=True) if once else writer).start(path)
