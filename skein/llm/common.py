@@ -45,8 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key with more rows than this part of all, and than so many, is dealt out over several tasks.
-HOT, HOT_ROWS = 1024, 256
+#: A key with more rows than this part of all, and than so many, is dealt out over several tasks; not in a table of few rows.
+HOT, HOT_ROWS, FEW_ROWS = 1024, 256, 10_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left", sizes: DataFrame | None = None) -> DataFrame:
@@ -56,6 +56,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     and their row of groups is repeated once a salt. Rows with a null key find nothing. sizes: keys and
     sizes of the groups, where groups would be costly to compute for them.
     """
+    if (total or 0) <= FEW_ROWS:
+        return rows.join(groups, keys, how)
     salts = F.ceil(F.col(size) / max(HOT_ROWS, -(-(total or 0) // HOT))).cast("int")
     hot = (groups if sizes is None else sizes).where(salts > 1).select(*keys, salts.alias("_salts"))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int"), F.lit(0)))

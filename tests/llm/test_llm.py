@@ -408,7 +408,10 @@ def test_bitmaps_bound_the_overlap():
         assert len(np.intersect1d(a, b)) <= most
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr("skein.llm.common.FEW_ROWS", few)
+    monkeypatch.setattr("skein.llm.common.HOT_ROWS", 16)
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 990)]
     parent = {}
@@ -431,6 +434,7 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     from skein.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(200)] + [(900, None), (901, "none")], "id long, key string")
     groups = rows.where("key is not null and key != 'none'").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     want = rows.join(groups, "key", "left").select("id", "key", "first").orderBy("id").collect()
@@ -516,6 +520,7 @@ def test_pairs_of_groups_are_pruned():
 
 def test_classes_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr("skein.llm.common.HOT_ROWS", 8)
+    monkeypatch.setattr("skein.llm.common.FEW_ROWS", 0)
     rows = [(k, [1.0, 2.0]) for k in range(300)] + [(1000 + k, [1.0, float(-k)]) for k in range(40)] + [(7, [1.0]), (2000, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = {r["vec_id"]: r["n_links"] for r in covertree.near_duplicates(df).collect()}
