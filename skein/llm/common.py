@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that the JVM and a Python worker hold as one Arrow batch while a table is written.
+ARROW_ROWS = 4096
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
@@ -41,7 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,11 +76,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt", "_salts")
 
 
+def _give_back() -> None:
+    """Returns memory to the system that the worker's earlier tasks have freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small(batches, rows: int = 2048):
     """The rows of Arrow batches, some at a time: what is made of them in Python is bounded by that."""
+    _give_back()
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    _give_back()
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
