@@ -33,7 +33,7 @@ def delta_files(documents):
     path = writers.scratch(documents.sparkSession, "deltas")
     lines = documents.select(F.col("lang").alias("domain"), F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").contains("token"))
     writers.write_deltas(lines, path)
-    back = documents.sparkSession.read.option("lineSep", "\n").text(path)
+    back = writers.read_deltas(documents.sparkSession, path)
     return back.groupBy("domain").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 

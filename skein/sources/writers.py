@@ -52,6 +52,12 @@ def write_deltas(lines: DataFrame, path: str) -> None:
     lines.select("domain", F.col("line").alias("value")).write.mode("append").partitionBy("domain").text(path)
 
 
+def read_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """What write_deltas wrote: domain, value; a folder without a line gives no rows."""
+    back = spark.read.option("lineSep", "\n").text(path)
+    return back.select("domain", "value") if "domain" in back.columns else back.select(F.lit(None).cast("string").alias("domain"), "value")
+
+
 def staging_rest(staged: DataFrame, promoted: DataFrame, key: str = "fact_key") -> DataFrame:
     """SNK10: what is still to be promoted."""
     return staged.join(promoted.select(key).distinct(), key, "left_anti")
