@@ -80,17 +80,19 @@ def score_facts(facts: DataFrame, tasks: DataFrame, cosines: DataFrame | None =
     own = facts.withColumn("digest", digest).join(cross_agent(facts.withColumn("digest", digest), "digest", "agent"), "digest", "left").join(decision_scores(facts, "id", "text"), "id", "left")
     # a task's row: as many as there are tasks
     rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(F.broadcast(asked), "qid")
+    factor = question_factor(F.col("phrases"), F.col("names"), F.col("text"))
+    factor = factor * scoring.half_life(F.greatest(F.lit(0.0), F.coalesce("gap_days", F.lit(0.0)))) * fact_factor(F.col("fact_type"), F.col("review"))
+    factor = factor * F.when(F.array_contains("favoured", F.col("domain")), vocab.SKILL_FACTOR).otherwise(1.0)
+    repeated = stored_factor(F.coalesce("stored", F.lit(0.0))) * F.when(F.col("agents").isNotNull(), vocab.CROSS_AGENT).otherwise(1.0)
+    base = vocab.TFIDF_SHARE * F.coalesce("tfidf", F.lit(0.0)) + vocab.BM25_SHARE * F.col("bm25")
+    # from here on numbers only: texts go through no further exchange
+    rows = rows.select("qid", "id", base.alias("base"), factor.alias("factor"), repeated.alias("repeated"), text.estimate_tokens(F.col("text")).alias("tokens"), "digest")
     if cosines is not None:
         rows = rows.join(cosines.groupBy("qid", "id").agg(F.max("cosine").alias("cosine")), ["qid", "id"], "left")
     else:
         rows = rows.withColumn("cosine", F.lit(None).cast("double"))
-    base = vocab.TFIDF_SHARE * F.coalesce("tfidf", F.lit(0.0)) + vocab.BM25_SHARE * F.col("bm25")
-    score = retrieval.blend(base, F.col("cosine")) * question_factor(F.col("phrases"), F.col("names"), F.col("text"))
-    score = score * scoring.half_life(F.greatest(F.lit(0.0), F.coalesce("gap_days", F.lit(0.0)))) * fact_factor(F.col("fact_type"), F.col("review"))
-    score = score * F.when(F.array_contains("favoured", F.col("domain")), vocab.SKILL_FACTOR).otherwise(1.0)
-    repeated = stored_factor(F.coalesce("stored", F.lit(0.0))) * F.when(F.col("agents").isNotNull(), vocab.CROSS_AGENT).otherwise(1.0)
-    out = rows.withColumn("_r", repeated).withColumn("_s", score)
-    return out.select("qid", "id", cap_boost(F.col("_s") * F.col("_r"), F.col("_r"), cap).alias("score"), text.estimate_tokens(F.col("text")).alias("tokens"), "digest")
+    score = retrieval.blend(F.col("base"), F.col("cosine")) * F.col("factor") * F.col("repeated")
+    return rows.select("qid", "id", cap_boost(score, F.col("repeated"), cap).alias("score"), "tokens", "digest")
 
 
 def _favoured(task: Column, skills: Mapping[str, tuple[str, ...]]) -> Column:
