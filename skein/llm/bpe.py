@@ -261,6 +261,16 @@ class ByteBpe:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
+_MODELS: dict[str, ByteBpe] = {}
+
+
+def model_of(path: str) -> ByteBpe:
+    """The process's model of a tokenizer file: a Python worker keeps what it has learnt over its tasks, up to the table's bound."""
+    if path not in _MODELS:
+        _MODELS[path] = ByteBpe(path)
+    return _MODELS[path]
+
+
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids (binary, uint32) and the decoded text."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -271,7 +281,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     schema = pa.schema(fields)
 
     def run(batches):
-        model = ByteBpe(tokenizer)
+        model = model_of(tokenizer)
         decimal = [str(i) for i in range(len(model.length))]
         for b in small(batches):
             rows = []

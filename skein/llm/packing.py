@@ -125,13 +125,24 @@ class WordEncoder:
             yield self._encode([texts[k].as_py()])[0] if strange else flat[bounds[k] : bounds[k + 1]].tobytes()
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The process's encoder of a tokenizer file, with an empty table."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].words = {}
+    return _ENCODERS[path]
+
+
 def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, the task and the rank of its length there; with_ids adds the ids (binary, uint32)."""
     out = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(budget + 1, np.int64)
-        encode, end = WordEncoder(tokenizer), np.array([separator], "<u4").tobytes()
+        encode, end = encoder_of(tokenizer), np.array([separator], "<u4").tobytes()
         for b in small(batches):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
@@ -145,6 +156,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, budget: int = 4096, separator:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             schema = pa.schema(list(zip(names, kinds, strict=True))[: 8 if with_ids else 7])
             yield batch(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}, schema)
+        encode.words = {}
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
