@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, language, maintenance, media, ngram_join, packing, pii, quality, sharding, url_filter, warc
+from . import bpe, covertree, language, maintenance, media, negatives, ngram_join, packing, pii, quality, sharding, url_filter, warc
 from .common import table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -76,10 +76,16 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_quality_classifier, op7_media_columns, op8_warc, op9_url_filters, op10_sharding, op11_late_arrivals, op12_pii, language_id_pages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_quality_classifier, op7_media_columns, op8_warc, op9_url_filters, op10_sharding, op11_late_arrivals, op12_pii, op13_hard_negatives, language_id_pages, pipeline)}
