@@ -14,10 +14,10 @@ from skein.operators import sequences
 EVENT = ("session", "seq", "event", "tool", "target", "detail", "turn", "working", "total")
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Records of transcript lines (stem, line_no, line) with what the detectors need; broken lines drop out.
+def fields(lines: DataFrame) -> DataFrame:
+    """Transcript lines (stem, line_no, line) with what the detectors need, each line on its own, so of a stream too; broken lines drop out.
 
-    DTM3: ts is seconds since 1970, 0 where there is no time. The session's id is the last one told so far, else the stem.
+    DTM3: ts is seconds since 1970, 0 where there is no time.
     """
     v = lines.withColumn("v", F.try_parse_json("line")).where("v is not null")
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
@@ -25,8 +25,7 @@ def parse(lines: DataFrame) -> DataFrame:
     main = (get("$.type") == "assistant") & usage.isNotNull() & ~F.coalesce(get("$.isSidechain", "boolean"), F.lit(False))
     fill = sum((F.coalesce(get(f"$.message.usage.{k}", "long"), F.lit(0)) for k in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")), F.lit(0))
     blocks = F.from_json(F.to_json(get("$.message.content", "variant")), "array<struct<type:string,id:string,name:string,input:string,tool_use_id:string,is_error:boolean,content:string>>")
-    so_far = Window.partitionBy("stem").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = v.select(
+    return v.select(
         "stem",
         F.col("line_no").cast("long").alias("seq"),
         get("$.sessionId").alias("told"),
@@ -46,6 +45,12 @@ def parse(lines: DataFrame) -> DataFrame:
         get("$.toolUseResult.oldString").alias("old"),
         get("$.toolUseResult.newString").alias("new"),
     )
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """The fields of transcript lines and their session: its id is the last one told so far, else the stem."""
+    so_far = Window.partitionBy("stem").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = fields(lines)
     return rows.withColumn("session", F.coalesce(F.last("told", ignorenulls=True).over(so_far), "stem")).drop("told")
 
 

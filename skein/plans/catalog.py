@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, cases, coordination, fact_store, files, ingest, injection, knowledge, markdown, ranking, sequence, texts
+from . import analytics, cases, coordination, fact_store, files, ingest, injection, knowledge, markdown, ranking, sequence, streams, temporal, texts
 
 CATALOG: dict = {}
-for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown, ingest, injection, cases, files):
+for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown, ingest, injection, cases, files, streams, temporal):
     CATALOG |= module.QUERIES
