@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein import vocab
 from skein.functions import text
+from skein.operators import extraction
 
 
 def is_binary(value: Column) -> Column:
@@ -30,26 +32,6 @@ def strip_entries(entries: DataFrame, most: int = 2000) -> DataFrame:
     return entries.withColumn("blocks", pruned)
 
 
-def objective(body: Column) -> Column:
-    """TXT15: the first sentence of the first paragraph that is prose."""
-    paragraphs = F.filter(F.split(body, r"\n\s*\n"), lambda p: (F.length(F.trim(p)) >= 20) & ~F.trim(p).rlike(r"^(#|[-*] |\d+\.|```|\|)"))
-    first = F.regexp_replace(F.trim(F.try_element_at(paragraphs, F.lit(1))), r"\s+", " ")
-    sentence = F.regexp_extract(first, r"^(.+?[.!?])(?:\s|$)", 1)
-    return F.when(sentence != "", sentence).otherwise(first)
-
-
-def items(body: Column, most: int = 8) -> Column:
-    """TXT14: bullets and numbered lines outside code fences, cleaned."""
-    bare = F.regexp_replace(body, r"(?s)```.*?(```|\z)", "")
-    found = F.regexp_extract_all(bare, F.lit(r"(?m)^[ \t]*(?:[-*]|\d+\.)[ \t]+(.+)$"), 1)
-    return F.slice(F.filter(F.transform(found, text.clean_markdown), lambda x: F.length(x) >= 3), 1, most)
-
-
-def bold_items(body: Column, most: int = 8) -> Column:
-    """TXT16."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\*\*([^*\n]{3,80})\*\*"), 1)), 1, most)
-
-
 #: What tells an incident and an architecture, classes of failures, and domains by tag.
 INCIDENT_WORDS = ("incident", "debugging", "postmortem", "outage", "failure", "broke", "crash", "cascade", "recovery", "fix", "broken")
 ARCHITECTURE_WORDS = ("architecture", "design", "deployment", "platform", "stack", "pipeline", "build", "deploy", "setup", "integration")
@@ -100,8 +82,8 @@ def complexity(body: Column) -> Column:
 
 
 def records(docs: DataFrame, title: str | None = None, tags: str | None = None) -> DataFrame:
-    """TXT17: stem, kind, failure class, domain, complexity, objective, items and bold items of each markdown body."""
+    """TXT15-17, PRJ26: stem, kind, failure class, domain, complexity, objective, bold items and an incident's families of each markdown body."""
     b = F.col("body")
     head = F.col(title) if title else F.lit(None).cast("string")
     labels = F.col(tags) if tags else F.lit(None).cast("array<string>")
-    return docs.select("stem", record_type(head, labels, b).alias("kind"), failure_class(b).alias("failure_class"), tag_domain(labels).alias("domain"), complexity(b).alias("complexity"), objective(b).alias("objective"), items(b).alias("items"), bold_items(b).alias("terms"))
+    return docs.select("stem", record_type(head, labels, b).alias("kind"), failure_class(b).alias("failure_class"), tag_domain(labels).alias("domain"), complexity(b).alias("complexity"), extraction.objective(b).alias("objective"), extraction.bold_items(b).alias("terms"), *[extraction.items(b, patterns, hints=hints).alias(name) for name, (patterns, hints) in vocab.INCIDENT_FAMILIES.items()])

@@ -50,19 +50,39 @@ def not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_anti")
 
 
-def contradictions(new: DataFrame, old: DataFrame, least_shared: int = 5, negations: tuple[str, ...] = vocab.NEGATIONS, stop: tuple[str, ...] = (), least_size: int = 0) -> DataFrame:
+def evidence_words(column: Column, stop: tuple[str, ...] = vocab.CONTRADICTION_STOP) -> Column:
+    """PRJ13: distinct lower-cased words; signs but hyphens and underscores are taken out, so a hyphenated word is one."""
+    bare = F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}_\s\x{85}\p{Z}-]", "")
+    words = F.filter(F.split(bare, r"[\s\x{85}\p{Z}]+"), lambda w: w != "")
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(x) for x in stop]).cast("array<string>"))
+
+
+def contradictions(new: DataFrame, old: DataFrame, least_shared: int = 5, negations: tuple[str, ...] = vocab.NEGATIONS, stop: tuple[str, ...] = vocab.CONTRADICTION_STOP) -> DataFrame:
     """PRJ13, JN11: for each new text the smallest id of an old one of the same domain that shares
-    `least_shared` words and of which exactly one has a negation. new, old: id, domain, text. least_size: shorter words are no evidence."""
+    `least_shared` words and of which exactly one has a negation. new, old: id, domain, text.
+
+    Words are ordered by how many texts have them. Two texts of n and m words that share k have one of the n - k + 1 rarest and of the
+    m - k + 1 rarest in common, so only those are joined: the most frequent words meet nobody. What they propose is counted exactly.
+    """
+
+    def tokens(rows: DataFrame, side: str) -> DataFrame:
+        words = rows.select(F.col("id").alias(f"{side}_id"), "domain", evidence_words(F.col("text"), stop).alias("w")).where(F.size("w") >= least_shared)
+        return words.withColumn("negated", F.arrays_overlap("w", F.array(*[F.lit(x) for x in negations])))
+
+    a, b = tokens(new, "new"), tokens(old, "old")
+    every = a.select(F.explode("w").alias("t")).unionByName(b.select(F.explode("w").alias("t")))
+    df = every.groupBy("t").agg(F.count("*").alias("df"))
 
-    def tokens(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.col("id").alias(name), "domain", F.array_except(F.array_distinct(text.words(F.col("text"))), F.array(*[F.lit(x) for x in stop]).cast("array<string>")).alias("w")).withColumn("negated", F.arrays_overlap("w", F.array(*[F.lit(x) for x in negations])))
+    def rarest(rows: DataFrame, side: str) -> DataFrame:
+        each = rows.select(f"{side}_id", "domain", "negated", F.explode("w").alias("t"), (F.size("w") - least_shared + 1).alias("few"))
+        # a text's own words
+        listed = each.join(df, "t").groupBy(f"{side}_id", "domain", "negated", "few").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ws"))
+        return listed.select(f"{side}_id", "domain", F.col("negated").alias(f"{side}_negated"), F.explode(F.expr("slice(ws, 1, few)")).alias("x")).select(f"{side}_id", "domain", f"{side}_negated", "x.t")
 
-    a, b = tokens(new, "new_id"), tokens(old, "old_id")
-    long_enough = lambda w: F.filter(w, lambda x: F.length(x) >= least_size)
-    left = a.select("new_id", "domain", F.col("negated").alias("n1"), F.explode(long_enough(F.col("w"))).alias("t"))
-    right = b.select("old_id", F.col("domain").alias("d2"), F.col("negated").alias("n2"), F.explode(long_enough(F.col("w"))).alias("t"))
-    pairs = left.join(right.withColumnRenamed("d2", "domain"), ["domain", "t"]).where("n1 != n2").groupBy("new_id", "old_id").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least_shared).groupBy("new_id").agg(F.min("old_id").alias("conflict_with"), F.count("*").alias("conflicts"))
+    met = rarest(a, "new").join(rarest(b, "old"), ["domain", "t"]).where("new_negated != old_negated").select("new_id", "old_id").distinct()
+    both = met.join(a.select("new_id", F.col("w").alias("wa")), "new_id").join(b.select("old_id", F.col("w").alias("wb")), "old_id")
+    pairs = both.where(F.size(F.array_intersect("wa", "wb")) >= least_shared)
+    return pairs.groupBy("new_id").agg(F.min("old_id").alias("conflict_with"), F.count("*").alias("conflicts"))
 
 
 def review_state(confidence: Column, conflict: Column) -> tuple[Column, Column]:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein import vocab
+from skein.functions import text
+from skein.operators import extraction
 
 
 def entities(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], aliases: Mapping[str, str] = {}, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -49,19 +52,99 @@ def mentions(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str,
         found = F.filter(F.arrays_zip(*groups, gaps), lambda x: x["g0"].isNotNull())
         return F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), F.length(x["g0"]).alias("size"), F.lower(F.trim(name(x))).alias("name")))
 
-    rows = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), matches(p).alias("m")) for k, (kind, p) in enumerate(patterns.items())]
-    # all that follows goes by text, so one exchange does
-    each = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*rows)).alias("f")).select("id", "f.k", "f.type", F.posexplode("f.m").alias("n", "x")).repartition("id")
-    so_far = Window.partitionBy("id", "k").orderBy("n")
-    end = F.sum(F.col("x.gap") + F.col("x.size")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = each.select("id", "k", "type", F.col("x.name").alias("name"), (end - F.col("x.size")).alias("first_at"))
-    out = out.where((F.col("name") != "") & ~F.col("name").isin(*stop)) if stop else out.where("name != ''")
-    if aliases:
-        table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-        out = out.withColumn("name", F.coalesce(F.try_element_at(table, F.col("name")), F.col("name")))
-    once = out.groupBy("id", "k", "type", "name").agg(F.min("first_at").alias("first_at"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "first_at", "name")).cast("long")
-    return once.select("id", "type", "name", F.concat_ws(":", "type", "name").alias("entity_id"), place.alias("place"), "first_at")
+    def located(k: int, kind: str, p: str) -> Column:
+        def placed(found: Column) -> Column:
+            ends = extraction.running(F.transform(found, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+            return text.let(ends, lambda e: F.transform(found, lambda x, n: F.struct(F.lit(k).alias("k"), named(x["name"]).alias("name"), (F.get(e, n) - x["size"]).cast("long").alias("first_at"), F.lit(kind).alias("type"))))
+
+        return F.filter(text.let(matches(p), placed), lambda x: x["name"].isNotNull())
+
+    def named(name: Column) -> Column:
+        """The name that it means; null for one that is none."""
+        full = F.coalesce(F.try_element_at(table, name), name) if aliases else name
+        return F.when((name != "") & ~name.isin(*stop) if stop else name != "", full)
+
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
+    # all is within a row: sorted by name, the first mention of each is the one that differs from its neighbour
+    listed = F.array_sort(F.concat(*[located(k, kind, p) for k, (kind, p) in enumerate(patterns.items())]))
+    firsts = text.let(listed, lambda xs: F.filter(xs, lambda x, n: (n == 0) | (x["k"] != F.get(xs, n - 1)["k"]) | (x["name"] != F.get(xs, n - 1)["name"])))
+    ordered = F.array_sort(F.transform(firsts, lambda x: F.struct(x["k"].alias("k"), x["first_at"].alias("first_at"), x["name"].alias("name"), x["type"].alias("type"))))
+    each = docs.select(F.col(id_col).alias("id"), F.posexplode(ordered).alias("n", "x"))
+    return each.select("id", "x.type", "x.name", F.concat_ws(":", "x.type", "x.name").alias("entity_id"), (F.col("n") + 1).cast("long").alias("place"), "x.first_at")
+
+
+def service_automaton(services: tuple[str, ...]):
+    """One automaton over all names."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for k, name in enumerate(services):
+        found.add_word(name, (k, name))
+    found.make_automaton()
+    return found
+
+
+#: What a pattern that ignores case takes for an ASCII letter: letter for letter, so that offsets stay.
+_FOLDED = {k: chr(k + 32) for k in range(65, 91)} | {0x17F: "s", 0x212A: "k"}
+
+
+def services_in(body: str, automaton, guards: Mapping[str, tuple[str, ...]] = vocab.SERVICE_GUARDS) -> list[tuple[int, str]]:
+    """Offset and name, as it is written, of the services in a text, from left to right without overlaps, in one pass over it.
+
+    A name stands between ends of words; of several that begin together the first listed counts. A guarded name is none where
+    one of its words follows: a compound product is named by its second word.
+    """
+    folded = body.translate(_FOLDED)
+    word = lambda k: 0 <= k < len(body) and (body[k].isalnum() or body[k] == "_")
+    candidates = []
+    for end, (rank, name) in automaton.iter(folded):
+        start = end - len(name) + 1
+        if word(start - 1) or word(end + 1):
+            continue
+        if name in guards:
+            rest = re.match(r"\s+", body[end + 1 :])
+            if rest and folded.startswith(guards[name], end + 1 + rest.end()):
+                continue
+        candidates.append((start, rank, name))
+    out, free = [], 0
+    for start, _, name in sorted(candidates):
+        if start >= free:
+            free = start + len(name)
+            out.append((start, body[start:free]))
+    return out
+
+
+def built_in_mentions(docs: DataFrame, id_col: str, text_col: str, services: tuple[str, ...] = vocab.SERVICES, forms: Mapping[str, str] = vocab.ENTITY_FORMS, kinds: tuple[str, ...] = vocab.ENTITY_KINDS, aliases: Mapping[str, str] = vocab.ENTITY_ALIASES, stop: tuple[str, ...] = vocab.ENTITY_STOP) -> DataFrame:
+    """KG1-2, KG14: as `mentions`, with the built-in kinds: services by an automaton, the other kinds by their forms; in any case.
+
+    A text is read in an Arrow task and goes through no exchange. Texts that are null have no entities. The case of letters is folded as
+    a pattern that ignores case does it.
+    """
+    schema = pa.schema([("id", pa.int64()), ("type", pa.string()), ("name", pa.string()), ("entity_id", pa.string()), ("place", pa.int64()), ("first_at", pa.int64())])
+
+    def run(batches):
+        automaton = service_automaton(services)
+        compiled = {kind: re.compile(p, re.I) for kind, p in forms.items()}
+        for b in batches:
+            out = []
+            for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen = {}
+                for kind in kinds:
+                    if kind == "service":
+                        found = services_in(body or "", automaton)
+                    elif kind in compiled:
+                        found = [(m.start(), next((g for g in m.groups() if g), "") if m.re.groups else m[0]) for m in compiled[kind].finditer(body or "")]
+                    else:
+                        continue
+                    for at, name in found:
+                        name = name.lower().strip()
+                        if name and name not in stop:
+                            seen.setdefault((kind, aliases.get(name, name)), at)
+                out += [(key, kind, name, f"{kind}:{name}", n, at) for n, ((kind, name), at) in enumerate(seen.items(), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, type string, name string, entity_id string, place long, first_at long")
 
 
 def pair_up(found: DataFrame, most: int = vocab.PAIR_MOST, window: int = vocab.PAIR_WINDOW, unpaired: tuple[str, ...] = vocab.UNPAIRED_TYPES) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +284,7 @@ def votes(links: DataFrame, entity: str, fact: str, domain: str) -> DataFrame:
 
 #: Subject, verb, object; the predicate is the verb's name.
 RELATIONS = {
-    "runs_on": r"(?i)\b([\w-]+(?:-api|executor|proxy))\b\s+(?:runs?|deployed|scheduled)\s+(?:on|to)\s+([\w-]+)",
+    "runs_on": r"(?i)\b([\w-]+(?:-api|executor|proxy))\b\s+(?:runs?|deployed|scheduled)\s+(?:on|to)\s+(k8s-[\w-]+)",
     "uses_storage": r"(?i)\b([\w-]+)\s+(?:uses?|on|backed by)\s+(block-\w+)",
     "in_namespace": r"(?i)\b([\w-]+(?:-api|executor|proxy))\b\s+(?:in|namespace)\s+(\w+)\s+namespace",
 }

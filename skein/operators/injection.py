@@ -101,14 +101,13 @@ def _favoured(task: Column, skills: Mapping[str, tuple[str, ...]]) -> Column:
     return F.array_distinct(F.concat(*hits)) if hits else none
 
 
-def inject(scored: DataFrame, budget: int, bootstrap: bool = False) -> DataFrame:
+def inject(scored: DataFrame, budget: int, bootstrap: str | None = None, used: int = 0) -> DataFrame:
     """RET1, RET12, SRT1, WIN12: what each task is given: of equal texts the best placed, by score per token, within the budget.
 
-    bootstrap: a young domain's facts are exempt from the floors.
+    bootstrap: a boolean column; facts of a young domain are exempt from floors and budget. used: tokens that handoffs and notes have
+    taken from the budget before.
     """
-    priority = F.col("score") / F.col("tokens")
-    ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "digest").orderBy(priority.desc(), "id"))).where("_n = 1").drop("_n")
-    return retrieval.select_within(ranked, budget, least_priority=float("-inf") if bootstrap else vocab.INJECT_LEAST_PRIORITY, least_score=None if bootstrap else 0.0)
+    return retrieval.select_within(scored, max(0, budget - used), exempt=bootstrap, same="digest")
 
 
 def file_scores(files: DataFrame, tasks: DataFrame, stop: tuple[str, ...] = FILE_STOP) -> DataFrame:

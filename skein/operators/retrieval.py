@@ -110,24 +110,33 @@ def one_each(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return sized.groupBy("h").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")).drop("h")
 
 
-def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int = vocab.INJECT_ROWS, least_priority: float = vocab.INJECT_LEAST_PRIORITY, least_score: float | None = 0.0) -> DataFrame:
+def select_within(ranked: DataFrame, budget: int, group: str = "qid", most: int = vocab.INJECT_ROWS, least_priority: float = vocab.INJECT_LEAST_PRIORITY, least_score: float | None = 0.0, exempt: str | None = None, same: str | None = None) -> DataFrame:
     """RET12, SRT1: fill a token budget in order of score per token; what doesn't fit is skipped, not an end.
 
-    ranked: group, id, score, tokens: all candidates, of equal texts one. Rows that can't fit at all are dropped,
-    and of rows of one size all but the `most` best: when it is a row's turn, a better one of its size was taken
-    or didn't fit, and then the row doesn't either. A group's list thus has at most budget * most rows, and the fold is exact.
+    ranked: group, id, score, tokens: all candidates; of rows with an equal `same` the first that is taken goes. exempt: a boolean column;
+    such rows are held neither to the floors nor to the budget, but their tokens are spent, and they count among the `most`. Once
+    another row has spent the budget to nothing the list ends. Rows that can't fit at all are dropped, and of rows of one size (of exempt rows: of all) all but the
+    `most` best: when it is a row's turn, a better one of its size was taken or didn't fit, and then the row doesn't either. A
+    group's list thus has at most (budget + 1) * most rows, and the fold is exact.
     """
-    row = "struct<id:bigint,tokens:bigint>"
-    ok = ranked.where((F.lit(True) if least_score is None else F.col("score") > least_score) & (F.col("tokens") <= budget)).withColumn("priority", F.col("score") / F.col("tokens")).where(F.col("priority") >= least_priority)
-    same_size = Window.partitionBy(group, "tokens").orderBy(F.col("priority").desc(), "id")
+    row = "struct<id:bigint,tokens:bigint,same:string>"
+    free = F.coalesce(F.col(exempt), F.lit(False)) if exempt else F.lit(False)
+    ok = ranked.withColumn("priority", F.col("score") / F.col("tokens")).withColumn("free", free).withColumn("same", F.col(same).cast("string") if same else F.lit(None).cast("string"))
+    if same:  # of equal rows, exempt or not, only the best can ever be taken
+        copies = Window.partitionBy(group, "same", "free").orderBy(F.col("priority").desc(), "id")
+        ok = ok.withColumn("_n", F.row_number().over(copies)).where((F.col("_n") == 1) | F.col("same").isNull()).drop("_n")
+    ok = ok.where(F.col("free") | ((F.lit(True) if least_score is None else F.col("score") > least_score) & (F.col("tokens") <= budget) & (F.col("priority") >= least_priority)))
+    same_size = Window.partitionBy(group, "free", F.when(~F.col("free"), F.col("tokens"))).orderBy(F.col("priority").desc(), "id")
     ok = ok.withColumn("_n", F.row_number().over(same_size)).where(F.col("_n") <= most)
-    listed = ok.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id"), F.col("tokens")))).alias("rows"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{row}>").alias("kept"))
+    listed = ok.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id"), F.col("tokens"), F.col("free"), F.col("same")))).alias("rows"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(False).alias("spent"), F.array().cast(f"array<{row}>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        take = (x["tokens"] <= acc["left"]) & (F.size(acc["kept"]) < most)
-        kept = F.concat(acc["kept"], F.array(F.struct(x["id"].cast("long").alias("id"), x["tokens"].cast("long").alias("tokens"))))
-        return F.when(take, F.struct((acc["left"] - x["tokens"]).cast("long").alias("left"), kept.alias("kept"))).otherwise(acc)
+        known = F.exists(acc["kept"], lambda k: k["same"] == x["same"])
+        take = ~acc["spent"] & ~F.coalesce(known, F.lit(False)) & (x["free"] | (x["tokens"] <= acc["left"])) & (F.size(acc["kept"]) < most)
+        kept = F.concat(acc["kept"], F.array(F.struct(x["id"].cast("long").alias("id"), x["tokens"].cast("long").alias("tokens"), x["same"].alias("same"))))
+        left = (acc["left"] - x["tokens"]).cast("long")
+        return F.when(take, F.struct(left.alias("left"), ((left <= 0) & ~x["free"]).alias("spent"), kept.alias("kept"))).otherwise(acc)
 
     folded = listed.select(group, F.aggregate("rows", start, step).alias("f"))
     return folded.select(group, F.posexplode("f.kept").alias("place", "row")).select(group, (F.col("place") + 1).cast("long").alias("place"), "row.id", "row.tokens")

@@ -55,15 +55,28 @@ def pick_handoff(handoffs: DataFrame, terms: Column, as_of, hours: int = 48, mos
     return fresh.orderBy(F.desc("at"), "name").limit(1)
 
 
+#: Letters by which a word and what holds it meet.
+GRAM = 4
+
+
+def holders_of(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (term, word) where the term, of GRAM letters or more, stands anywhere in the word: they meet by the term's first letters, then it is looked for."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda k: F.substr(F.col("word"), k, F.lit(GRAM)))
+    pieces = words.where(F.length("word") >= GRAM).select("word", F.explode(F.array_distinct(starts)).alias("gram"))
+    return pieces.join(terms.select("term", F.substring("term", 1, GRAM).alias("gram")), "gram").where(F.col("word").contains(F.col("term"))).select("term", "word")
+
+
 def corpus_domains(facts: DataFrame, questions: DataFrame, most_terms: int = 10, most_facts: int = 20) -> DataFrame:
-    """RET17, JN10: by the facts that hold a question's words of four letters and more: the most frequent domain among the best `most_facts`.
+    """RET17, JN10: by the facts that hold one of a question's words of four letters and more, anywhere in them: the most frequent domain among the best `most_facts`.
 
-    questions: qid, text; facts: id, domain, text, score. Words are matched as words, by a join on them.
+    questions: qid, text; facts: id, domain, text, score. A word without spaces stands in a text if it stands in one of the text's words,
+    so it is looked for among the distinct words of all texts, once, and not in the texts.
     """
-    words = F.slice(F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) >= 4)), 1, most_terms)
+    words = F.slice(F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) >= GRAM)), 1, most_terms)
     asked = questions.select("qid", F.explode(words).alias("term"))
-    held = facts.select("id", "domain", "score", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
-    found = held.join(asked, "term").select("qid", "id", "domain", "score").distinct()
+    held = facts.select("id", F.explode(F.array_distinct(text.plain_words(F.col("text")))).alias("word"))
+    met = holders_of(asked.select("term").distinct(), held.select("word").distinct())
+    found = held.join(met, "word").join(asked, "term").select("qid", "id").distinct().join(facts.select("id", "domain", "score"), "id")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("n") <= most_facts)
     votes = best.groupBy("qid", "domain").agg(F.count("*").alias("votes"))
     return votes.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("v"), "domain")).alias("b")).select("qid", F.col("b.domain").alias("domain"), (-F.col("b.v")).alias("votes"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, cases, coordination, fact_store, files, ingest, injection, knowledge, markdown, ranking, sequence, streams, temporal, texts, transcripts
+from . import analytics, coordination, fact_store, files, ingest, injection, knowledge, markdown, ranking, sequence, streams, temporal, texts, transcripts
 
 CATALOG: dict = {}
-for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown, ingest, injection, cases, files, streams, temporal, transcripts):
+for module in (texts, ranking, fact_store, knowledge, sequence, analytics, coordination, markdown, ingest, injection, files, streams, temporal, transcripts):
     CATALOG |= module.QUERIES

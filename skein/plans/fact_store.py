@@ -26,23 +26,22 @@ def corroborate_merge(documents):
     return out.select("text_hash", "doc_id", "confirmations", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("sources", "langs")])
 
 
-_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_ \t\n\f\r]', ' ', 'g'), '[ \t\n\f\r]+'), lambda x: x <> ''))"
-
-
-_NEGATIONS = ("only", "was")
-_STOP = tuple(x for x in dict.fromkeys(vocab.CONTRADICTION_STOP) if x not in _NEGATIONS)
+_TOKENS = r"list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+')), lambda x: x <> '' AND x NOT IN " + repr(vocab.CONTRADICTION_STOP) + ")"
+#: A tenth of the texts say that something was undone, in the words that count.
+_TOLD = "CASE doc_id % 20 WHEN 3 THEN text || ' was rolled-back today' WHEN 7 THEN 'It is broken: ' || text ELSE text END"
 
 
 @query(rf"""
-WITH a AS (SELECT item_id AS new_id, list_filter({_TOKENS}, lambda x: x NOT IN {_STOP}) AS w FROM benchmark), b AS (SELECT doc_id AS old_id, list_filter({_TOKENS}, lambda x: x NOT IN {_STOP}) AS w FROM documents),
-l AS (SELECT new_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM a), r AS (SELECT old_id, list_has_any(w, ['only', 'was']) AS n, unnest(w) AS t FROM b),
+WITH a AS (SELECT item_id AS new_id, {_TOKENS.format("text")} AS w FROM benchmark), b AS (SELECT doc_id AS old_id, {_TOKENS.format(_TOLD)} AS w FROM documents),
+l AS (SELECT new_id, list_has_any(w, {list(vocab.NEGATIONS)}) AS n, unnest(w) AS t FROM a), r AS (SELECT old_id, list_has_any(w, {list(vocab.NEGATIONS)}) AS n, unnest(w) AS t FROM b),
 p AS (SELECT new_id, old_id, count(*) AS shared FROM l JOIN r ON l.t = r.t AND l.n <> r.n GROUP BY ALL HAVING count(*) >= 5)
 SELECT new_id, min(old_id) AS conflict_with, count(*) AS conflicts FROM p GROUP BY new_id""")
 def contradictions_all(benchmark, documents):
-    """PRJ13, JN11: questions as new facts of every domain against all texts; all words but stop words are evidence, two words stand for a negation."""
+    """PRJ13, JN11: questions as new facts of every domain against all texts, of which a tenth say that something was undone."""
     new = benchmark.select(F.col("item_id").alias("id"), F.lit("any").alias("domain"), "text")
-    old = documents.select(F.col("doc_id").alias("id"), F.lit("any").alias("domain"), "text")
-    return facts.contradictions(new, old, negations=_NEGATIONS, stop=_STOP)
+    told = F.when(F.col("doc_id") % 20 == 3, F.concat("text", F.lit(" was rolled-back today"))).when(F.col("doc_id") % 20 == 7, F.concat(F.lit("It is broken: "), "text")).otherwise(F.col("text"))
+    old = documents.select(F.col("doc_id").alias("id"), F.lit("any").alias("domain"), told.alias("text"))
+    return facts.contradictions(new, old)
 
 
 @query("""

@@ -59,16 +59,23 @@ def injection_scores(documents, benchmark, labels, embeddings):
     return _scored(documents, benchmark, labels, embeddings).select("qid", "id", "score", "tokens")
 
 
+#: Facts of a young domain: exempt from floors and budget.
+_YOUNG = "id % 97 = 0"
+
+
 @query(f"""
 WITH RECURSIVE {_SCORED},
-one AS (SELECT * FROM (SELECT *, score / tokens AS priority, row_number() OVER (PARTITION BY qid, digest ORDER BY score / tokens DESC, id) AS copy FROM s) WHERE copy = 1 AND score > 0 AND tokens <= 2000 AND score / tokens >= 0.04),
-c AS (SELECT qid, id, tokens, row_number() OVER (PARTITION BY qid ORDER BY priority DESC, id) AS n FROM one),
-fold(qid, n, remaining, kept, id, tokens, took) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST(2000 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false FROM c UNION ALL
-  SELECT c.qid, CAST(c.n AS BIGINT), fold.remaining - CASE WHEN c.tokens <= fold.remaining AND fold.kept < 8 THEN c.tokens ELSE 0 END, fold.kept + CASE WHEN c.tokens <= fold.remaining AND fold.kept < 8 THEN 1 ELSE 0 END, c.id, CAST(c.tokens AS BIGINT), c.tokens <= fold.remaining AND fold.kept < 8 FROM fold JOIN c ON c.qid = fold.qid AND c.n = fold.n + 1)
+ok AS (SELECT *, {_YOUNG} AS free, score / tokens AS priority FROM s WHERE {_YOUNG} OR (score > 0 AND tokens <= 2000 AND score / tokens >= 0.04)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, digest, free ORDER BY priority DESC, id) AS copy FROM ok) WHERE copy = 1),
+c AS (SELECT qid, id, tokens, free, digest, row_number() OVER (PARTITION BY qid ORDER BY priority DESC, id) AS n FROM one),
+fold(qid, n, remaining, spent, kept, id, tokens, took, seen) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST(2000 AS BIGINT), false, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST([] AS VARCHAR[]) FROM c UNION ALL
+  SELECT qid, n, remaining - CASE WHEN take THEN tokens ELSE 0 END, spent OR (take AND NOT free AND remaining - tokens <= 0), kept + CAST(take AS BIGINT), id, tokens, take, CASE WHEN take THEN list_append(seen, digest) ELSE seen END
+  FROM (SELECT c.qid, CAST(c.n AS BIGINT) AS n, fold.remaining, fold.spent, fold.kept, c.id, CAST(c.tokens AS BIGINT) AS tokens, c.free, c.digest, fold.seen, NOT fold.spent AND (c.free OR c.tokens <= fold.remaining) AND fold.kept < 8 AND NOT list_contains(fold.seen, c.digest) AS take FROM fold JOIN c ON c.qid = fold.qid AND c.n = fold.n + 1))
 SELECT qid, kept AS place, id, tokens FROM fold WHERE took""")
 def injected(documents, benchmark, labels, embeddings):
-    """RET1, RET12, SRT1, WIN12: what each question is given within 2000 tokens, of equal texts one; the oracle folds step by step."""
-    return injection.inject(_scored(documents, benchmark, labels, embeddings), 2000)
+    """RET1, RET12, SRT1, WIN12: what each question is given within 2000 tokens, of equal texts one; facts of a young domain are exempt. The oracle folds step by step."""
+    scored = _scored(documents, benchmark, labels, embeddings).withColumn("young", F.col("id") % 97 == 0)
+    return injection.inject(scored, 2000, bootstrap="young")
 
 
 _STOP = "(" + ", ".join(repr(w) for w in injection.FILE_STOP) + ")"

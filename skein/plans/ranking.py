@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text
-from skein.operators import evaluation, retrieval
+from skein.operators import evaluation, retrieval, routing
 
 from .registry import registrar
 
@@ -75,8 +75,8 @@ def keyword_search(documents, benchmark):
 
 
 _FUSED = f"""
-a AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 20),
-f AS (SELECT qid, id, coalesce(1.0 / (a.rank - 1 + 60), 0) + coalesce(1.0 / (b.rank - 1 + 60), 0) AS score FROM a FULL JOIN (SELECT qid, id, rank FROM kr WHERE rank <= 20) b USING (qid, id))"""
+a AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 50),
+f AS (SELECT qid, id, coalesce(1.0 / (a.rank - 1 + 60), 0) + coalesce(1.0 / (b.rank - 1 + 60), 0) AS score FROM a FULL JOIN (SELECT qid, id, rank FROM kr WHERE rank <= 50) b USING (qid, id))"""
 
 
 @query(f"""WITH {_BM25}, t AS (SELECT qid, sum(times) AS of FROM q GROUP BY qid),
@@ -84,12 +84,25 @@ ks AS (SELECT qid, id, sum(times) / any_value(of) AS score FROM (SELECT doc_id A
 kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM ks), {_FUSED}
 SELECT qid, id, round(score, 8) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(documents, benchmark):
-    """MTH10: BM25 and keyword share, twenty each."""
+    """MTH10: BM25 and keyword share, fifty each."""
     shared = retrieval.matches(documents, benchmark, "doc_id", "item_id")
-    fused = retrieval.fuse(_ranked_bm25(documents, benchmark, 20, shared), _ranked_share(documents, benchmark, 20, shared), ["qid", "id"])
+    fused = retrieval.fuse(_ranked_bm25(documents, benchmark, 50, shared), _ranked_share(documents, benchmark, 50, shared), ["qid", "id"])
     return retrieval.top_k(fused.withColumn("score", F.round("score", 8)), 10)
 
 
+_MEANT = "m AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT b.item_id AS qid, e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings e ON e.vec_id <> q.vec_id))"
+
+
+@query(f"""WITH {_SHARE}, {_MEANT},
+f AS (SELECT qid, id, coalesce(0.4 / (a.rank - 1 + 60), 0) + coalesce(0.6 / (b.rank - 1 + 60), 0) AS score FROM (SELECT * FROM kr WHERE rank <= 50) a FULL JOIN (SELECT * FROM m WHERE rank <= 50) b USING (qid, id))
+SELECT qid, id, round(score, 8) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id) AS rank FROM f) WHERE rank <= 20""")
+def hybrid_fusion(documents, benchmark, embeddings):
+    """MTH10: keyword and semantic ranking, fifty each, 0.4 to 0.6; a question's vector is that of its id."""
+    asked = embeddings.join(benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    fused = retrieval.fuse(_ranked_share(documents, benchmark, 50), retrieval.nearest(embeddings, asked, 50), ["qid", "id"], weights=(0.4, 0.6))
+    return retrieval.top_k(fused.withColumn("score", F.round("score", 8)), 20)
+
+
 _DOT = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
 _NEAR = f"near AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label AS label, q.label AS wanted, {_DOT} AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON e.vec_id <> q.vec_id)"
 _RANKED = f"{_NEAR}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM near)"
@@ -164,3 +177,15 @@ def relevance_labels(documents, benchmark):
     found = evaluation.relevant(documents.select(F.col("doc_id").alias("id"), "text"), cases)
     own = found.groupBy("qid").agg(F.count("*").alias("relevant"), F.min("id").alias("first"), F.sum("hits").alias("hits"))
     return cases.select("qid").join(own, "qid", "left").select("qid", F.coalesce("relevant", F.lit(0)).alias("relevant"), "first", "hits")
+
+
+@query(rf"""
+WITH w AS (SELECT item_id AS qid, unnest({_WORDS}) AS term, unnest(range(1, len({_WORDS}) + 1)) AS n FROM benchmark), f AS (SELECT qid, term, min(n) AS n FROM w WHERE length(term) >= 4 GROUP BY qid, term),
+q AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) AS k FROM f) WHERE k <= 10),
+h AS (SELECT DISTINCT qid, doc_id AS id, lang, n_chars % 1000 AS score FROM documents JOIN q ON contains(lower(text), term)),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM h), v AS (SELECT qid, lang AS domain, count(*) AS votes FROM b WHERE k <= 20 GROUP BY qid, lang)
+SELECT qid, domain, votes FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, domain) AS k FROM v) WHERE k = 1""")
+def corpus_routes(documents, benchmark):
+    """RET17, JN10: the domain of a question by the texts that hold one of its first ten words of four letters and more, as part of a word too."""
+    facts = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text", (F.col("n_chars") % 1000).alias("score"))
+    return routing.corpus_domains(facts, benchmark.select(F.col("item_id").alias("qid"), "text"))

@@ -1,4 +1,4 @@
-"""Operators whose input no driver table has, on literal rows; the oracles are the expected rows, written out by hand."""
+"""Operators on literal rows, with the rows that they have to give, written out by hand."""
 
 from __future__ import annotations
 
@@ -338,12 +338,12 @@ def case_pruned_entry(spark):
     return pruned.select(F.posexplode("blocks").alias("p", "b")).select(F.col("p").cast("long").alias("at"), F.length("b.text").cast("long").alias("size"))
 
 
-@case("stem kind failure_class domain complexity objective items terms", ("s", "incident", "control_plane", "infrastructure", "simple", "The outage began in etcd.", "check the fix|verify it", "check"), ("t", "architecture", "unknown", "storage", "multi-step", "We build a platform.", "", ""))
+@case("stem kind failure_class domain complexity objective fix terms", ("s", "incident", "control_plane", "infrastructure", "simple", "The outage began in the etcd cluster.", "check the fix of the disk|repair it by restarting", ""), ("t", "architecture", "unknown", "storage", "multi-step", vocab.NO_OBJECTIVE, "", "Silent retries (hid the cause)"))
 def case_records(spark):
     """PRJ26, TXT14-17: votes over title, tags and body; classes; structure; the first sentence; items outside of fences."""
-    rows = [("s", "Debugging", ["Ops"], "# T\n\nThe outage began in etcd. More about quorum.\n\n- **check** the `fix`\n```\n- not this\n```\n1. verify it"), ("t", "Our stack", ["Storage"], "## A\n\nWe build a platform. It has a design.\n\n## B\n## C\n## D\n")]
+    rows = [("s", "Debugging", ["Ops"], "# T\n\nThe outage began in the etcd cluster. More about quorum.\n\n- **check** the `fix` of the disk\n```\n- not this fix of the disk\n```\n1. repair it by restarting"), ("t", "Our stack", ["Storage"], "## A\n\nWe build a platform. It has a design.\n\n## B\n**Elsewhere bold**\n## Lessons\n**Silent retries.** hid the cause\n## D\n")]
     out = bloat.records(spark.createDataFrame(rows, "stem string, title string, tags array<string>, body string"), "title", "tags")
-    return out.withColumn("items", F.array_join("items", "|")).withColumn("terms", F.array_join("terms", "|"))
+    return out.withColumn("fix", F.array_join("fix", "|")).withColumn("terms", F.array_join("terms", "|"))
 
 
 @case("id days factor", (1, 30.0, 0.5), (2, 2.0, 1.0))
@@ -626,10 +626,10 @@ def case_own_session(spark):
 # -- graph ------------------------------------------------------------------------------------
 
 
-@case("subject predicate object", ("web-api", "runs_on", "node-1"), ("web-api", "uses_storage", "block-fast"))
+@case("subject predicate object", ("web-api", "runs_on", "k8s-1"), ("web-api", "uses_storage", "block-fast"))
 def case_relations(spark):
     """KG3."""
-    docs = spark.createDataFrame([(1, "the web-api runs on node-1 and web-api uses block-fast"), (2, "nothing")], "id long, text string")
+    docs = spark.createDataFrame([(1, "the web-api runs on k8s-1 and web-api uses block-fast"), (2, "nothing")], "id long, text string")
     return graph.relations(docs, "id", "text")
 
 

@@ -95,22 +95,16 @@ def test_pruning(spark):
     assert cut.startswith(long[:1000]) and cut.endswith(long[-1000:]) and f"[stripped {len(long) - 2000} bytes]" in cut
 
 
-def test_records(spark):
-    body = "# T\n\nThe outage had a root cause. More.\n\n- **check** the `fix`\n```\n- not this\n```\n1. verify it"
-    got = bloat.records(spark.createDataFrame([("s", body)], "stem string, body string")).first()
-    assert (got["kind"], got["objective"], got["items"], got["terms"]) == ("incident", "The outage had a root cause.", ["check the fix", "verify it"], ["check"])
-
-
 def test_graph(spark):
-    docs = spark.createDataFrame([(1, "the web-api runs on node-1 and web-api uses block-fast"), (2, "nothing")], "id long, text string")
-    assert sorted((r["subject"], r["predicate"], r["object"]) for r in graph.relations(docs, "id", "text").collect()) == [("web-api", "runs_on", "node-1"), ("web-api", "uses_storage", "block-fast")]
-    links, edges, dropped = graph.index_new(docs, docs.where("id = 2").select("id"), "id", "text", {"svc": r"\b(web-api)\b", "node": r"\b(node-\d+)\b"})
-    assert links.count() == 2 and [tuple(r) for r in edges.collect()] == [("node:node-1", "mentioned_with", "svc:web-api", 1, 1)] and dropped.count() == 0
-    triples = spark.createDataFrame([("svc:web-api", "runs_on", "node:node-1", NOW, None)], "subject string, predicate string, object string, valid_from timestamp, valid_to timestamp")
+    docs = spark.createDataFrame([(1, "the web-api runs on k8s-1 and web-api uses block-fast"), (2, "nothing")], "id long, text string")
+    assert sorted((r["subject"], r["predicate"], r["object"]) for r in graph.relations(docs, "id", "text").collect()) == [("web-api", "runs_on", "k8s-1"), ("web-api", "uses_storage", "block-fast")]
+    links, edges, dropped = graph.index_new(docs, docs.where("id = 2").select("id"), "id", "text", {"svc": r"\b(web-api)\b", "node": r"\b(k8s-\d+)\b"})
+    assert links.count() == 2 and [tuple(r) for r in edges.collect()] == [("node:k8s-1", "mentioned_with", "svc:web-api", 1, 1)] and dropped.count() == 0
+    triples = spark.createDataFrame([("svc:web-api", "runs_on", "node:k8s-1", NOW, None)], "subject string, predicate string, object string, valid_from timestamp, valid_to timestamp")
     names = links.select("entity_id", F.substring_index("entity_id", ":", -1).alias("name"))
-    assert [r["dir"] for r in graph.find(names, triples, "NODE").collect()] == ["in"]
-    closed = graph.invalidate(triples, "svc:web-api", "runs_on", "node:node-1", dt.datetime(2024, 2, 1))
-    assert graph.find(names, closed, "node", dt.datetime(2024, 3, 1)).count() == 0
+    assert [r["dir"] for r in graph.find(names, triples, "K8S").collect()] == ["in"]
+    closed = graph.invalidate(triples, "svc:web-api", "runs_on", "node:k8s-1", dt.datetime(2024, 2, 1))
+    assert graph.find(names, closed, "k8s", dt.datetime(2024, 3, 1)).count() == 0
 
 
 def test_pairs_keep_to_the_window_and_the_bound(spark):
