@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text
-from skein.operators import evaluation, retrieval, routing
+from skein.operators import evaluation, postings, retrieval, routing
 
 from .registry import registrar
 
@@ -22,8 +22,13 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT qid, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean)))) AS score FROM p JOIN df USING (term) JOIN q USING (term), size GROUP BY qid, id)"""
 
 
+def _shared(documents, benchmark):
+    """Postings of the questions' words, out of the index of the texts, which is made once a session."""
+    return postings.matches(postings.of(documents, "doc_id", like=("lang",)), benchmark, "item_id")
+
+
 def _ranked_bm25(documents, benchmark, k, shared=None):
-    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id", shared=shared).withColumn("score", F.round("score", 6))
+    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id", shared=shared or _shared(documents, benchmark)).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, k)
 
 
@@ -33,6 +38,12 @@ def bm25_topk(documents, benchmark):
     return _ranked_bm25(documents, benchmark, 10)
 
 
+@query(f"WITH {_BM25} SELECT qid, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 10")
+def bm25_blocks(documents, benchmark):
+    """RET9, AGG3: the same list from blocks of postings, of which only those are scored that can hold one of the ten."""
+    return postings.best(postings.of(documents, "doc_id", like=("lang",)), benchmark, "item_id", 10)
+
+
 @query(f"""
 WITH RECURSIVE {_BM25}, one AS (SELECT min(doc_id) AS id, any_value(greatest(1, length(text) // 4)) AS tokens FROM documents GROUP BY text),
 c AS (SELECT qid, id, CAST(tokens AS BIGINT) AS tokens, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) / tokens DESC, id) AS BIGINT) AS n FROM bm JOIN one USING (id) WHERE round(score, 6) > 0 AND tokens <= 8000),
@@ -41,7 +52,7 @@ fold(qid, n, room, kept, id, tokens, took) AS (SELECT DISTINCT qid, CAST(0 AS BI
 SELECT qid, kept AS place, id, tokens FROM fold WHERE took""")
 def bm25_budget(documents, benchmark):
     """RET12: of all texts that match a question, one of each equal text, what fits 8000 tokens by score per token; the oracle folds step by step."""
-    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+    scored = retrieval.bm25(documents, benchmark, "doc_id", "item_id", shared=_shared(documents, benchmark)).withColumn("score", F.round("score", 6))
     return retrieval.select_within(scored.join(retrieval.one_each(documents, "doc_id"), "id").select("qid", "id", "score", "tokens"), 8000, least_priority=0.0)
 
 
@@ -65,7 +76,7 @@ kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DE
 
 
 def _ranked_share(documents, benchmark, k, shared=None):
-    return retrieval.top_k(retrieval.keyword_share(documents, benchmark, "doc_id", "item_id", shared=shared).withColumn("score", F.round("score", 6)), k)
+    return retrieval.top_k(retrieval.keyword_share(documents, benchmark, "doc_id", "item_id", shared=shared or _shared(documents, benchmark)).withColumn("score", F.round("score", 6)), k)
 
 
 @query(f"WITH {_SHARE} SELECT qid, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM kr WHERE rank <= 10")
@@ -85,7 +96,7 @@ kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DE
 SELECT qid, id, round(score, 8) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(documents, benchmark):
     """MTH10: BM25 and keyword share, fifty each."""
-    shared = retrieval.matches(documents, benchmark, "doc_id", "item_id")
+    shared = _shared(documents, benchmark)
     fused = retrieval.fuse(_ranked_bm25(documents, benchmark, 50, shared), _ranked_share(documents, benchmark, 50, shared), ["qid", "id"])
     return retrieval.top_k(fused.withColumn("score", F.round("score", 8)), 10)
 

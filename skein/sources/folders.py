@@ -75,6 +75,54 @@ def aliases(lines: DataFrame) -> DataFrame:
     return lines.withColumn("name", name).where("name is not null").withColumn("addresses", F.regexp_extract_all("line", F.lit(r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"), 1))
 
 
+def included(lines: DataFrame, home: str = "/root") -> DataFrame:
+    """SRC19: file, target of the lines that include another file (`source x`, `. x`): relative paths start at the file's folder, ~ and $HOME at home."""
+    said = F.regexp_extract(F.trim("line"), r"^(?:source|\.)\s+(.*)$", 1)
+    path = F.replace(F.replace(said, F.lit("$HOME"), F.lit(home)), F.lit("~"), F.lit(home))
+    folder = F.regexp_extract("file", r"^(.*/)[^/]*$", 1)
+    return lines.where(said != "").select("file", F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)).alias("target"))
+
+
+def walk(roots: DataFrame, edges: DataFrame, source: str = "file", target: str = "target", most_rounds: int = 1000) -> DataFrame:
+    """SRC19: what is reached from the roots along edges, each once, with its least depth: file, depth.
+
+    Breadth first: a round joins the newest files with the edges and leaves out what was reached before, so a cycle ends. Each
+    round is a table in the shared folder; there are as many as the longest way is long, and the driver only learns whether one is empty.
+    """
+    from skein.sources.writers import scratch
+
+    spark = roots.sparkSession
+    path = scratch(spark, "walk")
+    kind = dict(edges.dtypes)[target]
+    schema = f"file {kind}"
+    roots.select(F.col(source).cast(kind).alias("file")).distinct().write.parquet(f"{path}/depth=0")
+    steps = edges.where(F.col(target).isNotNull()).select(F.col(source).alias("_from"), F.col(target).alias("file")).distinct()
+    steps.write.parquet(f"{path}-edges")
+    steps = spark.read.schema(f"_from {dict(steps.dtypes)['_from']}, file {kind}").parquet(f"{path}-edges")
+    for depth in range(1, most_rounds + 1):
+        newest = spark.read.schema(schema).parquet(f"{path}/depth={depth - 1}")
+        known = spark.read.schema(f"{schema}, depth long").parquet(path)
+        new = newest.select(F.col("file").alias("_at")).join(steps, F.col("_at") == F.col("_from")).select("file").distinct()
+        new.join(known.select("file"), "file", "left_anti").write.parquet(f"{path}/depth={depth}")
+        if spark.read.schema(schema).parquet(f"{path}/depth={depth}").isEmpty():
+            return known
+    raise RuntimeError(f"no end after {most_rounds} rounds")
+
+
+def alias_facts(lines: DataFrame, roots: DataFrame, blocked: tuple[str, ...] = (), home: str = "/root") -> DataFrame:
+    """SRC19: file, name, fact_text, depth of the aliases and functions in the root files and all that they include, each file once."""
+    line = F.trim("line")
+    body = r"^alias\s+([^=]+)=['\"]?([^'\"]+)['\"]?$"
+    alias, command = F.trim(F.regexp_extract(line, body, 1)), F.trim(F.regexp_extract(line, body, 2))
+    function = F.regexp_extract(line, r"^([a-zA-Z0-9_-]+)\s*\(\)\s*\{", 1)
+    address = F.regexp_extract(command, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0)
+    told = F.concat(F.lit("Alias '"), alias, F.lit("' executes: "), command, F.when(address != "", F.concat(F.lit(" (IP: "), address, F.lit(")"))).otherwise(""))
+    defined = F.concat(F.lit("Function '"), function, F.lit("' is defined in "), F.substring_index("file", "/", -1))
+    rows = lines.where(~line.startswith("#")).select("file", F.when(alias != "", alias).otherwise(function).alias("name"), F.when(alias != "", told).otherwise(defined).alias("fact_text"))
+    rows = rows.where((F.col("name") != "") & ~F.col("name").isin(*blocked) if blocked else F.col("name") != "")
+    return rows.join(walk(roots, included(lines, home)), "file")
+
+
 def fingerprints(spark: SparkSession, path: str, exclude: tuple[str, ...] = (".git", "__pycache__", "node_modules")) -> DataFrame:
     """SRC29, PRJ27: path below the root and sha-256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
