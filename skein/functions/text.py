@@ -325,10 +325,10 @@ def fact_key(text: Column, *, lower: bool = False, size: int = 16) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
-    """TXT13: bullets, numbers, bold, links and backticks off."""
-    for p, r in ((r"^[ \t]*[-*][ \t]+", ""), (r"^[ \t]*\d+\.[ \t]+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), ("`([^`]*)`", "$1")):
-        text = F.regexp_replace(text, p, r)
-    return F.trim(text)
+    """TXT13: without bullet or quote signs, number, bold, link with its target, and code marks."""
+    for pattern, new in ((r"(?U)^[*\->]+\s*", ""), (r"(?U)^\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)(?:\{[^}]*\})?", "$1"), ("`([^`]+)`", "$1")):
+        text = F.regexp_replace(text, pattern, new)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def section(text: Column, header: str) -> Column:

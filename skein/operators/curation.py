@@ -29,7 +29,7 @@ def expire(facts: DataFrame, as_of: Column, days: float | None) -> DataFrame:
 
 def cached(cache: DataFrame, as_of: Column, seconds: int) -> DataFrame:
     """STR5: rows of a cache (key, ts, ...) that are still fresh."""
-    return cache.where(F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")) <= seconds)
+    return cache.where(F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")) < seconds)
 
 
 def conflicts(facts: DataFrame) -> DataFrame:

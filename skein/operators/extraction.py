@@ -60,11 +60,7 @@ def under(rows: Column, hints: tuple[str, ...]) -> Column:
     return text.let(own, lambda found: F.when(F.size(found) > 0, found).otherwise(rows))
 
 
-def clean(value: Column) -> Column:
-    """TXT13: without bullet or quote signs, number, bold, link with its target, and code marks."""
-    for pattern, new in ((r"(?U)^[*\->]+\s*", ""), (r"(?U)^\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)(?:\{[^}]*\})?", "$1"), ("`([^`]+)`", "$1")):
-        value = F.regexp_replace(value, pattern, new)
-    return strip(value)
+clean = text.clean_markdown
 
 
 def _open_fences(rows: Column) -> Column:

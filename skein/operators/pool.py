@@ -35,7 +35,8 @@ def reopen_dead(tasks: DataFrame, alive: DataFrame) -> DataFrame:
     """CRD5: tasks taken by a process known to be dead are open again. alive: taken_pid, alive."""
     out = tasks.join(alive, "taken_pid", "left")
     dead = (F.col("status") == "taken") & (F.col("alive") == F.lit(False))
-    return out.withColumn("status", F.when(dead, "open").otherwise(F.col("status"))).withColumn("taken_by", F.when(~F.coalesce(dead, F.lit(False)), F.col("taken_by"))).drop("alive")
+    # both at once: the new status says nothing about who was dead
+    return out.withColumns({"status": F.when(dead, "open").otherwise(F.col("status")), "taken_by": F.when(~F.coalesce(dead, F.lit(False)), F.col("taken_by"))}).drop("alive")
 
 
 def sync(local: DataFrame, remote: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
