@@ -1,16 +1,17 @@
 """Operator 8, WARC: archives of gzip members with revisit records, and a reader that salvages.
 
-`write_archives` stores each page as a record of its own gzip member. Of pages with equal
+`write_archives` stores each row as a record of its own gzip member. Of rows with equal
 payloads the one with the largest id is a response and the others revisit it. Which is decided on
-(id, digest) rows alone; the html is then dealt out by id, so copies of one page spread evenly.
+(id, digest) rows alone; the html is then dealt out by id, so copies of one page spread evenly. Where ids are null or repeated,
+rows are numbered first (by writing the table), and the number stands in for the id.
 
 `read_archives` checks every member's CRC, length and block digest. After a failed check it
 searches for the next member or version line from which a whole record can be read, goes on there,
 and logs the bytes between as quarantined.
 
-Defined results: null html is an empty payload; a null url leaves out the target; rows with a null
-id are left out; rows that repeat an id are one page (of unequal payloads the one with the
-smallest digest); an empty table gives no records; other columns of the input are ignored.
+Defined results: null html is an empty payload; a null url leaves out the target; every row is a record: one with a null id has a
+null page_id, which counts as the smallest, and of rows that repeat an id each has its own (of the largest id's equal payloads one is the response);
+an empty table gives no records; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -52,16 +53,22 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def build_record(page: int, url: str | None, payload: bytes, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def record_id(page: int | None, row: int | None) -> str:
+    """A record's name: its page, and its row's number where pages aren't unique or have no id."""
+    return f"<urn:page:{'' if page is None else page}{'' if row is None else f':row:{row}'}>"
+
+
+def build_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "2024-01-01T00:00:00Z", row: int | None = None, refers_row: int | None = None) -> bytes:
     """One record, not compressed. A revisit keeps the http headers, which tell the payload's length."""
+    revisit = refers_to is not None or refers_row is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {date}"]
+    block = http if revisit else http + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page, row)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+    if revisit:
+        lines += [f"WARC-Refers-To: {record_id(refers_to, refers_row)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -173,36 +180,38 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 
 def _page(value: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+)(?::row:\d+)?>", value or "")
     return int(found[1]) if found else None
 
 
 def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int = ROLL, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives; path, records and bytes of each. Payloads under `smallest` bytes are never revisits."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).where("page_id is not null")
-    seen = materialize(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("n")), "page-digests")
-    own = seen.groupBy("page_id").agg(F.min("hex").alias("hex"), F.min_by("n", "hex").alias("n"), F.count("*").alias("rows"))
-    last = own.where(F.col("n") >= smallest).groupBy("hex").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
-    placed = join_groups(own, last, ["hex"], "copies", seen.count()).select(F.col("page_id").alias("p"), F.col("hex").alias("x"), F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
-    repeated = not seen.groupBy("page_id").count().where("count > 1").isEmpty()
-    found = rows.join(placed, F.col("page_id") == F.col("p"))
-    if repeated:
-        found = found.where(F.sha1(F.col("html").cast("binary")) == F.col("x")).dropDuplicates(["page_id"])
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
+    unique = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 or page_id is null").isEmpty()
+    if not unique:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "page-rows")
+    key, best = ("page_id", F.max("page_id")) if unique else ("row", F.max(F.struct("page_id", "row")))
+    seen = materialize(rows.select(*dict.fromkeys(("page_id", key)), F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("n")), "page-digests")
+    last = seen.where(F.col("n") >= smallest).groupBy("hex").agg(best.alias("last"), F.count("*").alias("copies"))
+    page, row = ("last", "last") if unique else ("last.page_id", "last.row")
+    other = F.col(row) != F.col(key)
+    placed = join_groups(seen, last, ["hex"], "copies", seen.count()).select(F.col(key).alias("p"), F.when(other, F.col(page)).alias("refers_to"), (F.lit(None).cast("long") if unique else F.when(other, F.col(row))).alias("refers_row"))
+    found = rows.join(placed, F.col(key) == F.col("p")).select("page_id", "url", "html", "refers_to", (F.lit(None).cast("long") if unique else F.col("row")).alias("row"), "refers_row")
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def write(batches):
         files, out = Roller(folder, TaskContext.get().partitionId(), ".warc.gz", roll), {}
         for b in small(batches):
-            for page, url, text, refers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                data = member(build_record(page, url, text.encode(), refers))
+            for page, url, text, refers, row, refers_row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = member(build_record(page, url, text.encode(), refers, row=row, refers_row=refers_row))
                 path, _ = files.append(data)
                 n, size = out.get(path, (0, 0))
                 out[path] = n + 1, size + len(data)
         files.close()
         yield batch({"path": list(out), "records": [n for n, _ in out.values()], "bytes": [s for _, s in out.values()]}, schema)
 
-    return found.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, records long, bytes long")
+    return found.mapInArrow(write, "path string, records long, bytes long")
 
 
 def read_archives(archives: DataFrame, path_col: str = "path", with_payload: bool = False) -> DataFrame:

@@ -596,13 +596,24 @@ def pages(spark):
 
 
 def test_warc_round_trip(spark):
-    got = {r["page_id"]: tuple(r)[1:] for r in warc.archive_pages(pages(spark)).collect()}
+    got = collections.Counter(tuple(r) for r in warc.archive_pages(pages(spark)).collect())
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     one, long = b"<p>one", ("é" * 70_000).encode()
-    assert got == {1: (6, sha(one), "revisit", 6), 2: (6, sha(one), "revisit", 6), 6: (6, sha(one), "response", None), 3: (0, sha(b""), "revisit", 4), 4: (0, sha(b""), "response", None), 5: (140_000, sha(long), "response", None)}
+    first = {(1, 6, sha(one), "revisit", 6), (2, 6, sha(one), "revisit", 6), (6, 6, sha(one), "response", None), (3, 0, sha(b""), "revisit", 4), (4, 0, sha(b""), "response", None), (5, 140_000, sha(long), "response", None)}
+    assert got == collections.Counter([*first, (6, 6, sha(one), "revisit", 6), (None, 4, sha(b"lost"), "response", None)])
+    assert set(map(tuple, warc.archive_pages(pages(spark).where("page_id is not null").dropDuplicates(["page_id"])).collect())) == first
     assert warc.archive_pages(pages(spark).limit(0)).count() == 0
 
 
+def test_every_row_is_a_record(spark):
+    """Repeated ids with unequal payloads, null ids alone and with others: a record a row, one response a payload."""
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "v", "two"), (None, "u", "x"), (None, "u", "x"), (None, "u", "two"), (2, "u", None), (None, "u", "")]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(1, 3, "response", None), (1, 3, "response", None), (1, 3, "revisit", 1), (None, 1, "response", None), (None, 1, "revisit", None), (None, 3, "revisit", 1), (2, 0, "response", None), (None, 0, "revisit", 2)]
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == collections.Counter(want)
+    assert len({r["payload_digest"] for r in got if r["record_type"] == "response"}) == sum(r["record_type"] == "response" for r in got) == 4
+
+
 def test_lost_records_are_told(spark, monkeypatch):
     real = warc.read_archives
     monkeypatch.setattr(warc, "read_archives", lambda files: real(files).withColumn("record_type", F.when(F.col("page_id") == 5, "gap").otherwise(F.col("record_type"))))
