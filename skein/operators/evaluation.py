@@ -97,6 +97,26 @@ def rank_hybrid(units: DataFrame, questions: DataFrame, cosines: DataFrame | Non
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "unit")).cast("long"))
 
 
+def rank_shared(units: DataFrame, questions: DataFrame, places: int = 6) -> DataFrame:
+    """RET10: as `rank_hybrid`, where all questions are asked of the same units (unit, session, text): qid, unit, session, score (rounded), rank.
+
+    Units are split and counted once; what is joined with the questions are counts. Every question ranks every unit.
+    """
+    asked = questions.select("qid", F.explode(text.words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    split = units.select("unit", "session", text.plain_words(F.col("text")).alias("w"))
+    size = split.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))  # one row
+    each = split.select("unit", F.size("w").alias("length"), F.explode("w").alias("term"))
+    counts = each.groupBy("unit", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    posts = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(size))
+    decided = posts.where(F.col("term").isin(*vocab.DECISION_WORDS)).groupBy("unit").agg(F.sum(scoring.tfidf(F.col("tf"), F.col("df"), F.col("n"))).alias("decided"))
+    weight = scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.greatest(F.col("mean"), F.lit(1.0)))
+    found = posts.select("unit", "term", weight.alias("w")).join(asked, "term").groupBy("qid", "unit").agg(F.sum(F.col("w") * F.col("times")).alias("found"))
+    every = units.select("unit", "session").join(decided, "unit", "left").join(questions.select("qid").distinct())  # the stated questions
+    score = vocab.TFIDF_SHARE * F.coalesce("decided", F.lit(0.0)) + vocab.BM25_SHARE * F.coalesce("found", F.lit(0.0))
+    rows = every.join(found, ["qid", "unit"], "left").select("qid", "unit", "session", F.round(score, places).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "unit")).cast("long"))
+
+
 def ranked_sessions(ranked: DataFrame) -> DataFrame:
     """WIN18: of ranked units (qid, session, rank) each session once, in order of its best unit."""
     first = ranked.groupBy("qid", "session").agg(F.min("rank").alias("first"))

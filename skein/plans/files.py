@@ -66,17 +66,19 @@ def archived_entries(conversations):
     return back.groupBy("session").agg(F.count("*").alias("entries"), F.sum(F.length(F.col("blocks")[0]["text"])).alias("chars"))
 
 
-@query("SELECT lang AS name, count(*) AS files, count(DISTINCT text) AS distinct_files FROM documents WHERE n_chars < 400 GROUP BY lang")
+@query("""
+SELECT lang AS name, doc_id % 16 AS part, sha256(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY ALL""")
 def tree_fingerprints(documents):
-    """SRC29, PRJ27: short documents as files of a tree, one each, by their digests; a folder that is left out holds copies."""
+    """SRC29, PRJ27: all texts as the files of a tree, some of each language in one, by their digests; a folder that is left out holds copies."""
     spark = documents.sparkSession
     path = writers.scratch(spark, "tree")
-    short = documents.where("n_chars < 400").select("lang", "text", F.col("doc_id").alias("doc"))
+    rows = documents.select("lang", (F.col("doc_id") % 16).alias("part"), "doc_id", F.regexp_replace("text", "\n", " ").alias("value"))
     for folder in ("kept", ".git"):
-        # a text a file: a partition a document
-        short.withColumn("value", F.regexp_replace("text", "\n", " ")).select("lang", "doc", "value").write.partitionBy("lang", "doc").text(f"{path}/{folder}")
+        # a file a folder: a partition has all of it, in order
+        dealt = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id")
+        dealt.select("lang", "part", "value").write.partitionBy("lang", "part").option("maxRecordsPerFile", 0).text(f"{path}/{folder}")
     found = folders.fingerprints(spark, path).where(F.col("path").contains("/part-"))
-    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("name")).agg(F.count("*").alias("files"), F.count_distinct("digest").alias("distinct_files"))
+    return found.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("name"), F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "digest")
 
 
 @query(f"""

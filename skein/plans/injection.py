@@ -28,7 +28,7 @@ bm AS (SELECT qid, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2
 dp AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) WHERE term IN {vocab.DECISION_WORDS} GROUP BY ALL), dd AS (SELECT term, count(*) AS df FROM dp GROUP BY term),
 ti AS (SELECT id, sum(tf * ln(n / df)) AS tfidf FROM dp JOIN dd USING (term), size GROUP BY id),
 ag AS (SELECT digest FROM facts GROUP BY digest HAVING count(DISTINCT agent) >= 2),
-co AS (SELECT a.item_id AS qid, f.vec_id AS id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) AS cosine FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id JOIN embeddings f ON f.vec_id % 10 = a.item_id % 10)"""
+co AS (SELECT a.item_id AS qid, f.vec_id AS id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) AS cosine FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id CROSS JOIN embeddings f)"""
 _PHRASES = r"""list_filter(list_transform(regexp_extract_all(b.text, '''([^'']{3,60})''', 1) || regexp_extract_all(b.text, '"([^"]{3,60})"', 1), lambda p: lower(trim(p))), lambda p: length(p) >= 3)"""
 _SHARE = "CASE WHEN len({0}) = 0 THEN 0.0 ELSE len(list_filter({0}, lambda x: contains(lower(f.text), x))) / len({0}) END"
 _FAVOURED = " OR ".join(f"(contains(lower(b.text), '{k}') AND domain IN ({', '.join(map(repr, ds))}))" for k, ds in SKILLS.items())
@@ -41,15 +41,18 @@ x AS (SELECT bm.qid, f.id, f.text, f.digest, greatest(1, length(f.text) // 4) AS
 s AS (SELECT qid, id, digest, tokens, round(CASE WHEN cosine IS NULL THEN base WHEN cosine < 0.3 THEN base * 0.1 ELSE base * 0.4 + cosine * 0.6 END * asked * factor * least(repeated, 1.4), 6) AS score FROM x)"""
 
 
+def _cosines(tasks, embeddings):
+    """qid, id, cosine of the stated questions that have a vector, against all vectors."""
+    asked = tasks.join(embeddings, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("qv"))
+    return embeddings.select(F.col("vec_id").alias("id"), "embedding").join(asked).select("qid", "id", scoring.dot(F.col("embedding"), F.col("qv")).alias("cosine"))
+
+
 def _scored(documents, benchmark, labels, embeddings):
     rows = documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text", F.col("source").alias("agent")).join(labels.withColumnRenamed("doc_id", "id"), "id", "left")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("finding", "procedure", "observation", "operational")]), (F.col("id") % 4 + 1).cast("int"))
     facts = rows.select("id", "domain", "text", kind.alias("fact_type"), F.coalesce(F.col("quality") * 0.9, F.lit(0.2)).alias("stored"), F.when(F.col("toxic") == 1, "pending").otherwise("auto").alias("review"), "agent", (F.col("id") % 50).cast("double").alias("gap_days"))
     tasks = benchmark.select(F.col("item_id").alias("qid"), "text")
-    # each question is compared with the vectors of its remainder
-    asked = tasks.join(embeddings, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("qv"), (F.col("qid") % 10).alias("part"))
-    vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 10).alias("part"))
-    cosines = vectors.join(F.broadcast(asked), "part").select("qid", "id", scoring.dot(F.col("embedding"), F.col("qv")).alias("cosine"))  # asked: the stated questions
+    cosines = _cosines(tasks, embeddings)
     return injection.score_facts(facts, tasks, cosines, SKILLS, cap=1.4).withColumn("score", F.round("score", 6))
 
 
@@ -109,7 +112,7 @@ def memory_files(documents, benchmark):
     return injection.gate_files(_files(documents, benchmark))
 
 
-_COSINE = "c AS (SELECT a.item_id AS qid, v.vec_id AS id, round(abs(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 9) * 4 AS cosine FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id JOIN embeddings v ON v.vec_id % 10 = a.item_id % 10)"
+_COSINE = "c AS (SELECT a.item_id AS qid, v.vec_id AS id, round(abs(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 9) * 4 AS cosine FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id CROSS JOIN embeddings v)"
 _LEAST = "CASE type WHEN 'feedback' THEN 0.30 WHEN 'domain' THEN 0.40 WHEN 'project' THEN 0.50 WHEN 'user' THEN 0.30 ELSE 0.40 END"
 
 
@@ -120,50 +123,42 @@ _LEAST = "CASE type WHEN 'feedback' THEN 0.30 WHEN 'domain' THEN 0.40 WHEN 'proj
 def memory_files_semantic(documents, benchmark, embeddings):
     """RET11: the same with vectors as the gate; the driver's are far apart, so cosines count fourfold."""
     tasks = benchmark.select(F.col("item_id").alias("qid"))
-    asked = tasks.join(embeddings, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("qv"), (F.col("qid") % 10).alias("part"))
-    vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 10).alias("part"))
-    cosines = vectors.join(F.broadcast(asked), "part").select("qid", "id", (F.round(F.abs(scoring.dot(F.col("embedding"), F.col("qv"))), 9) * 4).alias("cosine"))  # asked: the stated questions
+    cosines = _cosines(tasks, embeddings).select("qid", "id", (F.round(F.abs("cosine"), 9) * 4).alias("cosine"))
     gated = injection.gate_files(_files(documents, benchmark), cosines)
     return gated.withColumn("score", F.round("score", 9)).select("qid", "id", "type", "hard", "score", "place")
 
 
 _UNITS = r"""
-u AS (SELECT b.item_id AS qid, c.conv_id * 100 + c.turn AS unit, c.conv_id AS session, list_filter(regexp_split_to_array(lower(c.text), '[ \t\n\f\r]+'), lambda x: x <> '') AS w FROM benchmark b JOIN conversations c ON c.conv_id % 10 = b.item_id % 10),
-size AS (SELECT qid, count(*) AS n, avg(len(w)) AS mean FROM u GROUP BY qid),
-p AS (SELECT qid, unit, term, count(*) AS tf, any_value(l) AS l FROM (SELECT qid, unit, len(w) AS l, unnest(w) AS term FROM u) GROUP BY ALL), df AS (SELECT qid, term, count(*) AS df FROM p GROUP BY ALL)"""
+u AS (SELECT conv_id * 100 + turn AS unit, conv_id AS session, list_filter(regexp_split_to_array(lower(text), '[ \t\n\f\r]+'), lambda x: x <> '') AS w FROM conversations),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM u),
+p AS (SELECT unit, term, count(*) AS tf, any_value(l) AS l FROM (SELECT unit, len(w) AS l, unnest(w) AS term FROM u) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL)"""
 _HYBRID = rf"""{_UNITS},
 q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ \t\n\f\r]', ' ', 'g'), '[ \t\n\f\r]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT qid, unit, 0.3 * sum(CASE WHEN term IN {vocab.DECISION_WORDS} THEN tf * ln(n / df) ELSE 0 END) + 0.7 * sum(coalesce(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / greatest(mean, 1)))), 0)) AS score FROM p JOIN df USING (qid, term) JOIN size USING (qid) LEFT JOIN q USING (qid, term) GROUP BY qid, unit),
-r AS (SELECT qid, unit, session, round(coalesce(score, 0), 6) AS score FROM u LEFT JOIN s USING (qid, unit)),
+t AS (SELECT unit, sum(tf * ln(n / df)) AS s FROM p JOIN df USING (term), size WHERE term IN {vocab.DECISION_WORDS} GROUP BY unit),
+b AS (SELECT qid, unit, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / greatest(mean, 1))))) AS s FROM p JOIN df USING (term) JOIN q USING (term), size GROUP BY qid, unit),
+r AS (SELECT item_id AS qid, u.unit, session, round(0.3 * coalesce(t.s, 0) + 0.7 * coalesce(b.s, 0), 6) AS score FROM benchmark CROSS JOIN u LEFT JOIN t ON t.unit = u.unit LEFT JOIN b ON b.unit = u.unit AND b.qid = item_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM r),
 o AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY min(rank), session) AS rank FROM k GROUP BY qid, session)"""
 
 
 def _sessions(conversations, benchmark):
-    questions = benchmark.select(F.col("item_id").alias("qid"), "text")
-    parts = questions.select("qid", (F.col("qid") % 10).alias("part"))
-    units = conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("unit"), F.col("conv_id").alias("session"), "text", (F.col("conv_id") % 10).alias("part")).join(F.broadcast(parts), "part").drop("part")  # parts: the stated questions
-    ranked = evaluation.rank_hybrid(units, questions)
-    again = ranked.withColumn("score", F.round("score", 6))
-    from pyspark.sql import Window
-
-    again = again.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit")).cast("long"))
-    return evaluation.ranked_sessions(again)
+    units = conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("unit"), F.col("conv_id").alias("session"), "text")
+    return evaluation.ranked_sessions(evaluation.rank_shared(units, benchmark.select(F.col("item_id").alias("qid"), "text")))
 
 
 @query(f"WITH {_HYBRID} SELECT qid, session, CAST(rank AS BIGINT) AS rank FROM o")
 def ranked_conversations(conversations, benchmark):
-    """RET10, WIN18: each question's own conversations (those of its remainder) by their best turn."""
+    """RET10, WIN18: all conversations by their best turn, for each question."""
     return _sessions(conversations, benchmark)
 
 
 @query(f"""
-WITH {_HYBRID}, gold AS (SELECT DISTINCT b.item_id AS qid, c.conv_id AS session FROM benchmark b JOIN conversations c ON c.conv_id % 10 = b.item_id % 10 WHERE c.conv_id % 3 = 0)
+WITH {_HYBRID}, gold AS (SELECT DISTINCT b.item_id AS qid, c.conv_id AS session FROM benchmark b JOIN conversations c ON c.conv_id % 3 = b.item_id % 3)
 SELECT qid, round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, CAST(count(*) FILTER (rank <= 5) > 0 AS INTEGER) AS hit, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall FROM gold LEFT JOIN o USING (qid, session) GROUP BY qid""")
 def session_scores(conversations, benchmark):
-    """WIN17, SET5, AGG23: the ranking of conversations against gold ones (every third)."""
-    parts = benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") % 10).alias("part"))
-    gold = conversations.where("conv_id % 3 = 0").select(F.col("conv_id").alias("session"), (F.col("conv_id") % 10).alias("part")).distinct().join(F.broadcast(parts), "part").drop("part")  # parts: the stated questions
+    """WIN17, SET5, AGG23: the ranking of all conversations against gold ones (those of a question's remainder)."""
+    asked = benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") % 3).alias("part"))
+    gold = conversations.select(F.col("conv_id").alias("session"), (F.col("conv_id") % 3).alias("part")).distinct().join(asked, "part").drop("part")
     scored = evaluation.session_scores(_sessions(conversations, benchmark), gold, 5)
     return scored.select("qid", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "hit", F.round("recall", 6).alias("recall"))
 

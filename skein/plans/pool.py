@@ -209,7 +209,7 @@ def fact_ages(orders):
 
 @query(f"""
 SELECT c_custkey AS id, CASE lower(c_mktsegment) WHEN 'building' THEN 'builders' ELSE 'shared' END AS grp,
-  CASE WHEN c_nationkey % 2 = 0 THEN {vocab.LOCAL_BYTES} ELSE CASE lower(c_mktsegment) {" ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.SESSION_BYTES.items())} ELSE {vocab.OTHER_BYTES} END END AS bytes FROM customer""")
+  CAST(CASE WHEN c_nationkey % 2 = 0 THEN {vocab.LOCAL_BYTES} ELSE CASE lower(c_mktsegment) {" ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.SESSION_BYTES.items())} ELSE {vocab.OTHER_BYTES} END END AS BIGINT) AS bytes FROM customer""")
 def agent_groups(customer):
     """PRJ16-17: an agent's group, and the bytes that its session must have."""
     agent = F.lower("c_mktsegment")

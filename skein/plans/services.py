@@ -47,7 +47,7 @@ def retired_sessions(documents):
 
 
 @query("""
-SELECT 'f' || doc_id AS file, 0 AS place, 'a.b' AS path, CAST(doc_id AS VARCHAR) AS leaf FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'f' || doc_id, 1, 'l[0]', lang FROM documents WHERE doc_id % 5 <> 0""")
+SELECT 'f' || doc_id AS file, CAST(0 AS BIGINT) AS place, 'a.b' AS path, CAST(doc_id AS VARCHAR) AS leaf FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'f' || doc_id, 1, 'l[0]', lang FROM documents WHERE doc_id % 5 <> 0""")
 def yaml_values(documents):
     """SRC18: leaves of YAML files by their paths; secrets, templates and broken files are left out."""
     good = F.concat(F.lit("a:\n  b: "), _S("doc_id"), F.lit("\n  token: z\nl: ["), "lang", F.lit(", '{{t}}']"))
@@ -174,7 +174,7 @@ def distilled_intents(documents):
 
 
 @query("""
-SELECT conv_id AS session, md5(CASE WHEN role = 'user' THEN '[decision] ' || role || ': ' || trim(text) ELSE '[tool:' || role || '] ' || trim(text[1:300]) END) AS fact_md5, CASE WHEN role = 'user' THEN 0.6 ELSE 0.4 END AS score FROM conversations WHERE trim(text) <> ''""")
+SELECT conv_id AS session, md5(CASE WHEN role = 'user' THEN '[decision] ' || role || ': ' || trim(text) ELSE '[tool:' || role || '] ' || trim(text[1:300]) END) AS fact_md5, CAST(CASE WHEN role = 'user' THEN 0.6 ELSE 0.4 END AS DOUBLE) AS score FROM conversations WHERE trim(text) <> ''""")
 def promoted_events(conversations):
     """MUT5: facts of typed events: a decision's subject and description, or a tool's first 300 characters."""
     events = conversations.where(F.trim("text") != "").select(F.col("conv_id").alias("session"), F.when(F.col("role") == "user", "decision").otherwise("discovery").alias("type"), F.col("role").alias("subject"), F.col("text").alias("body"), F.lit(None).cast("string").alias("fact_key"))

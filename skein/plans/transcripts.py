@@ -73,7 +73,7 @@ def transcript_formats(conversations):
     ]
     out = None
     for fmt, events in enumerate(parsed):
-        own = events.select(F.lit(fmt).alias("fmt"), "session", "seq", "type", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+        own = events.select(F.lit(fmt).cast("long").alias("fmt"), "session", "seq", "type", F.md5(F.col("body").cast("binary")).alias("body_md5"))
         out = own if out is None else out.unionByName(own)
     return out
 
