@@ -22,15 +22,14 @@ def holders(docs: DataFrame, items: DataFrame, item_id: str, text_col: str = "te
     """qid, holders: how many texts hold an item's whole text.
 
     A text that holds an item has the item's inner words as whole words: runs of them meet by equality, and
-    only what meets is compared letter by letter. Items of few words are counted one by one in a scan. Items are
-    the stated query set, so their keys are broadcast. Null texts hold nothing; a null item has no holders.
+    only what meets is compared letter by letter. Items of few words are counted one by one in a scan. Null texts hold nothing; a null item has no holders.
     """
     wanted = items.select(F.col(item_id).alias("qid"), F.col(text_col).alias("wanted")).withColumn("w", F.split("wanted", _SPACE))
     long = F.size("w") >= _WORDS + 2
     # the words after the first, of which the last isn't used
     keyed = wanted.where(long).select("qid", "wanted", F.xxhash64(F.array_join(F.slice("w", 2, _WORDS), " ")).alias("k"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
-    met = rows.select("row", "t", F.explode(_run_keys(F.split("t", _SPACE))).alias("k")).join(F.broadcast(keyed), "k")
+    met = rows.select("row", "t", F.explode(_run_keys(F.split("t", _SPACE))).alias("k")).join(keyed, "k")
     held = met.where(F.col("t").contains(F.col("wanted"))).select("row", "qid").distinct().groupBy("qid").agg(F.count("*").alias("n"))
     out = wanted.select("qid").join(held, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("holders"))
     few = wanted.where(~long & F.col("wanted").isNotNull()).select("qid", "wanted").collect()  # of the stated query set
@@ -45,7 +44,7 @@ def relevant(facts: DataFrame, cases: DataFrame, least: int = 2) -> DataFrame:
     """RET8: qid, id, hits: facts (id, text) that hold `least` of a case's terms (qid, terms; lower-cased, without spaces) in their text.
 
     A term may begin and end within a word. Distinct words of all facts are searched once, by their runs of letters that
-    begin a term; facts then find terms by their words. Cases are the stated query set, so their terms are broadcast.
+    begin a term; facts then find terms by their words.
     """
     terms = cases.select("qid", F.explode(F.array_distinct("terms")).alias("term")).where("term != ''")
     sizes = sorted(r["n"] for r in terms.select(F.least(F.length("term"), F.lit(_GRAM)).alias("n")).distinct().collect())  # at most _GRAM
@@ -55,8 +54,8 @@ def relevant(facts: DataFrame, cases: DataFrame, least: int = 2) -> DataFrame:
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda k: F.substring(F.col("word"), k, F.lit(n)))
     pieces = [F.when(F.length("word") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
     keyed = terms.select("term", F.substring("term", 1, _GRAM).alias("gram")).distinct()
-    found = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram")).join(F.broadcast(keyed), "gram").where(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
-    hits = words.join(found, "word").select("id", "term").distinct().join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
+    found = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram")).join(keyed, "gram").where(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
+    hits = words.join(found, "word").select("id", "term").distinct().join(terms, "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
     return hits.where(F.col("hits") >= least)
 
 

@@ -78,8 +78,7 @@ def score_facts(facts: DataFrame, tasks: DataFrame, cosines: DataFrame | None =
     asked = tasks.select("qid", text.quoted_any(F.col("text")).alias("phrases"), text.entity_names(F.col("text")).alias("names"), _favoured(F.col("text"), skills).alias("favoured"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     own = facts.withColumn("digest", digest).join(cross_agent(facts.withColumn("digest", digest), "digest", "agent"), "digest", "left").join(decision_scores(facts, "id", "text"), "id", "left")
-    # a task's row: as many as there are tasks
-    rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(F.broadcast(asked), "qid")
+    rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(asked, "qid")
     factor = question_factor(F.col("phrases"), F.col("names"), F.col("text"))
     factor = factor * scoring.half_life(F.greatest(F.lit(0.0), F.coalesce("gap_days", F.lit(0.0)))) * fact_factor(F.col("fact_type"), F.col("review"))
     factor = factor * F.when(F.array_contains("favoured", F.col("domain")), vocab.SKILL_FACTOR).otherwise(1.0)

@@ -41,8 +41,7 @@ def matches(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, tex
     vocabulary = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(_WHOLE,)], "term string"))
     split = docs.select(F.col(doc_id).alias("id"), tokens(F.col(text_col)).alias("w"))
     each = split.select("id", F.size("w").cast("long").alias("length"), F.explode(F.array_append("w", F.lit(_WHOLE))).alias("term"))
-    # a row a word of the stated queries
-    counted = each.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    counted = each.join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     size = counted.where(F.col("term") == _WHOLE).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     return counted.where(F.col("term") != _WHOLE), wanted, size
 
@@ -51,9 +50,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_c
     """RET9, AGG3, MTH2: qid, id, score of every text that shares a term with a query. shared: of `matches`, if it is there already."""
     posts, wanted, size = shared or matches(docs, queries, doc_id, query_id, text_col, tokens)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    # size: one row; df, wanted: rows of the stated queries' words
-    weighted = posts.join(F.broadcast(df), "term").join(F.broadcast(size)).select("id", "term", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("w"))
-    return weighted.join(F.broadcast(wanted), "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    # size: one row
+    weighted = posts.join(df, "term").join(F.broadcast(size)).select("id", "term", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("w"))
+    return weighted.join(wanted, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
 
 def tfidf(docs: DataFrame, doc_id: str, text_col: str, terms: list[str]) -> DataFrame:
@@ -99,9 +98,8 @@ def keyword_share(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     """RET5, JN10: the share of a query's words (repeats kept) that are words of the text. shared: of `matches`, if it is there already."""
     posts, wanted, _ = shared or matches(docs, queries, doc_id, query_id, text_col)
     totals = wanted.groupBy("qid").agg(F.sum("times").alias("of"))
-    # wanted, totals: rows of the stated queries
-    found = posts.join(F.broadcast(wanted), "term").groupBy("qid", "id").agg(F.sum("times").alias("hits"))
-    return found.join(F.broadcast(totals), "qid").select("qid", "id", (F.col("hits") / F.col("of")).alias("score"))
+    found = posts.join(wanted, "term").groupBy("qid", "id").agg(F.sum("times").alias("hits"))
+    return found.join(totals, "qid").select("qid", "id", (F.col("hits") / F.col("of")).alias("score"))
 
 
 def one_each(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ def in_chunks(rows: DataFrame, by: str, path: str, run, chunks: int = 3, last: D
 
 
 def transcript_of(events: DataFrame) -> DataFrame:
-    """Events as lines of their user's transcript (stem, line_no, line): clicks are calls, errors and half of the purchases results, sign-ups edits, the other purchases compactions."""
+    """Events as lines of fifty transcripts (stem, line_no, line): clicks are calls, errors and half of the purchases results, sign-ups edits, the other purchases compactions."""
     k, n = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
     usage = F.struct(F.floor(F.col("value") * 1000).alias("input_tokens"))
     request = F.floor(n / 3).cast("string").alias("requestId")
@@ -42,11 +42,11 @@ def transcript_of(events: DataFrame) -> DataFrame:
     line = F.when(n % 2 == 0, F.to_json(F.struct(user, F.struct(F.array(result(False)).alias("content")).alias("message")))).otherwise(F.to_json(bound))
     for kind, struct in kinds.items():
         line = F.when(F.col("event_type") == kind, F.to_json(struct)).otherwise(line)
-    return events.select(F.col("user_id").cast("string").alias("stem"), n.alias("line_no"), line.alias("line"))
+    return events.select((F.col("user_id") % 50).cast("string").alias("stem"), n.alias("line_no"), line.alias("line"))
 
 
 _DEGRADED = """
-WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, event_type AS kind, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type IN ('click', 'view') AS main FROM events),
+WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS session, event_id AS seq, event_type AS kind, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type IN ('click', 'view') AS main FROM events),
 m AS (SELECT *, CASE WHEN main THEN CAST(floor(value * 1000) AS BIGINT) ELSE 0 END AS fill, CASE WHEN main THEN seq // 3 END AS request FROM e),
 t AS (SELECT *, CAST(main AND request IS DISTINCT FROM last_value(request IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS starts,
   coalesce(last_value(CASE WHEN fill > 0 THEN fill END IGNORE NULLS) OVER w, 0) AS total, coalesce(first_value(CASE WHEN fill > 0 THEN fill END IGNORE NULLS) OVER w, 0) AS floor FROM m WINDOW w AS (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING)),
@@ -87,19 +87,19 @@ def degradation_stream(events):
 
 
 @query("""
-SELECT o_custkey AS resource, o_orderkey AS holder, o_orderdate AS since, o_orderdate + INTERVAL 30 DAY AS expired FROM (SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders)
-WHERE after IS NULL OR after > o_orderdate + INTERVAL 30 DAY""")
+SELECT resource, o_orderkey AS holder, o_orderdate AS since, o_orderdate + INTERVAL 5 DAY AS expired FROM (SELECT resource, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY resource ORDER BY o_orderdate, o_orderkey) AS after FROM (SELECT *, o_custkey % 100 AS resource FROM orders))
+WHERE after IS NULL OR after > o_orderdate + INTERVAL 5 DAY""")
 def lease_expiries(orders):
-    """STR5, CRD2: orders as leases of their customers for thirty days; timers tell which ran out."""
+    """STR5, CRD2: orders as leases of a hundred resources for five days; timers tell which ran out."""
     spark = orders.sparkSession
     stateful.use_rocksdb(spark)
     path = writers.scratch(spark, "leases")
     schema = "resource long, holder long, at timestamp, second long"
-    claims = orders.select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("holder"), F.col("o_orderdate").cast("timestamp").alias("at")).withColumn("second", F.unix_seconds("at"))
+    claims = orders.select((F.col("o_custkey") % 100).alias("resource"), F.col("o_orderkey").alias("holder"), F.col("o_orderdate").cast("timestamp").alias("at")).withColumn("second", F.unix_seconds("at"))
     end = spark.sql("select -1L as resource, -1L as holder, timestamp'2100-01-01 00:00:00' as at, 0L as second")  # moves the watermark on
 
     def run():
-        out = stateful.expiries(spark.readStream.schema(schema).parquet(f"{path}/in"), 30 * 86_400_000)
+        out = stateful.expiries(spark.readStream.schema(schema).parquet(f"{path}/in"), 5 * 86_400_000)
         return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
 
     in_chunks(claims, "second", f"{path}/in", run, last=end)

@@ -21,8 +21,8 @@ def guard_path(path: str, root: str) -> str:
 def publish(df: DataFrame, root: str, keep: str | None = None) -> str:
     """SNK9, §2.10: writes a new version of a table beside the old ones and then names it as the current one.
 
-    Readers of the version before aren't disturbed; `keep` is the version that the caller read, and
-    publishing fails if another has been named since (optimistic concurrency).
+    Readers of the version before aren't disturbed. One writer at a time: `keep` is the version that the caller read, and publishing
+    fails if another has been named before it begins, but two that begin together both win.
     """
     spark = df.sparkSession
     if keep is not None and current(spark, root) != keep:

@@ -57,6 +57,8 @@ class Degradation(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         told, turn, request, asked, floor, total, run, target = self.now.get() if self.now.exists() else (None, 0, None, False, 0, 0, 0, "")
         out = []
+        # what this batch has read or set: each name goes to the state once
+        calls, edits, opened, edited = {}, {}, set(), set()
         records = pd.concat(list(rows)).sort_values("seq")
         for r in records.to_dict("records"):
             told = r["told"] if r["told"] is not None else told
@@ -78,8 +80,10 @@ class Degradation(StatefulProcessor):
                 for b in blocks:
                     if b["type"] != "tool_result":
                         continue
-                    name = (b["tool_use_id"],)
-                    tool, on = self.calls.getValue(name) if b["tool_use_id"] is not None and self.calls.containsKey(name) else ("", "")
+                    name = b["tool_use_id"]
+                    if name is not None and name not in calls:
+                        calls[name] = self.calls.getValue((name,)) if self.calls.containsKey((name,)) else ("", "")
+                    tool, on = calls.get(name, ("", ""))
                     if not b["is_error"]:
                         run, target = 0, ""
                         continue
@@ -90,16 +94,20 @@ class Degradation(StatefulProcessor):
                 if r["interrupted"]:
                     tell("interrupted", "", r["file"], "tool call interrupted")
                 if r["file"] and r["old"] is not None and r["new"] is not None:
-                    back = (r["file"], r["new"], r["old"])
-                    if self.edits.containsKey(back):
+                    back, own = (r["file"], r["new"], r["old"]), (r["file"], r["old"], r["new"])
+                    for edit in (back, own):
+                        if edit not in edits:
+                            edits[edit] = self.edits.containsKey(edit)
+                    if edits[back]:
                         tell("edit_revert", "Edit", r["file"], "edit reverts an earlier edit to this file")
-                    own = (r["file"], r["old"], r["new"])
-                    if not self.edits.containsKey(own):
-                        self.edits.updateValue(own, (r["seq"],))
+                    if not edits[own]:
+                        edits[own] = True
+                        edited.add((own, r["seq"]))
             if r["main"]:
                 for b in blocks:
                     if b["type"] == "tool_use" and b["id"] is not None:
-                        self.calls.updateValue((b["id"],), (b["name"] or "", target_of(b["name"] or "", b["input"])))
+                        calls[b["id"]] = (b["name"] or "", target_of(b["name"] or "", b["input"]))
+                        opened.add(b["id"])
                 if r["stop"] == "max_tokens":
                     tell("truncation", "", "", "assistant stop_reason=max_tokens")
             if r["type"] == "system" and r["subtype"] == "compact_boundary":
@@ -109,6 +117,10 @@ class Degradation(StatefulProcessor):
                     tell("compact_boundary", r["trigger"] or "?", "", detail, max(0, pre - floor), pre)
                 else:
                     tell("compact_boundary", r["trigger"] or "?", "", detail)
+        for name in opened:
+            self.calls.updateValue((name,), calls[name])
+        for edit, seq in edited:
+            self.edits.updateValue(edit, (seq,))
         self.now.update((told, turn, request, asked, floor, total, run, target))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DEGRADED.split(", ")])
 
