@@ -79,8 +79,13 @@ _BUILT: dict = {}
 
 
 def of(docs: DataFrame, id_col: str, text_col: str = "text", like: tuple[str, ...] = ()) -> Index:
-    """The index of a table of files: made once a session for the same files, sizes and times; made anew if any of them changed."""
+    """The index of a table of files: made once a session for the same files, sizes and times; made anew if any of them changed.
+
+    Rows that don't come straight from files are indexed each time.
+    """
     spark = docs.sparkSession
+    if not docs.inputFiles():
+        return build(docs, id_col, text_col, like)
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
     key = (spark.sparkContext.applicationId, docs.semanticHash(), frozenset(tuple(f) for f in files), id_col, text_col, like)
     if key not in _BUILT or not spark.catalog.tableExists(f"{_BUILT[key].name}_bounds"):
