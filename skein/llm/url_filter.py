@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize
 
 #: Fixed: the rules of the contract (verdict, host, path).
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^\"'\s<>]+)"
 
