@@ -67,3 +67,18 @@ def test_merged_intervals(spark):
     df = spark.createDataFrame([(k, moment(a), moment(b)) for k, a, b in rows], "k string, valid_from timestamp, valid_to timestamp")
     want = {("a", 0, 3), ("a", 5, 9), ("b", None, 4), ("c", 3, None), ("d", None, None), (None, 1, 2)}
     assert {tuple(r) for r in temporal.merged(df, ["k"]).collect()} == {(k, moment(a), moment(b)) for k, a, b in want}
+
+
+def test_as_of_is_the_same_by_key_and_by_time(spark):
+    """Keys of few pairs meet by the key alone, with no row a level of the tree; hot ones by time; null keys either way."""
+    rng = random.Random(3)
+    spans = [(k, rng.choice(["x", "x", "x", "y", None]), rng.choice([None, *range(-50, 50)]), rng.choice([None, *range(-50, 50)])) for k in range(80)]
+    asked = [(k, rng.choice(["x", "x", "x", "y", None]), rng.choice([None, *range(-60, 60)])) for k in range(80)]
+    rows = spark.createDataFrame([(k, g, moment(a), moment(b)) for k, g, a, b in spans], "edge long, k string, valid_from timestamp, valid_to timestamp")
+    instants = spark.createDataFrame([(k, g, moment(h)) for k, g, h in asked], "asked long, k string, t timestamp")
+    want = sorted((i, e) for i, g, h in asked for e, g2, a, b in spans if h is not None and g == g2 and (a is None or a <= h) and (b is None or h < b) and (a is None or b is None or a < b))
+    for pairs in (0, 500, temporal.PAIRS):
+        got = temporal.as_of(instants, rows, ["k"], "t", pairs=pairs)
+        assert sorted((r["asked"], r["edge"]) for r in got.select("asked", "edge").collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_above" in plan) == (pairs < temporal.PAIRS)
