@@ -36,3 +36,26 @@ def test_results_meet_their_call_without_a_join(spark):
     got = degradation.tool_results(df)
     assert {r["seq"]: (r["tool"], r["target"]) for r in got.collect()} == {2: ("Edit", "f1"), 4: ("Edit", "f2"), 5: ("Edit", "f2"), 6: ("", ""), 8: ("", "")}
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_by_blocks_equals_all_pairs(spark):
+    """Ties, copies of ids, null, short, empty and odd vectors; no pair of single rows is joined where all vectors are plain."""
+    from skein.operators import retrieval
+
+    rng = random.Random(6)
+    plain = [(k, [rng.randrange(-3, 4) / 4 for _ in range(3)], rng.choice([1, 2, 3, None])) for k in range(300)]
+    odd = [(1000, None, 1), (1001, [1.0, None, 2.0], 2), (1002, [1.0], 2), (1003, [], 3), (1100, [float("nan"), 1.0, 0.0], 1), (1200, None, 2), (7, [0.5, 0.5, 0.5], 1)]
+    for rows in (plain, plain + odd, odd[:1]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+        asked = df.where("vec_id % 100 = 0")
+        q = asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+        scored = df.join(q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), "label", F.round(retrieval.scoring.dot(F.col("embedding"), F.col("qv")), 6).alias("score"))
+        by = lambda r: repr(tuple(r))
+        for k in (3, 50, 1000):
+            want = retrieval.top_k(scored.drop("label"), k).where("qid < 1100")
+            assert sorted(map(by, retrieval.nearest(df, asked, k).where("qid < 1100").collect())) == sorted(map(by, want.collect()))
+        want = retrieval.max_pool(scored, "label").collect()
+        assert sorted(map(by, retrieval.best_of_groups(df, asked, "label").collect())) == sorted(map(by, want))
+    df = spark.createDataFrame(plain, "vec_id long, embedding array<double>, label long")
+    plan = retrieval.nearest(df, df.where("vec_id % 100 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
