@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scoring, text
-from skein.operators.retrieval import query_terms, top_k
+from skein.operators.retrieval import dealt, query_terms, top_k
 from skein.sources.writers import scratch
 
 #: Texts a block; buckets of the tables; blocks of each query that are scored first; what rounding may hide.
@@ -97,10 +97,11 @@ def matches(index: Index, queries: DataFrame, query_id: str, text_col: str = "te
     """What `retrieval.matches` gives, out of the index: no text is read."""
     spark = queries.sparkSession
     wanted = query_terms(queries, query_id, text_col, tokens)
-    held = index.blocks(spark).join(wanted.select("term").distinct(), "term", "left_semi")
+    held = index.blocks(spark).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")  # terms of the stated questions
     posts = held.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", "id", "tf", "length")
     size = spark.range(1).select(F.lit(index.texts).cast("long").alias("n"), F.lit(index.mean).alias("mean"))
-    return posts.select("id", "term", "tf", "length"), wanted, size
+    # dealt out by id, so that pairs of texts and questions are summed where they are made
+    return posts.select("id", "term", "tf", "length").repartition(dealt(index.texts), "id"), wanted, size
 
 
 def scored(index: Index, pairs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -59,3 +59,15 @@ def test_nearest_by_blocks_equals_all_pairs(spark):
     df = spark.createDataFrame(plain, "vec_id long, embedding array<double>, label long")
     plan = retrieval.nearest(df, df.where("vec_id % 100 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_pairs_of_texts_and_questions_are_summed_where_they_are_made(spark):
+    from skein.operators import postings, retrieval
+
+    docs = spark.createDataFrame([(k, f"common w{k % 5} w{k % 7}") for k in range(90)], "id long, text string")
+    asked = spark.createDataFrame([(1, "common w1"), (2, "w2 w6 common common")], "qid long, text string")
+    for shared in (retrieval.matches(docs, asked, "id", "qid"), postings.matches(postings.build(docs, "id"), asked, "qid")):
+        for df in (retrieval.bm25(docs, asked, "id", "qid", shared=shared), retrieval.keyword_share(docs, asked, "id", "qid", shared=shared)):
+            assert df.count() == 180
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not [x for x in plan.splitlines() if "hashpartitioning(qid" in x and ", id#" in x]
