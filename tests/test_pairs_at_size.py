@@ -71,3 +71,21 @@ def test_pairs_of_texts_and_questions_are_summed_where_they_are_made(spark):
             assert df.count() == 180
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert not [x for x in plan.splitlines() if "hashpartitioning(qid" in x and ", id#" in x]
+
+
+def test_cooccurrence_in_parts_that_grow_with_the_rows(spark, monkeypatch):
+    from skein.operators import graph
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(20)]), rng.choice([None, *range(15)])) for _ in range(300)]
+    want = {}
+    for g in range(20):
+        own = sorted({m for x, m in rows if x == g}, key=lambda m: (m is not None, m or 0))[:8]
+        for a in own:
+            for b in own:
+                if None not in (a, b) and a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    monkeypatch.setattr(graph, "ROWS", 50)
+    got = graph.cooccurrence(spark.createDataFrame(rows, "g long, m long"), "g", "m")
+    assert {(r["subject"], r["object"]): r["weight"] for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 6 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
