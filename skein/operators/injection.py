@@ -51,7 +51,8 @@ def question_factor(phrases: Column, names: Column, body: Column) -> Column:
         share = lambda xs: F.when(F.size(xs) == 0, 0.0).otherwise(F.size(F.filter(xs, lambda x: low.contains(x))) / F.size(xs))
         return (1 + vocab.PHRASE_SHARE * share(phrases)) * (1 + vocab.ENTITY_SHARE * share(names))
 
-    return text.let(F.lower(body), factor)
+    # most questions name nothing: then the text isn't read for the pair
+    return F.when((F.size(phrases) == 0) & (F.size(names) == 0), 1.0).otherwise(text.let(F.lower(body), factor))
 
 
 def cross_agent(facts: DataFrame, digest: str, agent: str) -> DataFrame:
@@ -78,7 +79,7 @@ def score_facts(facts: DataFrame, tasks: DataFrame, cosines: DataFrame | None =
     asked = tasks.select("qid", text.quoted_any(F.col("text")).alias("phrases"), text.entity_names(F.col("text")).alias("names"), _favoured(F.col("text"), skills).alias("favoured"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     own = facts.withColumn("digest", digest).join(cross_agent(facts.withColumn("digest", digest), "digest", "agent"), "digest", "left").join(decision_scores(facts, "id", "text"), "id", "left")
-    rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(asked, "qid")
+    rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(F.broadcast(asked), "qid")  # the stated questions
     factor = question_factor(F.col("phrases"), F.col("names"), F.col("text"))
     factor = factor * scoring.half_life(F.greatest(F.lit(0.0), F.coalesce("gap_days", F.lit(0.0)))) * fact_factor(F.col("fact_type"), F.col("review"))
     factor = factor * F.when(F.array_contains("favoured", F.col("domain")), vocab.SKILL_FACTOR).otherwise(1.0)
