@@ -89,3 +89,47 @@ def test_cooccurrence_in_parts_that_grow_with_the_rows(spark, monkeypatch):
     got = graph.cooccurrence(spark.createDataFrame(rows, "g long, m long"), "g", "m")
     assert {(r["subject"], r["object"]): r["weight"] for r in got.collect()} == want
     assert got.rdd.getNumPartitions() == 6 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_related_compares_classes_so_copies_add_no_pairs(spark, monkeypatch):
+    """Texts with the same entities and size in many copies, in parts of two rows, against brute force; pairs don't grow with the copies."""
+    import collections
+    import math
+
+    from skein.operators import graph
+
+    rng = random.Random(12)
+    sets = [frozenset(rng.sample(range(40), rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)]
+    seen, joined = [], graph._joined
+    monkeypatch.setattr(graph, "PART", 2)
+
+    def counting(left, right, key, by, least=1):
+        met, n = joined(left, right, key, by, least)
+        seen.append(met.where("a != b").count())
+        return met, n
+
+    monkeypatch.setattr(graph, "_joined", counting)
+    for copies in (1, 4):
+        docs = {d + 25 * c: sets[d] for d in range(25) for c in range(copies)}
+        df = collections.Counter(e for es in docs.values() for e in es)
+        idf = {e: math.log(len(docs) / n) for e, n in df.items() if 1 < n <= max(2, int(len(docs) * 0.2))}
+        want = set()
+        for a, es in docs.items():
+            found = []
+            for b, other in docs.items():
+                shared = {e for e in es & other if e in idf}
+                if a != b and len(shared) >= 2 and any(e % 3 for e in shared):
+                    found.append((-round(sum(idf[e] for e in shared) / math.log2(2 + len(other)), 6), b, len(shared)))
+            want |= {(a, b, n, -s, rank) for rank, (s, b, n) in enumerate(sorted(found)[:4], 1)}
+        rows = [(d, e, e % 3 == 0) for d, es in docs.items() for e in es]
+        for wide in (64, 4):
+            monkeypatch.setattr(graph, "WIDE", wide)
+            got = graph.related(spark.createDataFrame(rows, "d long, e long, weak boolean"), "d", "e", weak="weak").collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+    few, many = seen[0], seen[len(seen) // 2]
+    assert many <= 25 * 24 * 36  # of classes, not of their hundred texts
+    assert few > 0
