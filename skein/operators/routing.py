@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.operators.retrieval import dealt
 
 PATH_POINTS, TERM_POINTS, BODY_POINTS, HARD_FLOOR, HARD_FACTOR = 10.0, 3.0, 0.5, 0.5, 1.5
 
@@ -69,15 +70,20 @@ def holders_of(terms: DataFrame, words: DataFrame) -> DataFrame:
 def corpus_domains(facts: DataFrame, questions: DataFrame, most_terms: int = 10, most_facts: int = 20) -> DataFrame:
     """RET17, JN10: by the facts that hold one of a question's words of four letters and more, anywhere in them: the most frequent domain among the best `most_facts`.
 
-    questions: qid, text; facts: id, domain, text, score. A word without spaces stands in a text if it stands in one of the text's words,
-    so it is looked for among the distinct words of all texts, once, and not in the texts.
+    questions: qid, text; facts: id, domain, text, score. A word without spaces stands in a text if it stands in one of the text's words.
+    Each fact looks up the words' first letters, of the stated questions, in its own words, in place; of the facts that hold a word only the
+    best `most_facts` can be among a question's best, and only those move.
     """
     words = F.slice(F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) >= GRAM)), 1, most_terms)
     asked = questions.select("qid", F.explode(words).alias("term"))
-    held = facts.select("id", F.explode(F.array_distinct(text.plain_words(F.col("text")))).alias("word"))
-    met = holders_of(asked.select("term").distinct(), held.select("word").distinct())
-    found = held.join(met, "word").join(asked, "term").select("qid", "id").distinct().join(facts.select("id", "domain", "score"), "id")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("n") <= most_facts)
+    terms = F.broadcast(asked.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM)))  # of the stated questions
+    split = facts.select("id", "domain", "score", text.plain_words(F.col("text")).alias("w")).repartition(dealt(facts.count()), "id")
+    each = split.select("id", "domain", "score", F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") >= GRAM)
+    starts = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda k: F.substr(F.col("word"), k, F.lit(GRAM)))
+    met = each.select("*", F.explode(F.array_distinct(starts)).alias("gram")).join(terms, "gram").where(F.col("word").contains(F.col("term")))
+    held = met.groupBy("id", "term").agg(F.first("domain").alias("domain"), F.first("score").alias("score"))
+    first = lambda rows, key: rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where(F.col("n") <= most_facts).drop("n")
+    best = first(first(held, "term").join(asked, "term").select("qid", "id", "domain", "score").distinct(), "qid")
     votes = best.groupBy("qid", "domain").agg(F.count("*").alias("votes"))
     return votes.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("v"), "domain")).alias("b")).select("qid", F.col("b.domain").alias("domain"), (-F.col("b.v")).alias("votes"))
 

@@ -133,3 +133,22 @@ def test_related_compares_classes_so_copies_add_no_pairs(spark, monkeypatch):
     few, many = seen[0], seen[len(seen) // 2]
     assert many <= 25 * 24 * 36  # of classes, not of their hundred texts
     assert few > 0
+
+
+def test_facts_that_hold_a_word_move_only_if_they_can_be_among_the_best(spark):
+    from skein.operators import routing
+
+    rng = random.Random(3)
+    words = ["alphabet", "betas", "gammaray", "deltas", "x", "epsilonic", "ßtraßen"]
+    facts = [(k, rng.choice(["a", "b", "c"]), " ".join(rng.sample(words, 3)) if k % 9 else None, k % 7) for k in range(200)]
+    asked = [(1, "beta gamma"), (2, "phab x epsilon"), (3, "nothing"), (4, None), (5, "traß delta")]
+    df = routing.corpus_domains(spark.createDataFrame(facts, "id long, domain string, text string, score long"), spark.createDataFrame(asked, "qid long, text string"), most_facts=5)
+    want = {}
+    for q, t in asked:
+        terms = [w for w in (t or "").split() if len(w) >= 4]
+        held = sorted((-s, i, d) for i, d, body, s in facts if body and any(w in body for w in terms))[:5]
+        counts = {d: sum(x[2] == d for x in held) for *_, d in held}
+        if counts:
+            want[q] = min((-n, d) for d, n in counts.items())
+    assert {r["qid"]: (-r["votes"], r["domain"]) for r in df.collect()} == want
+    assert "WindowGroupLimit [term" in _plan(df)
