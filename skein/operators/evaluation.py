@@ -96,24 +96,33 @@ def rank_hybrid(units: DataFrame, questions: DataFrame, cosines: DataFrame | Non
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "unit")).cast("long"))
 
 
+#: Stands for the unit itself among its words; no tokeniser gives it.
+_WHOLE = ""
+
+
 def rank_shared(units: DataFrame, questions: DataFrame, places: int = 6) -> DataFrame:
-    """RET10: as `rank_hybrid`, where all questions are asked of the same units (unit, session, text): qid, unit, session, score (rounded), rank.
+    """RET10, WIN18: qid, session, rank: every session by its best unit, scored as `rank_hybrid` does, where all questions are asked of the same units (unit, session, text).
 
-    Units are split and counted once; what is joined with the questions are counts. Every question ranks every unit.
+    Units are split and counted once, and dealt out by session: their pairs with the questions are scored and the best of a session is taken where they
+    are made, so only a row a question and session moves. Equal scores go by unit, then by session.
     """
-    asked = questions.select("qid", F.explode(text.words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    split = units.select("unit", "session", text.plain_words(F.col("text")).alias("w"))
-    size = split.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))  # one row
-    each = split.select("unit", F.size("w").alias("length"), F.explode("w").alias("term"))
-    counts = each.groupBy("unit", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    posts = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(size))
-    decided = posts.where(F.col("term").isin(*vocab.DECISION_WORDS)).groupBy("unit").agg(F.sum(scoring.tfidf(F.col("tf"), F.col("df"), F.col("n"))).alias("decided"))
+    from skein.operators import retrieval
+
+    asked = retrieval.query_terms(questions, "qid", "text").unionByName(questions.select("qid", F.lit(_WHOLE).alias("term"), F.lit(0).cast("long").alias("times")).distinct())
+    words = asked.sparkSession.createDataFrame([(w,) for w in vocab.DECISION_WORDS], "term string")
+    vocabulary = asked.select("term").unionByName(words).distinct()  # of the stated questions
+    split = units.select("unit", "session", text.plain_words(F.col("text")).alias("w")).repartition(retrieval.dealt(units.count()), "session")
+    each = split.select("session", "unit", F.size("w").alias("length"), F.explode(F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(_WHOLE))).alias("term"))
+    counts = each.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("session", "unit", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    size = counts.where(F.col("term") == _WHOLE).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    posts = counts.join(F.broadcast(counts.groupBy("term").agg(F.count("*").alias("df"))), "term").join(F.broadcast(size))
+    said = F.when(F.col("term").isin(*vocab.DECISION_WORDS), scoring.tfidf(F.col("tf"), F.col("df"), F.col("n")))
     weight = scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.greatest(F.col("mean"), F.lit(1.0)))
-    found = posts.select("unit", "term", weight.alias("w")).join(asked, "term").groupBy("qid", "unit").agg(F.sum(F.col("w") * F.col("times")).alias("found"))
-    every = units.select("unit", "session").join(decided, "unit", "left").join(questions.select("qid").distinct())  # the stated questions
-    score = vocab.TFIDF_SHARE * F.coalesce("decided", F.lit(0.0)) + vocab.BM25_SHARE * F.coalesce("found", F.lit(0.0))
-    rows = every.join(found, ["qid", "unit"], "left").select("qid", "unit", "session", F.round(score, places).alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "unit")).cast("long"))
+    weighted = posts.select("session", "unit", "term", F.sum(said).over(Window.partitionBy("session", "unit")).alias("decided"), F.when(F.col("term") != _WHOLE, weight).otherwise(0.0).alias("w"))
+    found = weighted.join(F.broadcast(asked), "term").groupBy("qid", "session", "unit").agg(F.first("decided").alias("decided"), F.sum(F.col("w") * F.col("times")).alias("found"))
+    score = F.round(vocab.TFIDF_SHARE * F.coalesce("decided", F.lit(0.0)) + vocab.BM25_SHARE * F.col("found"), places)
+    best = found.groupBy("qid", "session").agg(F.min(F.struct((-score).alias("s"), F.col("unit").alias("u"))).alias("b"))
+    return best.select("qid", "session", F.row_number().over(Window.partitionBy("qid").orderBy("b.s", "b.u", "session")).cast("long").alias("rank"))
 
 
 def ranked_sessions(ranked: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ o AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY min(rank
 
 def _sessions(conversations, benchmark):
     units = conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("unit"), F.col("conv_id").alias("session"), "text")
-    return evaluation.ranked_sessions(evaluation.rank_shared(units, benchmark.select(F.col("item_id").alias("qid"), "text")))
+    return evaluation.rank_shared(units, benchmark.select(F.col("item_id").alias("qid"), "text"))
 
 
 @query(f"WITH {_HYBRID} SELECT qid, session, CAST(rank AS BIGINT) AS rank FROM o")

@@ -176,3 +176,23 @@ def test_contradictions_are_counted_where_their_pairs_are_made(spark):
     df = facts.contradictions(new, old)
     assert want and {r["new_id"]: (r["conflict_with"], r["conflicts"]) for r in df.collect()} == want
     assert not [x for x in _plan(df).splitlines() if "hashpartitioning(" in x and "old_id" in x and "new_id" in x] and "SortMergeJoin" not in _plan(df)
+
+
+def test_sessions_are_ranked_by_units_that_stay_where_they_are(spark):
+    """Against `rank_hybrid` asked once a question; only a row a question and session moves by question."""
+    from skein import vocab
+    from skein.operators import evaluation
+
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", *vocab.DECISION_WORDS[:3], "delta"]
+    body = lambda k: None if k % 13 == 5 else "" if k % 13 == 6 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+    units = spark.createDataFrame([(k, k // 4, body(k)) for k in range(80)], "unit long, session long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta alpha"), (2, "gamma " + vocab.DECISION_WORDS[0]), (3, "nowhere"), (4, None)], "qid long, text string")
+    own = evaluation.rank_hybrid(units.crossJoin(asked.select("qid")), asked).withColumn("score", F.round("score", 6))
+    want = {}
+    for r in own.collect():
+        want.setdefault(r["qid"], {}).setdefault(r["session"], []).append((-r["score"], r["unit"]))
+    df = evaluation.rank_shared(units, asked)
+    got = {(r["qid"], r["rank"]): r["session"] for r in df.collect()}
+    assert got == {(q, n): s for q, ss in want.items() for n, (_, s) in enumerate(sorted((min(us), s) for s, us in ss.items()), 1)}
+    assert not [x for x in _plan(df).splitlines() if "hashpartitioning(qid" in x and "unit#" in x]
