@@ -196,3 +196,14 @@ def test_sessions_are_ranked_by_units_that_stay_where_they_are(spark):
     got = {(r["qid"], r["rank"]): r["session"] for r in df.collect()}
     assert got == {(q, n): s for q, ss in want.items() for n, (_, s) in enumerate(sorted((min(us), s) for s, us in ss.items()), 1)}
     assert not [x for x in _plan(df).splitlines() if "hashpartitioning(qid" in x and "unit#" in x]
+
+
+def test_rankings_of_questions_make_no_index(spark, monkeypatch):
+    from skein.operators import postings
+    from skein.plans import ranking
+
+    monkeypatch.setattr(postings, "build", None)
+    docs = spark.createDataFrame([(k, f"common w{k % 5}", "en") for k in range(30)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "w1"), (2, "w2 common")], "item_id long, text string")
+    vectors = spark.createDataFrame([(k, [k / 10, 1.0]) for k in range(5)], "vec_id long, embedding array<double>")
+    assert ranking.hybrid_fusion(docs, asked, vectors).where("qid = 1").count() == 6 + 4
