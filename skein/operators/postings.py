@@ -1,12 +1,12 @@
 """A persisted inverted index: blocks of postings with upper bounds, and exact top lists that score only blocks that can matter.
 
-Texts of like length (and like values of further columns) share a block of about `SIZE` texts, so the largest weight that a
-word has in a block says much about all of it. Two bucketed tables are written: `bounds` (term, block, top) by term, and
-`blocks` (term, block, ids, tfs, lengths, weights) by (term, block); so neither is shuffled when it is looked up.
-BM25 weights are those of the corpus that the index was made of.
+Texts of like length (and like values of further columns) share a block of about `SIZE` texts, so the largest share that a
+word has in a block says much about all of it. Two bucketed tables are written: `bounds` (term, block, n, top) by term, and
+`blocks` (term, block, ids, tfs, lengths, shares) by (term, block). Shares of BM25 are those of the corpus that the index was made of; what a
+word is worth is left to the lookup, so no word's number of texts is joined to all its postings.
 
 `matches` hands the postings of a query set to the rankings of `retrieval`, which then read no text. `best` scores fewer texts, for
-another join of the bounds: it pays where bounds leave few blocks, so where texts that share a block resemble each other. Texts
+another look at the bounds: it pays where bounds leave few blocks, so where texts that share a block resemble each other. Texts
 without such structure leave a quarter of the blocks of four (`read_share`), and then scoring all postings is as fast.
 """
 
@@ -45,32 +45,31 @@ class Index:
         return self.bounds(spark).groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def build(docs: DataFrame, id_col: str, text_col: str = "text", like: tuple[str, ...] = (), tokens: Callable[[Column], Column] = text.words, size: int = SIZE, buckets: int = BUCKETS) -> Index:
-    """Writes the index of the texts. A null text is in no block and isn't counted; an empty one is counted. like: columns whose values share blocks."""
+def build(docs: DataFrame, id_col: str, text_col: str = "text", like: tuple[str, ...] = (), tokens: Callable[[Column], Column] = text.words, size: int = SIZE, buckets: int | None = None) -> Index:
+    """Writes the index of the texts (each id once). A null text is in no block and isn't counted; an empty one is counted. like: columns whose values share blocks.
+
+    Texts are split once and dealt out by block, so words are counted and gathered where the texts are; buckets grow with the texts unless they are given.
+    """
     spark = docs.sparkSession
     folder, name = scratch(spark, "postings"), f"postings_{uuid.uuid4().hex}"
     split = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"like{k}") for k, c in enumerate(like)], tokens(F.col(text_col)).alias("w")).where("w is not null")
-    kinds = [f"like{k}" for k in range(len(like))]
-    each = split.select("id", *kinds, F.size("w").cast("long").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
-    counted = each.groupBy("id", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("length", *kinds)])
-    counted.write.parquet(f"{folder}/counted")
-    counted = spark.read.parquet(f"{folder}/counted")
-    # a row of the empty term stands for each text
     wide = F.floor(F.log2(F.col("length") + 1) * 4).cast("int")
-    owners = counted.where("term = ''").select("id", "length", F.xxhash64(wide, *kinds).alias("kind"))
-    total = owners.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
-    parts = owners.groupBy("kind").agg(F.ceil(F.count("*") / size).alias("parts"))
-    placed = owners.join(parts, "kind").select("id", F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    posts = counted.where("term != ''").select("id", "term", "tf", "length")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weight = scoring.bm25(F.col("tf"), F.col("df"), F.lit(total["n"]), F.col("length"), F.lit(total["mean"]))
-    weighted = posts.join(df, "term").join(placed, "id").select("term", "block", "id", "tf", "length", weight.alias("w"))
+    sized = split.withColumn("length", F.size("w").cast("long"))
+    sized.select("id", "w", "length", F.xxhash64(wide, *[f"like{k}" for k in range(len(like))]).alias("kind")).write.parquet(f"{folder}/split")
+    split = spark.read.parquet(f"{folder}/split")
+    total = split.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
+    n = dealt(total["n"])
+    buckets = buckets or max(BUCKETS, n)
+    parts = split.groupBy("kind").agg(F.ceil(F.count("*") / size).alias("parts"))
+    placed = split.join(parts, "kind").select("id", "length", "w", F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")).repartition(n, "block")
+    counted = placed.select("block", "id", "length", F.explode("w").alias("term")).groupBy("block", "id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    share = scoring.bm25_share(F.col("tf"), F.col("length"), F.lit(total["mean"])).alias("share")
     # a block holds about `size` texts
-    gathered = weighted.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "length", "w")).alias("p"))
-    columns = [F.col(f"p.{c}").alias(n) for c, n in (("id", "ids"), ("tf", "tfs"), ("length", "lengths"), ("w", "weights"))]
-    rows = gathered.select("term", "block", *columns)
+    gathered = counted.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "length", share)).alias("p"))
+    columns = [F.col(f"p.{c}").alias(m) for c, m in (("id", "ids"), ("tf", "tfs"), ("length", "lengths"), ("share", "shares"))]
+    rows = gathered.select("term", "block", *columns).repartition(buckets, "term", "block")
     rows.write.option("path", f"{folder}/blocks").format("parquet").bucketBy(buckets, "term", "block").sortBy("term", "block").saveAsTable(f"{name}_blocks")
-    tops = spark.table(f"{name}_blocks").select("term", "block", F.size("ids").cast("long").alias("n"), F.array_max("weights").alias("top"))
+    tops = spark.table(f"{name}_blocks").select("term", "block", F.size("ids").cast("long").alias("n"), F.array_max("shares").alias("top")).repartition(buckets, "term")
     tops.write.option("path", f"{folder}/bounds").format("parquet").bucketBy(buckets, "term").sortBy("term", "block").saveAsTable(f"{name}_bounds")
     return Index(name, total["n"], float(total["mean"]), buckets)
 
@@ -104,43 +103,52 @@ def matches(index: Index, queries: DataFrame, query_id: str, text_col: str = "te
     return posts.select("id", "term", "tf", "length").repartition(dealt(index.texts), "id"), wanted, size
 
 
+def _asked(index: Index, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (term, block, ...) of the words of the stated questions, dealt out by block and beside each question that asks for them: worth."""
+    held = rows.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").repartition(dealt(index.texts), "block")
+    worth = F.col("times") * scoring.bm25_idf(F.col("df"), F.lit(index.texts))
+    return held.join(F.broadcast(wanted.select("qid", "term", worth.alias("worth"))), "term")
+
+
+def _summed(asked: DataFrame) -> DataFrame:
+    """qid, id, score of blocks beside their questions, where they are: a text stands in one block."""
+    each = asked.select("qid", "block", "worth", F.inline(F.arrays_zip("ids", "shares"))).toDF("qid", "block", "worth", "id", "share")
+    return each.groupBy("qid", "block", "id").agg(F.sum(F.col("worth") * F.col("share")).alias("score")).drop("block")
+
+
 def scored(index: Index, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """qid, id, score of all texts of the pairs' (qid, block) blocks with a word of the query."""
-    asked = pairs.select("qid", "block").join(wanted, "qid")
-    held = asked.join(index.blocks(asked.sparkSession), ["term", "block"])
-    each = held.select("qid", "times", F.inline(F.arrays_zip("ids", "weights"))).toDF("qid", "times", "id", "w")
-    return each.groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    """qid, id, score of all texts of the pairs' (qid, block) blocks with a word of the query; some blocks a query."""
+    return _summed(_asked(index, index.blocks(wanted.sparkSession), wanted).join(F.broadcast(pairs.select("qid", "block")), ["qid", "block"], "left_semi"))
 
 
 def bounded(index: Index, queries: DataFrame, query_id: str, text_col: str = "text", tokens: Callable[[Column], Column] = text.words) -> tuple[DataFrame, DataFrame]:
-    """qid, block, most: no text of the block scores more for the query; written once. And the queries' words."""
+    """qid, block, most: no text of the block scores more for the query. And the queries' words with their numbers of texts, written once."""
     spark = queries.sparkSession
     path = scratch(spark, "bounded")
-    query_terms(queries, query_id, text_col, tokens).write.parquet(f"{path}/wanted")
-    wanted = spark.read.parquet(f"{path}/wanted")
-    most = wanted.join(index.bounds(spark), "term").groupBy("qid", "block").agg(F.sum(F.col("times") * F.col("top")).alias("most"))
-    most.write.parquet(f"{path}/most")
-    return spark.read.parquet(f"{path}/most"), wanted
+    terms = query_terms(queries, query_id, text_col, tokens)
+    held = index.bounds(spark).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    terms.join(held.groupBy("term").agg(F.sum("n").alias("df")), "term").write.parquet(path)
+    wanted = spark.read.parquet(path)
+    return _asked(index, index.bounds(spark), wanted).groupBy("qid", "block").agg(F.sum(F.col("worth") * F.col("top")).alias("most")), wanted
 
 
 def best(index: Index, queries: DataFrame, query_id: str, k: int, text_col: str = "text", tokens: Callable[[Column], Column] = text.words, places: int = 6, first: int = FIRST) -> DataFrame:
     """RET9, AGG3: qid, id, score, rank: exactly the k best texts of each query by rounded BM25, ties by id.
 
     The `first` most promising blocks of a query are scored; the k-th best of their texts is a score that the list has at
-    least, so blocks that are bounded below it are never scored.
+    least, so blocks that are bounded below it are never scored. Bounds and scores are summed where a block's postings are: only a list's candidates move.
     """
     most, wanted = bounded(index, queries, query_id, text_col, tokens)
-    spark = queries.sparkSession
+    spark, path = queries.sparkSession, scratch(queries.sparkSession, "first")
     at = Window.partitionBy("qid").orderBy(F.desc("most"), "block")
-    early = most.withColumn("n", F.row_number().over(at)).where(F.col("n") <= first).drop("n")
-    path = scratch(spark, "first")
-    scored(index, early, wanted).withColumn("score", F.round("score", places)).write.parquet(path)
-    found = spark.read.parquet(path)
-    least = top_k(found, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-    open_ = most.join(early.select("qid", "block"), ["qid", "block"], "left_anti").join(least, "qid", "left")
-    later = open_.where(F.col("least").isNull() | (F.col("most") + SLACK + 10.0**-places >= F.col("least")))
-    rest = scored(index, later, wanted).withColumn("score", F.round("score", places))
-    return top_k(found.unionByName(rest), k)
+    most.withColumn("n", F.row_number().over(at)).where(F.col("n") <= first).drop("n").write.parquet(f"{path}/early")
+    early = spark.read.parquet(f"{path}/early")
+    found = scored(index, early, wanted).withColumn("score", F.round("score", places))
+    top_k(found, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least")).write.parquet(f"{path}/least")
+    least = spark.read.parquet(f"{path}/least")  # a row a query
+    asked = _asked(index, index.blocks(spark), wanted).withColumn("most", F.sum(F.col("worth") * F.array_max("shares")).over(Window.partitionBy("qid", "block")))
+    open_ = asked.join(F.broadcast(least), "qid", "left").where(F.col("least").isNull() | (F.col("most") + SLACK + 10.0**-places >= F.col("least")))
+    return top_k(_summed(open_).withColumn("score", F.round("score", places)), k)
 
 
 def read_share(index: Index, queries: DataFrame, query_id: str, k: int) -> tuple[int, int]:

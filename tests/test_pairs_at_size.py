@@ -207,3 +207,15 @@ def test_rankings_of_questions_make_no_index(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "w1"), (2, "w2 common")], "item_id long, text string")
     vectors = spark.createDataFrame([(k, [k / 10, 1.0]) for k in range(5)], "vec_id long, embedding array<double>")
     assert ranking.hybrid_fusion(docs, asked, vectors).where("qid = 1").count() == 6 + 4
+
+
+def test_blocks_are_bounded_and_scored_where_they_are(spark):
+    from skein.operators import postings
+
+    docs = spark.createDataFrame([(k, f"common w{k % 5} w{k % 7}") for k in range(90)], "id long, text string")
+    asked = spark.createDataFrame([(1, "common w1"), (2, "w2 w6 common common")], "qid long, text string")
+    index = postings.build(docs, "id")
+    most, wanted = postings.bounded(index, asked, "qid")
+    for df in (most, postings.scored(index, most, wanted), postings.best(index, asked, "qid", 3)):
+        assert not [x for x in _plan(df).splitlines() if "hashpartitioning(qid" in x and ("id#" in x.split("qid#", 1)[1] or "block#" in x)]
+    assert postings.best(index, asked, "qid", 3).count() == 6
