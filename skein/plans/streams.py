@@ -80,7 +80,8 @@ def degradation_stream(events):
     def run():
         lines = spark.readStream.schema("stem string, line_no long, line string").parquet(f"{path}/in")
         out = stateful.degradation(degradation.fields(lines))
-        return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
+        with stateful.few_keys(spark, 50):
+            return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
 
     in_chunks(transcript_of(events), "line_no", f"{path}/in", run)
     return spark.read.schema(stateful.DEGRADED).parquet(f"{path}/out")
@@ -100,7 +101,8 @@ def lease_expiries(orders):
 
     def run():
         out = stateful.expiries(spark.readStream.schema(schema).parquet(f"{path}/in"), 5 * 86_400_000)
-        return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
+        with stateful.few_keys(spark, 101):
+            return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
 
     in_chunks(claims, "second", f"{path}/in", run, last=end)
     return spark.read.schema(stateful.EXPIRED).parquet(f"{path}/out")

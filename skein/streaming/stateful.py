@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,18 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+@contextmanager
+def few_keys(spark: SparkSession, keys: int):
+    """Queries that start in here keep their state in one partition a key at most: each starts a store and a worker a micro-batch, rows or not."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(keys, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def target_of(name: str, inputs: str | None) -> str:
     """What `functions.text.tool_target` gives, of one call."""
     try:
@@ -39,11 +53,17 @@ def target_of(name: str, inputs: str | None) -> str:
 DEGRADED = "session string, seq long, event string, tool string, target string, detail string, turn long, working long, total long"
 
 
+def last_up_to(known: np.ndarray) -> np.ndarray:
+    """The place of the last known row up to each row, itself included; -1 where there is none."""
+    return np.maximum.accumulate(np.where(known, np.arange(len(known)), -1))
+
+
 class Degradation(StatefulProcessor):
     """All six kinds of events of a session's records, as `operators.degradation.events` gives them.
 
-    State of a session: open calls by id (with a time to live), which pairs of old and new were edited in which file, the run of
-    errors, and the fuel. A call that was asked longer ago than the time to live is forgotten: its result then has no tool and target.
+    Rows are `parts`. State of a session: open calls by id (with a time to live), which pairs of old and new were edited in which file,
+    the run of errors, and the fuel. A call that was asked longer ago than the time to live is forgotten: its result then has no tool
+    and target. What a micro-batch holds itself is worked out by columns; the state is asked for what came before it.
     """
 
     def __init__(self, call_ttl_ms: int | None = None):
@@ -54,81 +74,143 @@ class Degradation(StatefulProcessor):
         self.edits = handle.getMapState("edits", "file string, old string, new string", "seq long")
         self.now = handle.getValueState("now", "told string, turn long, request string, asked boolean, floor long, total long, run long, target string")
 
+    def _answered(self, part, ids, names, inputs):
+        """Places of the results, and tool and target of the last call before each; calls go to the state."""
+        met = np.flatnonzero((part == "call") | (part == "result"))
+        codes, _ = pd.factorize(ids[met])
+        met, codes = (x[np.argsort(codes, kind="stable")] for x in (met, codes))
+        call = part[met] == "call"
+        tools, targets = np.full(len(part), "", object), np.full(len(part), "", object)
+        for i in met[call]:
+            tools[i] = names[i] or ""
+            targets[i] = target_of(tools[i], inputs[i])
+        before = last_up_to(call)
+        own = (before >= 0) & (codes[before] == codes)
+        answered = own & ~call
+        for x in (tools, targets):
+            x[met[answered]] = x[met[before[answered]]]
+        asked = {}
+        for i in met[~own & (codes >= 0)]:
+            name = ids[i]
+            if name not in asked:
+                asked[name] = self.calls.getValue((name,)) if self.calls.containsKey((name,)) else ("", "")
+            tools[i], targets[i] = asked[name]
+        for name, i in dict(zip(ids[met[call]], met[call])).items():  # a name's last call
+            self.calls.updateValue((name,), (tools[i], targets[i]))
+        return np.sort(met[~call]), tools, targets
+
+    def _undone(self, files, olds, news, seqs):
+        """Places of edits that reverse an earlier one; edits go to the state."""
+        known, first, out = {}, {}, []
+        for i in np.flatnonzero(pd.notna(olds)):
+            back, own = (files[i], news[i], olds[i]), (files[i], olds[i], news[i])
+            for edit in (back, own):
+                if edit not in known:
+                    known[edit] = self.edits.containsKey(edit)
+            if known[back]:
+                out.append(i)
+            if not known[own]:
+                known[own], first[own] = True, int(seqs[i])
+        for edit, seq in first.items():
+            self.edits.updateValue(edit, (seq,))
+        return np.array(out, dtype=int)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         told, turn, request, asked, floor, total, run, target = self.now.get() if self.now.exists() else (None, 0, None, False, 0, 0, 0, "")
-        out = []
-        # what this batch has read or set: each name goes to the state once
-        calls, edits, opened, edited = {}, {}, set(), set()
-        records = pd.concat(list(rows)).sort_values("seq")
-        for r in records.to_dict("records"):
-            told = r["told"] if r["told"] is not None else told
-            session = told if told is not None else key[0]
-            fill = int(r["fill"] or 0)
-            if r["main"]:
-                new = r["request"] or ""
-                turn += not asked or new != request
-                request, asked = new, True
-                if fill > 0:
-                    floor, total = floor or fill, fill
-            working = max(0, total - floor)
-
-            def tell(event, tool, on, detail, working=working, total=total):
-                out.append((session, r["seq"], event, tool or "", (on or "")[:200], (detail or "")[:200], turn, working, total))
-
-            blocks = [] if r["blocks"] is None else list(r["blocks"])
-            if r["type"] == "user":
-                for b in blocks:
-                    if b["type"] != "tool_result":
-                        continue
-                    name = b["tool_use_id"]
-                    if name is not None and name not in calls:
-                        calls[name] = self.calls.getValue((name,)) if self.calls.containsKey((name,)) else ("", "")
-                    tool, on = calls.get(name, ("", ""))
-                    if not b["is_error"]:
-                        run, target = 0, ""
-                        continue
-                    run = run + 1 if run and on and on == target else 1
-                    target = on
-                    content = b["content"] if b["content"] is not None else "None"
-                    tell("tool_thrash" if run >= 2 else "tool_error", tool, on, content[:160])
-                if r["interrupted"]:
-                    tell("interrupted", "", r["file"], "tool call interrupted")
-                if r["file"] and r["old"] is not None and r["new"] is not None:
-                    back, own = (r["file"], r["new"], r["old"]), (r["file"], r["old"], r["new"])
-                    for edit in (back, own):
-                        if edit not in edits:
-                            edits[edit] = self.edits.containsKey(edit)
-                    if edits[back]:
-                        tell("edit_revert", "Edit", r["file"], "edit reverts an earlier edit to this file")
-                    if not edits[own]:
-                        edits[own] = True
-                        edited.add((own, r["seq"]))
-            if r["main"]:
-                for b in blocks:
-                    if b["type"] == "tool_use" and b["id"] is not None:
-                        calls[b["id"]] = (b["name"] or "", target_of(b["name"] or "", b["input"]))
-                        opened.add(b["id"])
-                if r["stop"] == "max_tokens":
-                    tell("truncation", "", "", "assistant stop_reason=max_tokens")
-            if r["type"] == "system" and r["subtype"] == "compact_boundary":
-                pre, post = (None if pd.isna(r[c]) else int(r[c]) for c in ("pre", "post"))
-                detail = f"pre={pre} post={post}"
-                if pre:
-                    tell("compact_boundary", r["trigger"] or "?", "", detail, max(0, pre - floor), pre)
-                else:
-                    tell("compact_boundary", r["trigger"] or "?", "", detail)
-        for name in opened:
-            self.calls.updateValue((name,), calls[name])
-        for edit, seq in edited:
-            self.edits.updateValue(edit, (seq,))
-        self.now.update((told, turn, request, asked, floor, total, run, target))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DEGRADED.split(", ")])
+        records = pd.concat(list(rows)).sort_values(["seq", "at"], kind="stable")
+        r = {c: records[c].to_numpy() for c in records.columns}
+        del records
+        n = len(r["seq"])
+
+        said = last_up_to(pd.notna(r["told"]))
+        session = r["told"][said]
+        session[said < 0] = told if told is not None else key[0]
+        told = session[-1] if said[-1] >= 0 else told
+
+        answers = np.flatnonzero(pd.notna(r["request"]))
+        starts = np.zeros(n, dtype=np.int64)
+        if len(answers):
+            own = r["request"][answers]
+            starts[answers] = own != np.concatenate([np.array([request], object), own[:-1]])
+            starts[answers[0]] |= not asked
+            request, asked = own[-1], True
+        turns = turn + np.cumsum(starts)
+
+        known = r["fill"] > 0
+        filled = last_up_to(known)
+        totals = np.where(filled >= 0, r["fill"][filled], total)
+        floors = np.full(n, floor, dtype=np.int64)
+        if not floor and known.any():
+            floors[known.argmax():] = r["fill"][known.argmax()]
+        working = np.maximum(0, totals - floors)
+
+        results, tools, targets = self._answered(r["part"], r["id"], r["name"], r["input"])
+        wrong, on = r["error"][results], targets[results]
+        if len(results):
+            goes_on = wrong & np.concatenate([[run > 0], wrong[:-1]]) & (on != "") & (on == np.concatenate([np.array([target], object), on[:-1]]))
+            place, begun = np.arange(len(results)), last_up_to(~goes_on)
+            runs = np.where(begun >= 0, place - begun + 1, place + 1 + run)
+            run, target = (int(runs[-1]), on[-1]) if wrong[-1] else (0, "")
+        else:
+            runs = np.zeros(0, dtype=np.int64)
+
+        def tell(at, event, tool, on, detail, working=working, total=totals):
+            return pd.DataFrame({"session": session[at], "seq": r["seq"][at], "event": event, "tool": tool, "target": [x[:200] for x in on], "detail": detail, "turn": turns[at], "working": working[at], "total": total[at]})
+
+        other = np.flatnonzero(pd.notna(r["other"]))
+        pre = r["pre"]
+        undone = self._undone(r["file"], r["old"], r["new"], r["seq"])
+        bad = results[wrong]
+        out = [
+            tell(bad, np.where(runs[wrong] >= 2, "tool_thrash", "tool_error"), tools[bad], targets[bad], r["content"][bad]),
+            tell(other, r["other"][other], r["tool"][other], r["file"][other], r["detail"][other], np.where(pre != 0, np.maximum(0, pre - floors), working), np.where(pre != 0, pre, totals)),
+            tell(undone, "edit_revert", "Edit", r["file"][undone], "edit reverts an earlier edit to this file"),
+        ]
+        self.now.update((told, int(turns[-1]), request, asked, int(floors[-1]), int(totals[-1]), run, target))
+        yield pd.concat(out)
+
+
+def parts(fields: DataFrame) -> DataFrame:
+    """`operators.degradation.fields` as flat rows: one a block, one for a record without; what isn't a block's stands in a record's first row only.
+
+    part: call or result. request: of answers. other: interrupted, truncation or compact_boundary, with its tool, file and detail.
+    """
+    rows = fields.select("*", F.posexplode_outer("blocks").alias("_at", "b")).drop("blocks").withColumn("at", F.coalesce("_at", F.lit(0)))
+    first, user, none = F.col("at") == 0, F.col("type") == "user", F.lit("")
+    call = F.col("main") & (F.col("b.type") == "tool_use") & F.col("b.id").isNotNull()
+    result = user & (F.col("b.type") == "tool_result")
+    error = F.coalesce(result & F.col("b.is_error"), F.lit(False))
+    stopped, cut = first & user & F.col("interrupted"), first & F.col("main") & (F.col("stop") == "max_tokens")
+    bound = first & (F.col("type") == "system") & (F.col("subtype") == "compact_boundary")
+    edit = first & user & (F.col("file") != "") & F.col("old").isNotNull() & F.col("new").isNotNull()
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    return rows.select(
+        "stem",
+        "seq",
+        "at",
+        F.when(first, F.col("told")).alias("told"),
+        F.when(first & F.col("main"), F.coalesce("request", none)).alias("request"),
+        F.when(first, F.col("fill")).otherwise(0).cast("long").alias("fill"),
+        F.when(call, "call").when(result, "result").alias("part"),
+        F.when(call, F.col("b.id")).when(result, F.col("b.tool_use_id")).alias("id"),
+        F.when(call, F.col("b.name")).alias("name"),
+        F.when(call, F.col("b.input")).alias("input"),
+        error.alias("error"),
+        F.when(error, F.substring(F.coalesce("b.content", F.lit("None")), 1, 160)).alias("content"),
+        F.when(stopped, "interrupted").when(cut, "truncation").when(bound, "compact_boundary").alias("other"),
+        F.when(bound, F.when(F.col("trigger") != "", F.col("trigger")).otherwise("?")).otherwise(none).alias("tool"),
+        F.when(stopped | edit, F.coalesce("file", none)).otherwise(none).alias("file"),
+        F.when(stopped, "tool call interrupted").when(cut, "assistant stop_reason=max_tokens").when(bound, F.substring(F.concat(F.lit("pre="), said("pre"), F.lit(" post="), said("post")), 1, 200)).alias("detail"),
+        F.when(bound, F.coalesce("pre", F.lit(0))).otherwise(0).cast("long").alias("pre"),
+        F.when(edit, F.col("old")).alias("old"),
+        F.when(edit, F.col("new")).alias("new"),
+    )
 
 
 def degradation(fields: DataFrame, call_ttl_ms: int | None = None) -> DataFrame:
     """STR1, WIN6-10, JN20: events of a stream of `operators.degradation.fields`, each with the fuel at which it happened."""
     mode = "ProcessingTime" if call_ttl_ms else "None"
-    return fields.groupBy("stem").transformWithStateInPandas(Degradation(call_ttl_ms), DEGRADED, "Append", mode)
+    return parts(fields).groupBy("stem").transformWithStateInPandas(Degradation(call_ttl_ms), DEGRADED, "Append", mode)
 
 
 EXPIRED = "resource long, holder long, since timestamp, expired timestamp"
