@@ -15,10 +15,14 @@ QUERIES: dict = {}
 query = registrar(QUERIES)
 
 
-def in_chunks(rows: DataFrame, by: str, path: str, run, chunks: int = 3, last: DataFrame | None = None) -> None:
-    """Writes rows chunk by chunk in the order of a number, starting the stream `run` after each: state goes on from its checkpoint. last: rows for the end."""
+def in_chunks(rows: DataFrame, by: str, path: str, run, chunks: int = 3, last: DataFrame | None = None, made=lambda rows: rows) -> None:
+    """Writes what is made of rows chunk by chunk in the order of a number, starting the stream `run` after each: state goes on from its checkpoint. last: rows for the end.
+
+    A chunk of a table in that order lies in few of its tasks: its rows are dealt out anew, so that all cores write and read it.
+    """
     low, high = rows.agg(F.min(by), F.max(by)).first()
-    parts = [] if low is None else [rows.where(F.floor((F.col(by) - low) * chunks / (high - low + 1)) == k) for k in range(chunks)]
+    bounds = [] if low is None else [low - (low - high - 1) * k // chunks for k in range(chunks + 1)]
+    parts = [made(rows.where((F.col(by) >= start) & (F.col(by) < end)).repartition(by)) for start, end in zip(bounds, bounds[1:])]
     for part in [*parts, *([last] if last is not None else [])]:
         part.write.mode("append").parquet(path)
         run().awaitTermination()
@@ -83,7 +87,7 @@ def degradation_stream(events):
         with stateful.few_keys(spark, 50):
             return out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{path}/out")
 
-    in_chunks(transcript_of(events), "line_no", f"{path}/in", run)
+    in_chunks(events, "event_id", f"{path}/in", run, made=transcript_of)
     return spark.read.schema(stateful.DEGRADED).parquet(f"{path}/out")
 
 

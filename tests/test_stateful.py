@@ -4,6 +4,7 @@ import json
 import random
 import uuid
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from skein.functions import text
@@ -139,3 +140,17 @@ def test_state_has_no_more_partitions_than_keys(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len([d for d in (tmp_path / "checkpoint/state/0").iterdir() if d.name.isdigit()]) == 50
+
+
+def test_chunks_of_a_sorted_table_are_dealt_out(spark, tmp_path):
+    """A third of a table in order of its number lies in a third of its tasks: the files that a stream reads were as few."""
+
+    class Run:
+        def awaitTermination(self):
+            files.append(sorted(len(pq.read_table(f, columns=["n"])) for f in tmp_path.glob("*.parquet")))
+
+    files = []
+    rows = spark.range(0, 600_000, 1, 6).select(F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    streams.in_chunks(rows, "n", f"file://{tmp_path}", Run)
+    assert [sum(f) for f in files] == [200_000, 400_000, 600_000]
+    assert len([n for n in files[0] if n > 30_000]) == 4
