@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from skein.operators import graph
+from skein.operators import graph, postings
 from skein.sources.writers import written
 
 
@@ -42,3 +42,13 @@ def test_related_meets_texts_of_many_names_by_lists_of_pairs(spark, monkeypatch)
         want |= {(a, b): (rank, -s) for rank, (s, b) in enumerate(sorted(found)[:4], 1)}
     got = graph.related(spark.createDataFrame([(d, f"n{e}") for d, es in docs.items() for e in es], "d long, e string"), "d", "e")
     assert {(r["source"], r["target"]): (r["rank"], r["score"]) for r in got.collect()} == want and want
+
+
+def test_the_index_moves_texts_once_and_no_posting(spark):
+    docs = spark.createDataFrame([(k, f"common w{k % 5} w{k % 7}") for k in range(90)], "id long, text string")
+    asked = spark.createDataFrame([(1, "common w1"), (2, "w2 w6 common common")], "qid long, text string")
+    index = postings.build(docs, "id", buckets=4)
+    assert not [t.name for t in spark.catalog.listTables() if t.name in (f"{index.name}_bounds", f"{index.name}_pairs")]
+    most, wanted = postings.bounded(index, asked, "qid")
+    for df in (most, postings.scored(index, most, wanted), postings.best(index, asked, "qid", 3)):
+        assert "hashpartitioning(block" not in df._jdf.queryExecution().executedPlan().toString()
