@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skein import vocab
 from skein.functions import scoring, text
 from skein.operators import retrieval
+from skein.sources.writers import scratch, written
 
 #: Words that say nothing about a file.
 FILE_STOP = tuple(
@@ -44,15 +45,10 @@ def fact_factor(fact_type: Column, review: Column) -> Column:
     return scoring.lookup(F.coalesce(fact_type, F.lit("observation")), vocab.TYPE_FACTOR, 1.0) * scoring.lookup(F.coalesce(review, F.lit("auto")), vocab.REVIEW_WEIGHT, 1.0)
 
 
-def question_factor(phrases: Column, names: Column, body: Column) -> Column:
-    """RET3, TXT3-4: up to 30 % for the question's quoted phrases in the fact, up to 20 % for its names of infrastructure."""
-
-    def factor(low: Column) -> Column:
-        share = lambda xs: F.when(F.size(xs) == 0, 0.0).otherwise(F.size(F.filter(xs, lambda x: low.contains(x))) / F.size(xs))
-        return (1 + vocab.PHRASE_SHARE * share(phrases)) * (1 + vocab.ENTITY_SHARE * share(names))
-
-    # most questions name nothing: then the text isn't read for the pair
-    return F.when((F.size(phrases) == 0) & (F.size(names) == 0), 1.0).otherwise(text.let(F.lower(body), factor))
+def question_factor(phrases: Column, names: Column, found: Column) -> Column:
+    """RET3, TXT3-4: up to 30 % for the question's quoted phrases in the fact, up to 20 % for its names of infrastructure; found: which of all questions' are in it."""
+    share = lambda xs: F.when(F.size(xs) == 0, 0.0).otherwise(F.size(F.filter(xs, lambda x: F.array_contains(found, x))) / F.size(xs))
+    return (1 + vocab.PHRASE_SHARE * share(phrases)) * (1 + vocab.ENTITY_SHARE * share(names))
 
 
 def cross_agent(facts: DataFrame, digest: str, agent: str) -> DataFrame:
@@ -69,28 +65,38 @@ def decision_scores(facts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return posts.join(F.broadcast(df), "term").join(F.broadcast(size)).groupBy("id").agg(F.sum(scoring.tfidf(F.col("tf"), F.col("df"), F.col("n"))).alias("tfidf"))
 
 
-def score_facts(facts: DataFrame, tasks: DataFrame, cosines: DataFrame | None = None, skills: Mapping[str, tuple[str, ...]] = {}, cap: float | None = None) -> DataFrame:
-    """RET1-4: qid, id, score, tokens, digest of every fact that shares a word with a task.
+def score_facts(facts: DataFrame, tasks: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, skills: Mapping[str, tuple[str, ...]] = {}, cap: float | None = None) -> DataFrame:
+    """RET1-4: qid, id, score, tokens, digest (a number that facts of equal text share) of every fact that shares a word with a task.
 
     facts: id, domain, text, fact_type, stored, review, agent, gap_days (days between first and last sight). tasks: qid, text.
-    cosines: qid, id, cosine, several rows a fact for its chunks (the best counts). skills: keyword -> domains that a task with it favours.
+    vectors: of facts (id, v; several rows a fact for its chunks, the best counts) and of tasks (qid, qv). skills: keyword -> domains that a task with it favours.
+    Texts go by id to where their pairs are made, and what else a fact has goes there as numbers; no pair moves.
     """
-    keyword = retrieval.bm25(facts, tasks, "id", "qid", tokens=text.plain_words)
+    keyword = retrieval.bm25(facts, tasks, "id", "qid", tokens=text.plain_words, figures=retrieval.corpus_figures(facts, tasks, "qid", tokens=text.plain_words))
     asked = tasks.select("qid", text.quoted_any(F.col("text")).alias("phrases"), text.entity_names(F.col("text")).alias("names"), _favoured(F.col("text"), skills).alias("favoured"))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    own = facts.withColumn("digest", digest).join(cross_agent(facts.withColumn("digest", digest), "digest", "agent"), "digest", "left").join(decision_scores(facts, "id", "text"), "id", "left")
+    named = asked.select(F.explode(F.array_union("phrases", "names")).alias("x")).agg(F.collect_set("x").alias("named"))  # one row of the stated questions
+    read = facts.join(F.broadcast(named)).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    # most questions name nothing: then no text is read for them
+    there = F.when(F.size("named") == 0, F.array().cast("array<string>")).otherwise(text.let(F.lower("text"), lambda low: F.filter("named", lambda x: low.contains(x))))
+    numbers = written(read.select("id", "domain", "fact_type", "stored", "review", "agent", "gap_days", "digest", text.estimate_tokens(F.col("text")).alias("tokens"), there.alias("found")), scratch(facts.sparkSession, "facts"))
+    copies = numbers.groupBy("digest").agg(F.min("id").alias("first"))
+    own = numbers.join(cross_agent(numbers, "digest", "agent"), "digest", "left").join(copies, "digest", "left").withColumn("digest", F.col("first")).join(decision_scores(facts, "id", "text"), "id", "left")
+    if vectors is not None:
+        own = own.join(vectors[0].groupBy("id").agg(F.collect_list("v").alias("vs")), "id", "left")  # a fact's chunks
+        own_vectors = vectors[1].join(F.broadcast(tasks.select("qid")), "qid", "left_semi").groupBy("qid").agg(F.collect_list("qv").alias("qvs"))  # of the stated questions
+        asked = asked.join(own_vectors, "qid", "left")
+        cosine = F.array_max(F.flatten(F.transform("vs", lambda v: F.transform("qvs", lambda q: scoring.dot(v, q)))))
+    else:
+        cosine = F.lit(None).cast("double")
+    # into the parts of the pairs, so that these stay whatever the number of shuffle partitions
+    own = own.repartition(retrieval.dealt(numbers.count()), "id")
     rows = keyword.withColumnRenamed("score", "bm25").join(own, "id").join(F.broadcast(asked), "qid")  # the stated questions
-    factor = question_factor(F.col("phrases"), F.col("names"), F.col("text"))
+    factor = question_factor(F.col("phrases"), F.col("names"), F.col("found"))
     factor = factor * scoring.half_life(F.greatest(F.lit(0.0), F.coalesce("gap_days", F.lit(0.0)))) * fact_factor(F.col("fact_type"), F.col("review"))
     factor = factor * F.when(F.array_contains("favoured", F.col("domain")), vocab.SKILL_FACTOR).otherwise(1.0)
     repeated = stored_factor(F.coalesce("stored", F.lit(0.0))) * F.when(F.col("agents").isNotNull(), vocab.CROSS_AGENT).otherwise(1.0)
     base = vocab.TFIDF_SHARE * F.coalesce("tfidf", F.lit(0.0)) + vocab.BM25_SHARE * F.col("bm25")
-    # from here on numbers only: texts go through no further exchange
-    rows = rows.select("qid", "id", base.alias("base"), factor.alias("factor"), repeated.alias("repeated"), text.estimate_tokens(F.col("text")).alias("tokens"), "digest")
-    if cosines is not None:
-        rows = rows.join(cosines.groupBy("qid", "id").agg(F.max("cosine").alias("cosine")), ["qid", "id"], "left")
-    else:
-        rows = rows.withColumn("cosine", F.lit(None).cast("double"))
+    rows = rows.select("qid", "id", base.alias("base"), factor.alias("factor"), repeated.alias("repeated"), cosine.alias("cosine"), "tokens", "digest")
     score = retrieval.blend(F.col("base"), F.col("cosine")) * F.col("factor") * F.col("repeated")
     return rows.select("qid", "id", cap_boost(score, F.col("repeated"), cap).alias("score"), "tokens", "digest")
 

@@ -52,8 +52,8 @@ def _scored(documents, benchmark, labels, embeddings):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("finding", "procedure", "observation", "operational")]), (F.col("id") % 4 + 1).cast("int"))
     facts = rows.select("id", "domain", "text", kind.alias("fact_type"), F.coalesce(F.col("quality") * 0.9, F.lit(0.2)).alias("stored"), F.when(F.col("toxic") == 1, "pending").otherwise("auto").alias("review"), "agent", (F.col("id") % 50).cast("double").alias("gap_days"))
     tasks = benchmark.select(F.col("item_id").alias("qid"), "text")
-    cosines = _cosines(tasks, embeddings)
-    return injection.score_facts(facts, tasks, cosines, SKILLS, cap=1.4).withColumn("score", F.round("score", 6))
+    vectors = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return injection.score_facts(facts, tasks, vectors, SKILLS, cap=1.4).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_SCORED} SELECT qid, id, score, tokens FROM s")
