@@ -78,12 +78,14 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, hashes: int, probe_all
 
     rows: doc_id and what sets_of (a function of an Arrow batch) makes its sets from. probe_all: all hashes are probed.
     Rows travel as blocks: one a batch and range on the way out, one a range and batch on the way back. A task holds one
-    range at a time; tasks and ranges grow with the number of hashes (about `hashes`), so a range's size doesn't.
+    range at a time; tasks and ranges grow with the number of hashes (about `hashes`), so a range's size doesn't. In a block a hash
+    has its row's number in the batch beside it (two bytes); the ids of a batch go once to where its counts are gathered. So a task that runs
+    again has to read its rows in the same order, as it does from files.
     """
     parts = min(TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // TASK)))
     ranges = max(RANGES * parts, -(-hashes // TASK))
-    block = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary())])
-    answer = pa.schema([("batch", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    block = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("which", pa.binary())])
+    answer = pa.schema([("batch", pa.int64()), ("ids", pa.binary()), ("which", pa.binary()), ("counts", pa.binary())])
     counted = pa.schema([("doc_id", pa.int64()), ("shared", pa.int64())])
 
     def blocks(batches):
@@ -104,12 +106,12 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, hashes: int, probe_all
             which = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             low = (hashes >> np.uint64(64 - _CUT_BITS - 12)) & np.uint64((1 << _CUT_BITS) - 1)
             bounds = np.searchsorted(which, np.arange(ranges + 1))
-            out = []
+            # the batch's ids, as if of a range below 0
+            out = [(-1 - (task + number) % ranges, task << 32 | number, None, ids.tobytes())]
             for r in np.flatnonzero(np.diff(bounds)).tolist():
                 a, z = bounds[r], bounds[r + 1]
-                local, docs_here = np.unique(whose[a:z], return_inverse=True)
-                out.append((r, task << 32 | number, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), docs_here.astype("<u4").tobytes(), ids[local].tobytes()))
-            yield batch(dict(zip(block.names, zip(*out, strict=True), strict=True)) if out else {x: [] for x in block.names}, block)
+                out.append((r, task << 32 | number, low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _CUT_BITS // 8].tobytes(), whose[a:z].astype("<u2").tobytes()))
+            yield batch(dict(zip(block.names, zip(*out, strict=True), strict=True)), block)
 
     def groups(batches):
         """The rows of each value of the first column."""
@@ -125,10 +127,14 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, hashes: int, probe_all
             yield now, kept
 
     def shared(batches):
-        for _, kept in groups(batches):
+        for r, kept in groups(batches):
+            if r < 0:
+                for number, _, ids in kept:
+                    yield batch({"batch": [number], "ids": [ids], "which": [None], "counts": [None]}, answer)
+                continue
             hashes, sizes = [], []
-            for _, low, which, _ in kept:
-                wide = np.zeros((len(which) // 4, 8), np.uint8)
+            for _, low, which in kept:
+                wide = np.zeros((len(which) // 2, 8), np.uint8)
                 wide[:, : _CUT_BITS // 8] = np.frombuffer(low, np.uint8).reshape(-1, _CUT_BITS // 8)
                 hashes.append(wide.view("<u8").ravel())
                 sizes.append(len(wide))
@@ -140,20 +146,27 @@ def shared_counts(rows: DataFrame, sets_of, percent: int, hashes: int, probe_all
             same[:-1] |= same[1:]
             found = np.zeros(len(joined), bool)
             found[order] = same
-            for (number, _, which, ids), one in zip(kept, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
-                counts = np.bincount(np.frombuffer(which, "<u4")[one], minlength=len(ids) // 8)
+            for (number, _, which), one in zip(kept, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+                counts = np.bincount(np.frombuffer(which, "<u2")[one])
                 some = np.flatnonzero(counts)
-                if len(some):
-                    yield batch({"batch": [number], "ids": [np.frombuffer(ids, "<i8")[some].tobytes()], "counts": [counts[some].astype("<u4").tobytes()]}, answer)
+                while len(some):  # a text has few hashes in a range: a byte holds most counts, the rest comes in a further row
+                    yield batch({"batch": [number], "ids": [None], "which": [some.astype("<u2").tobytes()], "counts": [np.minimum(counts[some], 255).astype(np.uint8).tobytes()]}, answer)
+                    counts[some] -= np.minimum(counts[some], 255)
+                    some = np.flatnonzero(counts)
 
     def gather(batches):
         for _, kept in groups(batches):
-            ids, back = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x, _ in kept]), return_inverse=True)
-            total = np.bincount(back, np.concatenate([np.frombuffer(x, "<u4") for _, x in kept]), len(ids))
-            yield batch({"doc_id": ids, "shared": total.astype(np.int64)}, counted)
-
-    dealt = rows.mapInArrow(blocks, "range int, batch long, hashes binary, which binary, ids binary").repartition(parts, "range").sortWithinPartitions("range")
-    back = dealt.mapInArrow(shared, "batch long, ids binary, counts binary").repartition(parts, "batch").sortWithinPartitions("batch")
+            ids = np.frombuffer(next(x for x, _, _ in kept if x is not None), "<i8")
+            total = np.zeros(len(ids), np.int64)
+            for _, which, counts in kept:
+                if which is not None:
+                    total[np.frombuffer(which, "<u2")] += np.frombuffer(counts, np.uint8)  # each row once a block
+            # of rows that repeat an id all counts are summed, as they always were
+            own, back = np.unique(ids[total > 0], return_inverse=True)
+            yield batch({"doc_id": own, "shared": np.bincount(back, total[total > 0], len(own)).astype(np.int64)}, counted)
+
+    dealt = rows.mapInArrow(blocks, "range int, batch long, hashes binary, which binary").repartition(parts, "range").sortWithinPartitions("range")
+    back = dealt.mapInArrow(shared, "batch long, ids binary, which binary, counts binary").repartition(parts, "batch").sortWithinPartitions("batch")
     return back.mapInArrow(gather, "doc_id long, shared long").groupBy("doc_id").agg(F.max("shared").alias("shared"))
 
 

@@ -904,3 +904,24 @@ def test_oracles_agree(spark):
         columns = [d[0] for d in want.description]
         got = queries.QUERIES[name](spark, SF).select(*columns).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_shared_hashes_beside_numbers_in_the_batch(spark, monkeypatch):
+    """Counts over a byte, repeated ids and several batches, against a plain count; a hash moves with two bytes beside it, and ids once a batch."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**64, 900, dtype=np.uint64)
+    sets = {k: np.unique(np.concatenate([rng.choice(common, 700 if k % 5 == 0 else 3, replace=False), rng.integers(0, 2**64, 20, dtype=np.uint64)])) for k in range(40)}
+    sets[40] = np.zeros(0, np.uint64)
+    seen = {}
+    for own in sets.values():
+        for h in own.tolist():
+            seen[h] = seen.get(h, 0) + 1
+    want = {k: n for k, own in sets.items() if (n := sum(seen[h] > 1 for h in own.tolist()))}
+    rows = spark.createDataFrame([(k, bytearray(own.tobytes())) for k, own in sets.items()], "doc_id long, hashes binary").repartition(3)
+    of = lambda b: [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+    monkeypatch.setattr(ngram_join, "RANGES", 1)
+    got = ngram_join.shared_counts(rows, of, 80, 1, probe_all=True)
+    assert {r["doc_id"]: r["shared"] for r in got.collect()} == want and max(want.values()) > 255
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.search(r"MapInArrow blocks\(.*?\)#\d+, \[([^\]]*)\]", plan)[1]
+    assert "which#" in moved and "ids#" not in moved
