@@ -9,7 +9,8 @@
 3. The representatives left, of which any two that link share one of their first
    |x| - ceil(t|x|) + 1 hashes, fall into clusters: components over those shared hashes.
 4. A cluster is a tile; a large one is cut by size band (ratio 1/t) and salt, and each pair of
-   neighbouring cuts is a tile, so no task grows with a cluster. In a tile sets are in order of
+   neighbouring cuts is a tile, so no task grows with a cluster. A cut is stored once as a file, which
+   its tiles' tasks read, so what moves doesn't grow with the number of tiles. In a tile sets are in order of
    size; the differing bits of two bitmaps bound the overlap from above, and what passes is
    intersected exactly on sorted arrays. Sets that a tile has already joined aren't compared
    again, so a tile of n sets gives at most n - 1 links.
@@ -23,6 +24,7 @@ the one with the smaller set key counts); other columns of the input are ignored
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, join_groups, materialize, small, utf8
+from .common import batch, join_groups, materialize, new_folder, small, utf8
 from .components import connected_components
+from .files import read_all, write_file
 from .shingles import shingle_sets
 
 #: Sets in one cut of a large cluster; 64-bit words of a bitmap.
@@ -39,6 +42,8 @@ CUT, WORDS = 1024, 32
 #: Hashes of a narrowing in a task, and in a range, about; tasks at most, ranges a task at least.
 TASK, TASKS, RANGES = 1_000_000, 20_000, 8
 _CUT_BITS = 40
+#: Pairs of cuts that a task compares, about.
+PAIRS = 4
 
 
 def overlap_needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -216,28 +221,33 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent
     return out
 
 
-def _tiles(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """tile, side, doc_id, hashes: a cluster of up to CUT sets is a tile; of a larger one each pair of neighbouring cuts."""
+def _cuts(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """doc_id, component, band, salt, total (sets of the cluster), hashes: a cluster of up to CUT sets is one cut; a larger one has cuts by size band and salt."""
     banded = sets.select("doc_id", "n").join(clusters, F.col("doc_id") == F.col("node")).select("doc_id", "component", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int").alias("band"))
     sizes = banded.groupBy("component", "band").count()
     whole = sizes.groupBy("component").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / CUT).cast("int").alias("cuts")))).alias("cuts"))
     # a cluster has one entry a band: bounded by the logarithm of the longest text
     at = join_groups(banded, whole, ["component"], "total", sets.count(), "inner")
-    cuts = lambda band: F.coalesce(F.try_element_at("cuts", band), F.lit(0))
-    salt = F.pmod(F.xxhash64("doc_id"), cuts(F.col("band")).cast("long")).cast("int")
-    at = at.withColumn("salt", F.when(F.col("total") > CUT, salt).otherwise(0))
-    name = lambda *x: F.concat_ws(":", *[c.cast("string") for c in x])
-    c, band, own = F.col("component"), F.col("band"), F.col("salt")
-    within = F.transform(F.sequence(F.lit(0), cuts(band) - 1), lambda j: F.struct(name(c, band, band, F.least(own, j), F.greatest(own, j)).alias("tile"), F.when(j == own, 2).when(own < j, 0).otherwise(1).alias("side")))
-    up = F.when(cuts(band + 1) > 0, F.transform(F.sequence(F.lit(0), cuts(band + 1) - 1), lambda j: F.struct(name(c, band, band + 1, own, j).alias("tile"), F.lit(0).alias("side"))))
-    down = F.when(cuts(band - 1) > 0, F.transform(F.sequence(F.lit(0), cuts(band - 1) - 1), lambda j: F.struct(name(c, band - 1, band, j, own).alias("tile"), F.lit(1).alias("side"))))
-    none = F.array().cast("array<struct<tile:string,side:int>>")
-    many = F.concat(within, F.coalesce(up, none), F.coalesce(down, none))
-    one = F.array(F.struct(c.cast("string").alias("tile"), F.lit(2).alias("side")))
-    placed = at.select("doc_id", F.explode(F.when(F.col("total") > CUT, many).otherwise(one)).alias("t")).select("doc_id", "t.tile", "t.side")
+    large = F.col("total") > CUT
+    salt = F.pmod(F.xxhash64("doc_id"), F.try_element_at("cuts", F.col("band")).cast("long")).cast("int")
+    placed = at.select("doc_id", "component", F.when(large, F.col("band")).otherwise(0).alias("band"), F.when(large, salt).otherwise(0).alias("salt"), "total")
     return placed.join(sets.select("doc_id", "hashes"), "doc_id")
 
 
+def _stored(cuts: DataFrame, folder: str) -> DataFrame:
+    """component, band, salt, path: a file a cut, which tasks read for each of its tiles; so a set is stored once, in however many tiles it is."""
+
+    def store(key, group):
+        path = f"{folder}/{uuid.uuid4().hex}"  # new to each attempt
+        with pa.BufferOutputStream() as out:
+            with pa.ipc.new_file(out, group.schema) as f:
+                f.write_table(group)
+            write_file(path, out.getvalue().to_pybytes())
+        return pa.table({"component": pa.array([key[0].as_py()], pa.int64()), "band": pa.array([key[1].as_py()], pa.int32()), "salt": pa.array([key[2].as_py()], pa.int32()), "path": [path]})
+
+    return cuts.select("component", "band", "salt", "doc_id", "hashes").groupBy("component", "band", "salt").applyInArrow(store, "component long, band int, salt int, path string")
+
+
 def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row per distinct id that is not null."""
     spark = df.sparkSession
@@ -282,31 +292,60 @@ def ngram_components(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     low = prefix.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     near = join_groups(prefix, low, ["h"], "c", prefix.count(), "inner").where("doc_id != first").select("doc_id", "first").distinct()
     clusters = connected_components(near, "doc_id", "first")
-    tiles = _tiles(sets, clusters, percent)
+    cuts = materialize(_cuts(sets, clusters, percent), "cuts")
+    small_ones, large_ones = cuts.where(F.col("total") <= CUT), cuts.where(F.col("total") > CUT)
 
     edges = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
+    def found_links(out):
+        return batch({"src": [x for x, _ in out], "dst": [y for _, y in out]}, edges)
+
     def link(batches):
-        now, ids, sides, own = None, [], [], []
+        """Of rows in order of their cluster."""
+        now, ids, own = None, [], []
 
         def close():
-            return link_tile(np.array(ids), own, np.array(sides), percent) if len(ids) > 1 else []
+            return link_tile(np.array(ids), own, np.full(len(ids), 2), percent) if len(ids) > 1 else []
 
         for b in batches:
             out = []
-            for tile, side, doc, hashes in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if tile != now:
+            for component, doc, hashes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if component != now:
                     out += close()
-                    now, ids, sides, own = tile, [], [], []
+                    now, ids, own = component, [], []
                 ids.append(doc)
-                sides.append(side)
                 own.append(np.frombuffer(hashes, "<u8"))
             if out:
-                yield batch({"src": [x for x, _ in out], "dst": [y for _, y in out]}, edges)
+                yield found_links(out)
         if out := close():
-            yield batch({"src": [x for x, _ in out], "dst": [y for _, y in out]}, edges)
+            yield found_links(out)
+
+    def load(path):
+        table = pa.ipc.open_file(pa.py_buffer(read_all(path))).read_all()
+        return table.column("doc_id").to_pylist(), [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
 
-    links = tiles.repartition(max(tasks, -(-sets.count() // CUT)), "tile").sortWithinPartitions("tile").select("tile", "side", "doc_id", "hashes").mapInArrow(link, "src long, dst long")
+    def link_cuts(batches):
+        """Of pairs of cuts; a cut with itself has all its pairs compared, two only those across."""
+        path, a = None, None
+        for b in batches:
+            for left, right in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                if left != path:
+                    path, a = left, load(left)
+                other = ([], []) if left == right else load(right)
+                side = np.full(len(a[0]), 2) if left == right else np.repeat([0, 1], [len(a[0]), len(other[0])])
+                if out := link_tile(np.array(a[0] + other[0]), a[1] + other[1], side, percent) if len(side) > 1 else []:
+                    yield found_links(out)
+
+    links = small_ones.repartition(max(tasks, -(-sets.count() // CUT)), "component").sortWithinPartitions("component").select("component", "doc_id", "hashes").mapInArrow(link, "src long, dst long")
+    if not large_ones.isEmpty():
+        stored = materialize(_stored(large_ones, new_folder(spark, "cuts-stored")), "cuts-stored")
+        right = stored.select("component", F.col("band").alias("b2"), F.col("salt").alias("s2"), F.col("path").alias("right"))
+        near_cuts = ((F.col("b2") == F.col("band")) & (F.col("s2") >= F.col("salt"))) | (F.col("b2") == F.col("band") + 1)
+        pairs = materialize(stored.join(right, "component").where(near_cuts).select(F.col("path").alias("left"), "right"), "cut-pairs")
+        # a task has a few pairs that share their left cut
+        parts = max(1, -(-pairs.count() // PAIRS))
+        dealt = pairs.repartition(parts, "left", F.pmod(F.xxhash64("right"), F.lit(-(-stored.count() // PAIRS)))).sortWithinPartitions("left")
+        links = links.unionByName(dealt.mapInArrow(link_cuts, "src long, dst long"))
     joined = connected_components(links)
     labels = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set_key", "members", F.coalesce("component", "rep").alias("c"))
     out = join_groups(one, materialize(labels, "labels"), ["set_key"], "members", total["rows"])

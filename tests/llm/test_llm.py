@@ -925,3 +925,14 @@ def test_shared_hashes_beside_numbers_in_the_batch(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     moved = re.search(r"MapInArrow blocks\(.*?\)#\d+, \[([^\]]*)\]", plan)[1]
     assert "which#" in moved and "ids#" not in moved
+
+
+def test_a_set_is_stored_once_in_however_many_tiles_it_is(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CUT", 4)
+    rows = [(k, 100 + k % 3, bytearray(np.arange(100 + k % 3, dtype="<u8").tobytes())) for k in range(50)]
+    sets = spark.createDataFrame(rows, "doc_id long, n long, hashes binary")
+    clusters = spark.createDataFrame([(k, 0 if k < 40 else 40 + k % 5) for k in range(50)], "node long, component long")
+    cuts = ngram_join._cuts(sets, clusters, 80).collect()
+    assert sorted(r["doc_id"] for r in cuts) == list(range(50))
+    assert len({(r["component"], r["band"], r["salt"]) for r in cuts if r["total"] > 4}) >= 8
+    assert all((r["band"], r["salt"]) == (0, 0) for r in cuts if r["total"] <= 4)
